@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.text import body, filled, trimmed
+from strandline.llm import residue as res
+from strandline.llm.cutoff import truncated, truncation_by_source
 from strandline.llm.dupes import copies, duplicate_groups
+from strandline.llm.leak import RUN, leaks
 from strandline.llm.lines import documents_with_lines, repeated_lines, repeated_positions, without_lines
+from strandline.llm.mix import mixed, shares, token_counts
 from strandline.llm.split import split_oversized
 from strandline.llm.terms import term_counts, usefulness
 from strandline.runtime import table, written
@@ -85,6 +89,55 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.where("keep <> key").select(F.col("keep").alias("keep_id"), F.col("key").alias("copy_id"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    captions = table(spark, d, "captions").select("caption_id", "caption")
+    return captions.where(res.residue(F.col("caption")).found).select("caption_id").distinct()
+
+
+def p6_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """reason, captions: how many captions are residue, and why."""
+    captions = table(spark, d, "captions").select("caption_id", res.residue(F.col("caption")).reason.alias("reason"))
+    return captions.where("reason is not null").distinct().groupBy("reason").agg(F.count(F.lit(1)).alias("captions"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    return pairs.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """item_id, documents: the items that leaked, and into how many documents."""
+    return p7_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return written(token_counts(table(spark, d, "documents"), "doc_id", "source", "text"), "tokens")
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """key, source, tokens, copy, shard, place: the mixture, one row for each use of a document."""
+    return mixed(_sizes(spark, d), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share each source of mix_targets reaches, against its target."""
+    sizes, targets = _sizes(spark, d), table(spark, d, "mix_targets")
+    return shares(written(mixed(sizes, targets), "mix"), sizes, targets)
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return truncated(table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id", "text", "source")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).where("cut").select(F.col("key").alias("doc_id")).distinct()
+
+
+def p9_sources(spark: SparkSession, d: str) -> DataFrame:
+    """source, texts, cut, share, limits: how often each source truncates."""
+    return truncation_by_source(written(_judged(spark, d), "judged"))
+
+
 #: White space of any kind, for RE2, and without the newline.
 W, V = r"[\s\x0B\x{85}\p{Z}]", r"[\t\x0B\f\r \x{85}\p{Z}\x1C-\x1F]"
 
@@ -131,10 +184,39 @@ e as (select id, unnest(string_split(regexp_replace(line, '([.!?]){W}', '\\1' ||
 m as (select id, (select max(size) from u where u.id = o.id) s, (select max(length({_trim('line')})) from n where n.id = o.id) p, (select max(length({_trim('piece')})) from e where e.id = o.id) e from o)
 select id, case when s <= 3400 then 'structural' when p <= 3400 then 'paragraph' when e <= 3400 then 'sentence' else 'hard_max' end as cut from m
 """
+_LEAKS = f"""
+with w as (select doc_id, regexp_extract_all(lower(upper(text)), '[\\p{{L}}\\p{{N}}]+') w from documents),
+i as (select item_id, regexp_extract_all(lower(upper(text)), '[\\p{{L}}\\p{{N}}]+') w from eval_items),
+g as (select distinct doc_id, array_to_string(w[k:k+{RUN - 1}], ' ') run from (select doc_id, w, unnest(range(1, len(w) - {RUN - 2})) k from w where len(w) >= {RUN})),
+h as (select distinct item_id, array_to_string(w[k:k+{RUN - 1}], ' ') run from (select item_id, w, unnest(range(1, len(w) - {RUN - 2})) k from i where len(w) >= {RUN}))
+"""
+
+
+def _residue_sql() -> str:
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    any_of = lambda patterns: q("|".join(f"({p})" for p in patterns))
+    words = "[" + ", ".join(q(w) for w in sorted(set(res.FUNCTION_WORDS))) + "]"
+    latin = "[" + ", ".join(q(w) for w in res.LATIN) + "]"
+    return f"""
+with a as (select distinct caption_id, lower(upper(caption)) t from captions where caption is not null),
+b as (select *, regexp_replace(t, {q(res.CODE_SPAN)}, ' ', 'g') bare, {_trim(f"regexp_replace(t, {q(res.LABEL)}, '')")} core from a),
+c as (select *, len(regexp_extract_all(bare, {q(res.PLACEHOLDER)})) marks, len(regexp_extract_all(bare, {q(res.TUTORIAL)})) tut, regexp_extract_all(core, '\\p{{L}}+') w from b),
+p as (select *, flatten(list_transform(w, lambda x: regexp_extract_all(x, '\\p{{L}}{{1,3}}'))) pieces, regexp_matches(core, {q(res.DESCRIPTION)}) des from c),
+f as (select caption_id, marks > 0 and not (tut >= 2 and marks * {res.DENSITY} < length(bare)) placeholder,
+  regexp_matches(core, {any_of(res.FILLER)})
+  or (len(w) >= {res.LEAST_WORDS} and (len(list_distinct(w)) / len(w) <= {res.DIFFERENT_WORDS}
+      or (not list_has_any(w, {words}) and len(list_distinct(pieces)) / len(pieces) <= {res.DIFFERENT_PIECES})
+      or len(list_filter(w, lambda x: list_contains({latin}, x))) / len(w) >= {res.LATIN_SHARE}))
+  or (len(w) >= {res.LEAST_WORDS - 1} and len(list_filter(w, lambda x: len(list_distinct(string_split(x, ''))) > 1)) = 0) filler,
+  regexp_matches(core, {any_of(res.MESSAGES)}) and not des message, regexp_matches(core, {any_of(res.NOTICES)}) and not des notice from p)
+select distinct caption_id from f where placeholder or filler or message or notice
+"""
+
 
 QUERIES = {
     "p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p3_pieces": p3_pieces,
-    "p4_found": p4_found, "p4_groups": p4_groups,
+    "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_reasons": p6_reasons, "p7_found": p7_found, "p7_items": p7_items,
+    "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_sources": p9_sources,
 }
 SQL = {
     "p1_found": _LABELS + "select field, value, 'rare' as mark from t where rare union all select field, value, 'common' from t where common",
@@ -143,4 +225,7 @@ SQL = {
     "p3_found": _SPLIT,
     "p4_found": _COPIES + "select keep_id, id as copy_id from k join g using (body, parts) where id <> keep_id",
     "p4_groups": _COPIES + "select keep_id, copies from g",
+    "p6_found": _residue_sql(),
+    "p7_found": _LEAKS + "select distinct doc_id, item_id from g join h using (run)",
+    "p7_items": _LEAKS + "select item_id, count(distinct doc_id) documents from g join h using (run) group by 1",
 }
