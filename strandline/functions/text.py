@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,9 +13,18 @@ WHITE = r"[\s\x0B\x85\p{Z}]"
 SECTION_LINE = rf"(?i)^{WHITE}*SECTION:"
 
 
+#: The characters of ``WHITE``, for a trim that looks at the ends only.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trimmed(c: Column) -> Column:
     """``c`` without white space of any kind at both ends; null stays null."""
-    return F.regexp_replace(F.regexp_replace(c, rf"^{WHITE}+", ""), rf"{WHITE}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def filled(c: Column) -> Column:
