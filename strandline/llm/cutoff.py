@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.text import WHITE, trimmed
+from strandline.functions.text import WHITE, bound, trimmed
 from strandline.runtime import salted_join, written
 
 # What transfers and editors leave behind a cut.
@@ -34,9 +34,21 @@ SHORTEST, LONGEST = 16, 1 << 20
 LIMIT_TEXTS, LIMIT_SHARE = 5, 0.02
 
 
+#: Characters at the end of a text in which its ending is looked for first.
+TAIL = 96
+
+
 def without_sign(text: Column) -> Column:
-    """The text without white space and signs of a cut at its end."""
-    return F.regexp_replace(trimmed(text), SIGN, "")
+    """The text without white space and signs of a cut at its end. Only an end that is all signs needs a look at the whole text."""
+    def of(whole: Column) -> Column:
+        tail = F.substring(whole, -TAIL, TAIL)
+        return bound(tail, lambda t: bound(F.regexp_replace(t, SIGN, ""), lambda r: _without(whole, F.length(t), F.length(r))))
+
+    return bound(trimmed(text), of)
+
+
+def _without(whole: Column, tail: Column, rest: Column) -> Column:
+    return F.when(rest == tail, whole).when(rest < TAIL // 4, F.regexp_replace(whole, SIGN, "")).otherwise(F.left(whole, F.length(whole) - tail + rest))
 
 
 def ends_open(text: Column) -> Column:
@@ -46,16 +58,18 @@ def ends_open(text: Column) -> Column:
     before, codes, fields with a value, and lines that sign off. Anything before a sign of a cut
     is judged as prose unless it is a closed sentence.
     """
-    whole = trimmed(text)
-    base = without_sign(text)
-    signed = F.length(whole) > F.length(base)
+    return _open(without_sign(text), F.length(trimmed(text)))
+
+
+def _open(base: Column, size: Column) -> Column:
+    signed = size > F.length(base)
     last = F.substring_index(base, "\n", -1)
     before = F.substring_index(F.substring_index(base, "\n", -2), "\n", 1)
     bars = F.length(F.regexp_replace(last, r"[^|]", ""))
     row = last.startswith("|")
     whole_row = last.rlike(r"\|\s*$") & (~before.startswith("|") | (F.length(F.regexp_replace(before, r"[^|]", "")) <= bars))
     complete = F.when(row, whole_row).otherwise(last.rlike(LIST_ENTRY) | last.rlike(CODE_LINE) | last.rlike(FIELD_LINE) | last.rlike(SIGN_OFF))
-    return (base != "") & ~base.rlike(CLOSED) & (signed | ~complete)
+    return (base != "") & ~F.substring(base, -TAIL, TAIL).rlike(CLOSED) & (signed | ~complete)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,6 +96,13 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string(), pa.string()))], ["part", "kind", "text", "follows"])
 
 
+def _marks(text: Column) -> list[Column]:
+    """whole: a digest of the text; blocks: digests of its prefixes of 16, 32, 64 ... characters, as far as it reaches (null for shorter texts)."""
+    sizes = F.expr(f"transform(sequence({SHORTEST.bit_length() - 1}, {LONGEST.bit_length() - 1}), x -> cast(shiftleft(1L, x) as int))")
+    blocks = F.transform(F.filter(sizes, lambda x: x <= F.length(text)), lambda x: F.xxhash64(F.substring(text, F.lit(1), x), x))
+    return [F.xxhash64(text).alias("whole"), F.when(F.length(text) >= SHORTEST, blocks).alias("blocks")]
+
+
 def strict_prefixes(texts: DataFrame, text: str) -> DataFrame:
     """text, follows: the distinct texts of at least ``SHORTEST`` characters that a longer one begins with, and the character it goes on with.
 
@@ -89,16 +110,19 @@ def strict_prefixes(texts: DataFrame, text: str) -> DataFrame:
     another are sorted. Prefixes of up to ``LONGEST`` characters are hashed; a longer text is
     found by the first ``LONGEST`` of it.
     """
-    t = F.col(f"`{text}`").alias("text")
-    base = texts.select(t).where(F.length("text") >= SHORTEST).select("text", F.xxhash64("text").alias("whole"), F.length("text").alias("n"))
+    named = texts.select(F.col(f"`{text}`").alias("text"))
+    return _prefixes(written(named.where("text is not null").select(*_marks(F.col("text"))), "marks"), named)
+
+
+def _prefixes(marks: DataFrame, named: DataFrame) -> DataFrame:
     # the longest power of two a text reaches is where it would be a prefix; the others are where it would be continued
-    sizes = F.expr(f"transform(sequence({SHORTEST.bit_length() - 1}, least({LONGEST.bit_length() - 1}, cast(floor(log2(n)) as int))), x -> cast(shiftleft(1L, x) as int))")
-    keyed = base.select("text", "whole", F.explode(sizes).alias("size")).select("whole", F.xxhash64(F.substring("text", F.lit(1), F.col("size")), "size").alias("block"))
+    keyed = marks.where("blocks is not null").select("whole", F.explode("blocks").alias("block"))
     shared = keyed.groupBy("block").agg(F.min("whole").alias("a"), F.max("whole").alias("z")).where("a <> z").select("block")
-    tops = base.select("text", "whole", F.xxhash64(F.substring("text", F.lit(1), F.element_at(sizes, -1)), F.element_at(sizes, -1)).alias("block"))
-    wanted = salted_join(tops.select("whole", "block"), shared, ["block"], "left_semi").select("block").distinct()
+    tops = marks.where("blocks is not null").select(F.element_at("blocks", -1).alias("block")).distinct()
+    wanted = tops.join(shared, "block", "left_semi")
     near = salted_join(keyed, wanted, ["block"], "left_semi").select("whole").distinct()
-    found = written(salted_join(base.select("text", "whole"), near, ["whole"], "left_semi").select("text").distinct().repartitionByRange("text").sortWithinPartitions("text").mapInArrow(_neighbours, "part int, kind string, text string, follows string"), "prefixes")
+    close = salted_join(named.select("text", F.xxhash64("text").alias("whole")), near, ["whole"], "left_semi").select("text").distinct()
+    found = written(close.repartitionByRange("text").sortWithinPartitions("text").mapInArrow(_neighbours, "part int, kind string, text string, follows string"), "prefixes")
     # where the order passes from one task to the next
     parts = sorted(r[0] for r in found.where("kind = 'first'").select("part").collect())
     following = dict(zip(parts, parts[1:]))
@@ -120,16 +144,13 @@ def truncated(rows: DataFrame, key: str, text: str, source: str) -> DataFrame:
     empty texts are not cut. Rows come out as often as they stand in ``rows``.
     """
     t = F.col(f"`{text}`")
-    base = rows.select(
-        F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.length(t).alias("size"), F.coalesce(ends_open(t), F.lit(False)).alias("open"), without_sign(t).alias("base")
-    )
-    prefixes = strict_prefixes(base.where("base is not null"), "base").groupBy("text").agg(F.max("follows").alias("follows"))
-    longer = prefixes.select(F.xxhash64("text").alias("h"), "text", "follows")
-    hit = salted_join(base.withColumn("h", F.xxhash64("base")).drop("size", "open", "source"), longer, ["h"]).where(F.col("base") == F.col("text"))
-    inside = (F.col("follows") != "\n") & (~F.col("base").rlike(CLOSED) | (F.col("base").rlike(r"[0-9]\.$") & F.col("follows").rlike("[0-9]")))
-    continued = hit.where(inside).select("key", F.lit(True).alias("continued")).distinct()
-    out = base.drop("base").join(continued, "key", "left").withColumn("continued", F.coalesce("continued", F.lit(False)))
-    return out.withColumn("cut", F.col("open") | F.col("continued"))
+    named = rows.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.length(t).alias("size"), F.length(trimmed(t)).alias("n"), without_sign(t).alias("base"))
+    facts = written(named.select("key", "source", "size", F.coalesce(_open(F.col("base"), F.col("n")), F.lit(False)).alias("open"), F.length("base").alias("n"), *_marks(F.col("base"))), "facts")
+    longer = _prefixes(facts, rows.select(without_sign(t).alias("text")))
+    inside = (F.col("follows") != "\n") & (~F.col("text").rlike(CLOSED) | (F.col("text").rlike(r"[0-9]\.$") & F.col("follows").rlike("[0-9]")))
+    continued = longer.where(inside).select(F.xxhash64("text").alias("whole"), F.length("text").alias("n"), F.lit(True).alias("continued")).distinct()
+    out = salted_join(facts.drop("blocks"), continued, ["whole", "n"], "left").drop("whole", "n")
+    return out.withColumn("continued", F.coalesce("continued", F.lit(False))).withColumn("cut", F.col("open") | F.col("continued"))
 
 
 def truncation_by_source(judged: DataFrame) -> DataFrame:
