@@ -1,14 +1,15 @@
 """Evaluation texts leaking into training text.
 
 The test items are an inverted index with BM25 weights whose postings lie in blocks of items,
-with the largest weight of each term in each block. Every passage of every training text is a
-query: a block whose bound stays below what its items require is skipped, the items of the other
-blocks are scored in full, and those above their threshold are verified for a run of equal words.
-
-The threshold loses nothing. A passage that holds ``run`` consecutive words of an item holds all
-distinct words of that window, and weights are not negative, so it scores at least what the
-item's weakest window scores; that is the item's threshold. Passages are ``2 * run - 1`` words or
-more and overlap so that each run of words lies wholly in one.
+with the largest weight of each term in each block. Every passage of ``run`` words of every
+training text is a query: blocks whose bound stays below what their items require are skipped,
+the items of the other blocks are scored in full, and those that reach their threshold are
+verified word by word.
+
+The threshold loses nothing. A passage that equals ``run`` words of an item scores what that
+window of the item scores, query terms counted as often as they occur, and the threshold of an
+item is the score of its weakest window. Passages begin at every word, so that scores come from
+running sums of weights.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ RUN = 15
 #: Items in one index, whose size is thereby bounded (about 15 MB for items of 100 words); more items make more indexes, each its own pass.
 ITEMS_PER_INDEX = 2_000
 #: Items in a block of postings.
-BLOCK = 16
+BLOCK = 2
 K1, B = 1.2, 0.75
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -61,58 +62,42 @@ class Index:
         self.need = np.full(self.weight.shape[1], np.inf, np.float32)
         self.runs: dict[str, list[int]] = {}
         for k, (_, w) in enumerate(held):
-            weakest = np.inf
+            self.need[k] = _windows(self.weight[[self.terms[x] for x in w], k : k + 1], run).min() * (1 - 1e-4)  # above rounding
             for i in range(len(w) - run + 1):
-                window = w[i : i + run]
-                weakest = min(weakest, float(self.weight[[self.terms[x] for x in set(window)], k].sum()))
-                hits = self.runs.setdefault(" ".join(window), [])
+                hits = self.runs.setdefault(" ".join(w[i : i + run]), [])
                 if k not in hits:
                     hits.append(k)
-            self.need[k] = weakest * (1 - 1e-4)  # above rounding
-        by_block = self.weight.reshape(m + 1, self.blocks, block)
-        self.bound = np.ascontiguousarray(by_block.max(axis=2))
-        self.block_need = self.need.reshape(self.blocks, block).min(axis=1)
-        self.block = block
+        self.weight_by_block, self.need_by_block = self.weight.reshape(m + 1, self.blocks, block), self.need.reshape(self.blocks, block)
+        self.bound, self.block_need = np.ascontiguousarray(self.weight_by_block.max(axis=2)), self.need_by_block.min(axis=1)
 
     def hits(self, text: str) -> list[int]:
         """The ids of the items of which the text holds a run of words."""
-        w = words_of(text)
-        run, none = self.run, len(self.terms)
+        w, run, none = words_of(text), self.run, len(self.terms)
         if len(w) < run or not len(self.ids):
             return []
         get = self.terms.get
-        code = np.fromiter((get(x, none) for x in w), np.int64, len(w))
-        # a window with too few indexed words in a row holds no run: whole texts without one end here
-        known = code != none
-        if known.sum() < run:
+        code = np.array([get(x, none) for x in w])
+        # a passage with a word that no item has equals none of theirs
+        passages = np.flatnonzero(_windows((code != none).astype(np.float32)[:, None], run)[:, 0] == run)
+        if not len(passages):
             return []
+        at, live = np.nonzero(_windows(self.bound[code], run)[passages] >= self.block_need)
+        if not len(at):
+            return []
+        words = code[passages[at][:, None] + np.arange(run)]
+        above = (self.weight_by_block[words, live[:, None]].sum(axis=1) >= self.need_by_block[live]).any(axis=1)
         found: set[int] = set()
-        for start in range(0, max(1, len(w) - run + 1), run):
-            passage = code[start : start + 2 * run]
-            here = known[start : start + 2 * run]
-            if not _streak(here, run):
-                continue
-            query = np.unique(passage)
-            live = np.flatnonzero(self.bound[query].sum(axis=0) >= self.block_need)
-            if not len(live):
-                continue
-            columns = (live[:, None] * self.block + np.arange(self.block)).reshape(-1)
-            score = self.weight[np.ix_(query, columns)].sum(axis=0)
-            above = set(columns[score >= self.need[columns]].tolist())
-            if above:
-                for i in range(start, min(start + run, len(w) - run + 1)):
-                    for k in self.runs.get(" ".join(w[i : i + run]), ()):
-                        if k in above:
-                            found.add(k)
+        for i in passages[np.unique(at[above])].tolist():
+            for k in self.runs.get(" ".join(w[i : i + run]), ()):
+                found.add(k)
         return [int(self.ids[k]) for k in sorted(found)]
 
 
-def _streak(flags: np.ndarray, run: int) -> bool:
-    """Whether ``run`` flags in a row are set."""
-    if len(flags) < run:
-        return False
-    gaps = np.flatnonzero(np.r_[True, ~flags, True])
-    return bool((np.diff(gaps) > run).any())
+def _windows(rows: np.ndarray, run: int) -> np.ndarray:
+    """Sums over each ``run`` consecutive rows; long texts are summed in double precision."""
+    total = np.zeros((len(rows) + 1, rows.shape[1]), np.float32 if len(rows) < 2_000 else np.float64)
+    np.cumsum(rows, axis=0, out=total[1:])
+    return total[run:] - total[:-run]
 
 
 def leaks(texts: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, run: int = RUN, items_per_index: int = ITEMS_PER_INDEX) -> DataFrame:
