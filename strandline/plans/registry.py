@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandline.plans import orphans, parse, search
+from strandline.plans import measure, orphans, parse, score, search
 
-MODULES = [orphans, parse, search]
+MODULES = [orphans, parse, search, measure, score]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}

@@ -90,7 +90,7 @@ def routes(spark: SparkSession, d: str) -> DataFrame:
 
 def identifier_hits(spark: SparkSession, d: str) -> DataFrame:
     """qid, id, route: chunks by exact code and clause, by the code alone where the clause is not there; asked are codes with clauses 4.1 and 99.9."""
-    codes = table(spark, d, "chunk_index").select("doc_code").where(F.col("doc_code").rlike("^AXSS[A-Z0-9-]+$")).distinct()
+    codes = table(spark, d, "chunk_index").select("doc_code").where(F.col("doc_code").rlike(r"^AXSS[A-Z0-9-]+\z")).distinct()
     q = codes.select("doc_code", F.explode(F.array(F.lit("4.1"), F.lit("99.9"))).alias("b")).select(F.concat_ws(" ", "doc_code", "b").alias("qid"), F.col("doc_code").alias("a"), "b")
     docs = pp.chunks(spark, d).select(F.col("id").alias("key"), "doc_code", "clause")
     return search.filtered_or_wider(q, docs).select("qid", F.col("key").alias("id"), "route")
@@ -182,7 +182,7 @@ SQL = {
       r as (select *, row_number() over (partition by qid order by score desc, dense_rank nulls last, sparse_rank nulls last, id) - 1 rank from m) select qid, id, round(score, 9) score, rank, dense_rank, sparse_rank from r where rank < {K}""",
     "dedup_cut": _DEDUP + "select * from z where place < 5",
     "routes": _PROBES,
-    "identifier_hits": pp.CHUNKS + """, q as (select distinct doc_code a, b from (select doc_code, unnest(['4.1', '99.9']) b from chunk_index where regexp_matches(doc_code, '^AXSS[A-Z0-9-]+$'))),
+    "identifier_hits": pp.CHUNKS + """, q as (select distinct doc_code a, b from (select doc_code, unnest(['4.1', '99.9']) b from chunk_index where regexp_matches(doc_code, '^AXSS[A-Z0-9-]+\\z'))),
       h as (select a || ' ' || b qid, id, clause is not distinct from b ex, bool_or(clause is not distinct from b) over (partition by a, b) any_ex from q join ch on ch.doc_code = q.a)
       select qid, id, case when any_ex then 'identifier' else 'identifier(document)' end route from h where ex or not any_ex""",
     "rerank": _POSTS + f""", x as (select qid, id, rank, (select count(*) from qp where qp.qid = dr.qid and exists (select 1 from p where p.id = dr.id and p.term = qp.term)) s from dr where rank < {K})
