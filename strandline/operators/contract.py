@@ -31,6 +31,10 @@ def normalised(responses: DataFrame) -> DataFrame:
     return responses.withColumns({n: F.lit(None).cast(t) for n, t in OPTIONAL.items() if n not in responses.columns})
 
 
+def _lacks(field: str) -> Callable[[Column], Column]:
+    return lambda entry: entry[field].isNull()
+
+
 def problems(responses: DataFrame, strict: bool = True) -> Column:
     """array<string> of what is wrong with a response; empty for one that keeps the contract and for one with an error (it is dropped, not scored)."""
     have, kinds = set(responses.columns), dict(responses.dtypes)
@@ -38,9 +42,9 @@ def problems(responses: DataFrame, strict: bool = True) -> Column:
     if "status" in have:
         checks.append(F.when(F.col("status").isNotNull() & ~F.col("status").isin(*STATUS), F.lit("status is not permitted")))
     if "sources" in have:
-        checks += [F.when(F.exists("sources", lambda s, f=f: s[f].isNull()), F.lit(f"every source needs {f}")) for f in ("doc", "clause") if f in kinds["sources"]]
+        checks += [F.when(F.exists("sources", _lacks(f)), F.lit(f"every source needs {f}")) for f in ("doc", "clause") if f in kinds["sources"]]
     if "ranked" in have:
-        checks.append(F.when(F.exists("ranked", lambda r: r["point_id"].isNull()), F.lit("every ranked entry needs point_id")))
+        checks.append(F.when(F.exists("ranked", _lacks("point_id")), F.lit("every ranked entry needs point_id")))
     if strict and {"ranked", "sources"} <= have:
         checks.append(F.when(F.size("ranked") < F.size("sources"), F.lit("ranked is shorter than sources")))
     if "confidence" in have:
