@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strandline.functions.profile import DEFAULT, CorpusProfile
 from strandline.runtime import salted_join, written
@@ -83,7 +84,7 @@ def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, vector: str = "vect
     block: list = []
 
     def one_pass(chunk: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast((pa.array([r[0] for r in chunk]), _unit(np.array([r[1] for r in chunk], np.float64))))
+        sent = spark.sparkContext.broadcast((pa.array([r[0] for r in chunk], to_arrow_type(queries.schema["qid"].dataType)), _unit(np.array([r[1] for r in chunk], np.float64))))
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, q = sent.value
