@@ -1,42 +1,12 @@
 """Every registered query of the core against its SQL on the smallest tables."""
 
-import math
-from pathlib import Path
-
-import duckdb
 import pytest
 
 from strandline.plans import registry
 
 
-@pytest.fixture(scope="session")
-def con(sf):
-    c = duckdb.connect()
-    for p in Path(sf).glob("*.parquet"):
-        c.execute(f"create view {p.stem} as select * from read_parquet('{p}')")
-    return c
-
-
-def plain(v):
-    if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6)
-    if isinstance(v, (list, tuple)):
-        return tuple(map(plain, v))
-    return v
-
-
-def same_rows(frame, con, sql):
-    names = sorted(frame.columns)
-    a = sorted((tuple(plain(r[c]) for c in names) for r in frame.collect()), key=repr)
-    cur = con.execute(sql)
-    have = [x[0] for x in cur.description]
-    assert sorted(have) == names
-    b = sorted((tuple(plain(r[have.index(c)]) for c in names) for r in cur.fetchall()), key=repr)
-    assert a == b
-
-
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
-def test_query(spark, sf, con, name):
+def test_query(spark, sf, con, same_rows, name):
     frame = registry.QUERIES[name](spark, sf)
     assert len(set(frame.columns)) == len(frame.columns)
     if name in registry.SQL:
