@@ -35,7 +35,7 @@ def p1_terms(spark: SparkSession, d: str) -> DataFrame:
     ids = base.count()
     codes = listed.where("field = 'doc_code'")
     of = codes.select("doc", F.col("chunks").alias("of"))
-    n_codes = codes.count()
+    n_codes = max(1, codes.count())
     rare = F.col("chunks") <= RARE_IDS
     code = codes.withColumn("marks", usefulness(F.col("value"), rare, F.col("chunks") / F.lit(ids) > COMMON_CODE))
     clause = listed.where("field = 'clause'").withColumn("marks", usefulness(F.col("value"), rare, F.col("documents") / F.lit(n_codes) > COMMON_CLAUSE))

@@ -127,12 +127,13 @@ def residue(text: Column) -> Residue:
     tokens = F.regexp_extract_all(core, F.lit(r"\p{L}+"), F.lit(0))
     n = F.size(tokens)
     pieces = F.flatten(F.transform(tokens, lambda w: F.regexp_extract_all(w, F.lit(r"\p{L}{1,3}"), F.lit(0))))
+    some = F.greatest(n, F.lit(1))
     latin = F.size(F.filter(tokens, lambda w: w.isin(LATIN)))
-    repeated = F.size(F.array_distinct(tokens)) / n <= DIFFERENT_WORDS
+    repeated = F.size(F.array_distinct(tokens)) / some <= DIFFERENT_WORDS
     one_letter = F.forall(tokens, lambda w: F.size(F.array_distinct(F.split(w, ""))) <= 2) & (n >= LEAST_WORDS - 1)
     # no function word at all, and a few syllables that come back again and again
-    scrambled = ~F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in sorted(set(FUNCTION_WORDS))])) & (F.size(F.array_distinct(pieces)) / F.size(pieces) <= DIFFERENT_PIECES)
-    filler = core.rlike("|".join(f"({p})" for p in FILLER)) | ((n >= LEAST_WORDS) & (repeated | scrambled | (latin / n >= LATIN_SHARE))) | ((n > 0) & one_letter)
+    scrambled = ~F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in sorted(set(FUNCTION_WORDS))])) & (F.size(F.array_distinct(pieces)) / F.greatest(F.size(pieces), F.lit(1)) <= DIFFERENT_PIECES)
+    filler = core.rlike("|".join(f"({p})" for p in FILLER)) | ((n >= LEAST_WORDS) & (repeated | scrambled | (latin / some >= LATIN_SHARE))) | ((n > 0) & one_letter)
     describes = core.rlike(DESCRIPTION)
     message = core.rlike("|".join(f"({p})" for p in MESSAGES)) & ~describes
     notice = core.rlike("|".join(f"({p})" for p in NOTICES)) & ~describes
