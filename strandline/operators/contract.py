@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.text import bound
+
 # The states a response may have, and its fields.
 STATUS = ("supported_answer", "partial_answer", "needs_clarification", "insufficient_evidence", "missing_required_source", "conflicting_evidence", "access_restricted", "out_of_scope")
 REQUIRED = ("answer", "sources", "ranked", "status")
@@ -75,15 +77,17 @@ def truncate_claim(text: Column) -> Column:
     a word that dangles, and three tokens after it.
     """
     tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
-    words = F.transform(tokens, lambda t: F.lower(F.regexp_extract(t, r"[A-Za-z][A-Za-z0-9'-]*", 0)))
+    return bound(tokens, lambda t: bound(F.transform(t, lambda x: F.lower(F.regexp_extract(x, r"[A-Za-z][A-Za-z0-9'-]*", 0))), lambda w: _cut(t, w)))
+
+
+def _cut(tokens: Column, words: Column) -> Column:
     n = F.size(tokens)
     spots = F.when(n >= HEAD_TOKENS + TAIL_TOKENS, F.sequence(n - TAIL_TOKENS, F.lit(HEAD_TOKENS), F.lit(-1))).otherwise(F.array().cast("array<int>"))
     head = lambda i: F.rtrim(F.regexp_replace(F.array_join(F.slice(tokens, 1, i), " "), r"[,;: ]+$", ""))
 
     def good(i: Column) -> Column:
-        before = F.slice(words, 1, i)
         return (
-            F.get(words, i).isin(*PREPOSITIONS) & F.arrays_overlap(before, F.array(*[F.lit(v) for v in VERBS]))
+            F.get(words, i).isin(*PREPOSITIONS) & F.arrays_overlap(F.slice(words, 1, i), F.array(*[F.lit(v) for v in VERBS]))
             & ~F.get(words, i - 1).isin(*DANGLING) & (F.size(F.split(head(i), " ")) >= HEAD_TOKENS)
         )
 

@@ -147,39 +147,43 @@ def frame_refs(frame: DataFrame) -> DataFrame:
     return ev.unionByName(sp)
 
 
-#: Words of a span that pick its candidates: chunks are looked up by the first so many words of a span, in every place of their text.
-GRAM = 6
+#: Whole pieces inside a span by which its candidates are looked up: as many as fit, of these.
+GRAMS = (6, 3, 1)
 
 
 def resolve(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     """The references with labels (distinct clauses of the chunks of their document whose text contains the span) and n_chunks.
 
     Texts are compared with white space collapsed and letter case ignored. Instead of testing
-    every span on every chunk of its document, spans and chunks meet on the document and the
-    first ``GRAM`` blank-separated pieces of the span; only those that meet are compared in full.
-    The first and the last piece may be cut in the middle of a word, so the pieces compared are
-    whole ones inside the span; shorter spans meet on the document alone. An empty span resolves
-    to nothing. ``chunks`` has id, doc, clause, text, one row an id.
+    every span on every chunk of its document, spans and chunks meet on the document and a run of
+    whole pieces inside the span (its first and last piece may be cut in the middle of a word):
+    six, else three, else the longest one. Only those that meet are compared in full. Spans of
+    one or two pieces meet the chunks of their document. Equal spans of a document are looked up
+    once. An empty span resolves to nothing. ``chunks`` has id, doc, clause, text, one row an id.
     """
-    key = ["anchor_id", "field", "claim", "ref"]
     r = refs.withColumn("span_norm", collapsed(F.col("span")))
-    pieces = F.split("span_norm", " ")
-    long = F.size(pieces) >= GRAM + 2
-    gram = F.when(long, F.array_join(F.slice(pieces, 2, GRAM), " "))
-    r = r.withColumn("gram", F.xxhash64(gram)).withColumn("long", long)
+    asked = r.where("span_norm <> ''").select("doc", "span_norm").distinct().withColumn("pieces", F.split("span_norm", " "))
+    inner = F.slice("pieces", 2, F.greatest(F.size("pieces") - 2, F.lit(0)))
+    asked = asked.select("doc", "span_norm", inner.alias("inner"))
+    n = F.size("inner")
+    longest = F.array_max(F.transform("inner", lambda x: F.struct(F.length(x), x.alias("x"))))["x"]
+    run = F.when(n >= GRAMS[0], F.slice("inner", 1, GRAMS[0])).when(n >= GRAMS[1], F.slice("inner", 1, GRAMS[1])).when(n >= 1, F.array(longest))
+    asked = asked.withColumn("gram", F.when(run.isNotNull(), F.xxhash64(run))).drop("inner")
     body = chunks.select("id", "doc", F.col("clause").alias("label"), collapsed(F.col("text")).alias("body")).where("doc <> ''")
-    words = F.split("body", " ")
-    at = F.sequence(F.lit(1), F.greatest(F.size(words) - GRAM + 1, F.lit(1)))
+    # a column of its own: inside a lambda an expression would be computed for every position
+    split = body.select("id", "doc", F.split("body", " ").alias("w"))
+    runs = lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - g + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, g)))
     # only digests travel until a chunk is known to share one with a span of its document
-    index = body.select("id", "doc", F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i, GRAM), " "))))).alias("gram"))
-    wanted = r.where("long and span_norm <> ''").select(*key, "doc", "gram", "span_norm")
-    met = salted_join(wanted, index.join(wanted.select("doc", "gram").distinct(), ["doc", "gram"], "left_semi"), ["doc", "gram"])
-    by_gram = met.drop("doc", "gram").join(body.select("id", "label", "body"), "id").where("contains(body, span_norm)")
-    short = r.where("not long and span_norm <> ''").select(*key, "doc", "span_norm")
+    index = split.select("id", "doc", F.explode(F.array_distinct(F.concat(*[runs(g) for g in GRAMS]))).alias("gram"))
+    wanted = asked.where("gram is not null")
+    near = index.join(wanted.select("doc", "gram").distinct(), ["doc", "gram"], "left_semi")
+    met = salted_join(near, wanted, ["doc", "gram"]).drop("gram")
+    by_run = met.join(body.drop("doc"), "id").where("contains(body, span_norm)")
+    short = asked.where("gram is null").select("doc", "span_norm")
     by_doc = salted_join(body, short, ["doc"]).where("contains(body, span_norm)")
-    hits = by_gram.select(*key, "label").unionByName(by_doc.select(*key, "label"))
-    found = hits.groupBy(*key).agg(F.array_sort(F.collect_set("label")).alias("labels"), F.count(F.lit(1)).alias("n_chunks"))
-    out = r.drop("gram", "long", "span_norm").join(found, key, "left")
+    hits = by_run.select("doc", "span_norm", "label").unionByName(by_doc.select("doc", "span_norm", "label"))
+    found = hits.groupBy("doc", "span_norm").agg(F.array_sort(F.collect_set("label")).alias("labels"), F.count(F.lit(1)).alias("n_chunks"))
+    out = r.join(found, ["doc", "span_norm"], "left").drop("span_norm")
     return out.withColumn("labels", F.coalesce("labels", F.array().cast("array<string>"))).withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
 
 
