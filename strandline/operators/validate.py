@@ -77,7 +77,7 @@ def item_statistics(scores: DataFrame) -> DataFrame:
     t = scores.join(run_mean, "run").withColumn("flip", (passed != F.lag(passed).over(Window.partitionBy("item").orderBy("run"))).cast("int"))
     corr = F.try_divide(F.covar_pop("score", "m"), F.stddev_pop("score") * F.stddev_pop("m"))
     return t.groupBy("item").agg(
-        F.count(F.lit(1)).alias("runs"), F.round(F.avg("score"), 6).alias("difficulty"), F.round(corr, 4).alias("discrimination"), F.coalesce(F.sum("flip"), F.lit(0)).alias("flips")
+        F.count(F.lit(1)).alias("runs"), F.round(F.avg("score"), 6).alias("difficulty"), (F.round(corr, 4) + 0.0).alias("discrimination"), F.coalesce(F.sum("flip"), F.lit(0)).alias("flips")
     )
 
 

@@ -109,6 +109,11 @@ SQL = {
       t as (select 'total' subject, 'expected 200, found ' || count(*) problem from i having count(*) <> 200) select * from p union all select * from c union all select * from t""",
     "recall_by_role": pm._SWEEP + f""", ro as (select anchor_id, coalesce({pp._trim('s.doc_code')}, '') doc, coalesce({pp._trim('s.clause')}, '') clause, min(s.role) role from (select anchor_id, unnest(_anchor.spans) s from frame_items) group by 1, 2, 3)
       select config, coalesce(role, 'none') role, count(*) spans, count(case when hit then 1 end) reached, round(count(case when hit then 1 end) / count(*), 6) recall from hit left join ro using (anchor_id, doc, clause) group by 1, 2""",
+    "coverage_by_reach": pm._SWEEP + ", " + pc._V.removeprefix("with ") + """, rc as (select anchor_id, case when count(*) = count(case when hit then 1 end) then 'all' when bool_or(hit) then 'some' else 'none' end reach from hit where config = 'A' group by 1)
+      select reach, count(*) items, round(avg(coverage), 6) coverage from rc join it on it.item = rc.anchor_id group by 1""",
+    "item_statistics": pc._V + f""", s as (select item, run, case when {pc._DRAW("'loss'", 'item', 'run')} < 0.1 then 0.0 else coverage end score from it, (select unnest([0, 1, 2, 3]) run) where coverage is not null), m as (select run, avg(score) m from s group by 1),
+      w as (select item, score, m, (score = 1.0) <> lag(score = 1.0) over (partition by item order by run) flip from s join m using (run))
+      select item, count(*) runs, round(avg(score), 6) difficulty, round(covar_pop(score, m) / nullif(stddev_pop(score) * stddev_pop(m), 0), 4) + 0.0::double discrimination, coalesce(sum(flip::int), 0)::bigint flips from w group by 1""",
     "answer_rates": pc._V + f""", a as (select item, class, count(*) claims, count(case when not coalesce(verdict, true) then 1 end) unsupported from v group by 1, 2),
       br as (select *, unsupported > 0 and {pc._DRAW("'crit'", 'item')} < 0.2 critical, class = 'negative' fp, {pc._DRAW("'prem'", 'item')} < 0.3 ap from a)
       select count(*) answers, round(sum(unsupported) / nullif(sum(claims), 0), 6) unsupported_claims, round(count(case when critical then 1 end) / count(*), 6) critical, round(count(case when fp and ap then 1 end) / nullif(count(case when fp then 1 end), 0), 6) false_premise_accepted from br""",

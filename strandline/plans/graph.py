@@ -131,6 +131,12 @@ SQL = {
       select *, lost = '' and added = '' faithful from k""",
     "fabricated_citations": ps._DEDUP + """, he as (select distinct qid, coalesce(doc_code, '') doc from z join ch using (id) where place < 5), ci as (select distinct anchor_id qid, coalesce(s.doc_code, '') doc from (select anchor_id, unnest(_anchor.spans) s from frame_items) where anchor_id in (select qid from q))
       select ci.qid, ci.doc from ci anti join he on he.qid = ci.qid and he.doc = ci.doc""",
+    "response_problems": f"""with f as (select distinct on (anchor_id) * from frame_items), r as (select anchor_id, case when class = 'negative' then '{REFUSAL} say.' else claims[1].text end answer, _anchor.spans s, list_filter(_anchor.spans, lambda x: x.doc_code is not null) k,
+        case when status = 'retired' then 'retired' end error, len(claims) / 4 conf, claims from f),
+      t as (select *, case when error is not null then null when starts_with(ltrim(coalesce(answer, '')), '{REFUSAL}') then 'insufficient_evidence' else 'supported_answer' end status from r)
+      select anchor_id, status, case when error is not null then '' else array_to_string(list_filter([case when answer is null then 'missing required field: answer' end, case when s is null then 'missing required field: sources' end, case when k is null then 'missing required field: ranked' end,
+        case when status is null then 'missing required field: status' end, case when len(list_filter(s, lambda x: x.doc_code is null)) > 0 then 'every source needs doc' end, case when len(list_filter(s, lambda x: x.clause is null)) > 0 then 'every source needs clause' end,
+        case when len(list_filter(k, lambda x: x.point_id is null)) > 0 then 'every ranked entry needs point_id' end, case when len(k) < len(s) then 'ranked is shorter than sources' end, case when not (conf between 0 and 1) then 'confidence is not in 0..1' end], lambda x: x is not null), '; ') end problems from t""",
     "collection_stats": "select count(*) points, count(distinct doc_code) documents from chunk_index",
     "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2",
     "event_sliding": "select strftime(date_trunc('hour', ts) - to_hours(k), '%Y-%m-%d %H:%M') as start, event_type, count(*) n from events, (select unnest([0, 1]) k) group by 1, 2",

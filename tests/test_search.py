@@ -106,3 +106,24 @@ def test_content_ids_survive_a_move(spark):
     b = spark.createDataFrame([("s", "new", 0), ("s", "x", 11), ("s", "x", 13), ("s", "y", 20)], "src string, b string, p int")
     ids = lambda t: {(r["b"], r["content_id"]) for r in index.content_ids(t, "src", "b", ["p"]).collect()}
     assert ids(a) < ids(b) and len(ids(b)) == 4
+
+
+def test_each_route_of_retrieval(spark):
+    docs = spark.createDataFrame([("1", "AXSS-E-ST-10", "4.1", "text"), ("2", "AXSS-E-ST-10", "4.2", "text"), ("3", "AXSS-E-ST-20", "3.1", "definition"), ("4", "AXSS-E-ST-20", "5", "text")], "key string, doc_code string, clause string, element_type string")
+    q = spark.createDataFrame([("id", "axss-e-st-10 4.2"), ("wide", "AXSS-E-ST-10 9.9"), ("def", "what is a pump?"), ("gen", "how long is a pump kept under load")], "qid string, text string")
+    asked = []
+
+    def lists(table, n):
+        asked.append(n)
+        seen = {r["qid"]: r["text"] for r in table.collect()}
+        assert seen["def"] == "pump" and seen["gen"].startswith("how long")
+        rows = [(i, k, r) for i in seen for r, k in enumerate("4312")]
+        dense = spark.createDataFrame([(i, k, 1.0 - r / 10, r) for i, k, r in rows], "qid string, key string, score double, rank int")
+        return {"dense": dense, "sparse": dense}
+
+    got = {}
+    for r in search.retrieve(q, lists, docs, 3).orderBy("qid", "rank").collect():
+        got.setdefault((r["qid"], r["route"]), []).append(r["key"])
+    assert asked == [6]
+    # the definition overtakes only where a definition is asked for
+    assert got == {("id", "identifier"): ["2"], ("wide", "identifier(document)"): ["1", "2"], ("def", "definitional"): ["3", "4", "1"], ("gen", "general"): ["4", "3", "1"]}
