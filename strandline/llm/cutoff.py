@@ -129,8 +129,9 @@ def _prefixes(marks: DataFrame, named: DataFrame) -> DataFrame:
     inside = found.where("kind = 'prefix'").select("text", "follows")
     if not following:
         return inside
-    step = F.element_at(F.create_map(*[F.lit(x) for kv in following.items() for x in kv]), F.col("part"))
-    ends = found.where("kind = 'last'").select(step.alias("part"), "text").join(found.where("kind = 'first'").select("part", F.col("text").alias("next")), "part")
+    step = found.sparkSession.createDataFrame(list(following.items()), "part int, next_part int")
+    first = found.where("kind = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("next"))
+    ends = found.where("kind = 'last'").select("part", "text").join(step, "part").join(first, "next_part")
     at = ends.where("startswith(next, text)").select("text", F.expr("substring(next, length(text) + 1, 1)").alias("follows"))
     return inside.unionByName(at)
 
@@ -139,7 +140,8 @@ def truncated(rows: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """key, source, size, open, continued, cut: the evidence on every row, and the verdict.
 
     ``open``: the text's own end is open. ``continued``: a longer text begins with this one (less
-    the sign of the cut) and goes on inside the word or the line. ``cut`` is either. A text that a
+    the sign of the cut) and goes on inside the word or the line; of several, the first in order
+    of their bytes says how. ``cut`` is either. A text that a
     longer one continues after a closed sentence or on a new line is not cut by that. Null and
     empty texts are not cut. Rows come out as often as they stand in ``rows``.
     """

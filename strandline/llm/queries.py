@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.text import body, filled, trimmed
+from strandline.llm import cutoff as cut
 from strandline.llm import residue as res
 from strandline.llm.cutoff import truncated, truncation_by_source
 from strandline.llm.dupes import copies, duplicate_groups
@@ -62,7 +63,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """id, cleaned: every chunk without the repeated lines of its doc_code."""
     _, repeated = _line_documents(spark, d)
-    rows = table(spark, d, "chunk_index").select("id", "doc_code", "text")
+    rows = table(spark, d, "chunk_index").select("id", "doc_code", "text").dropDuplicates(["id"])
     return without_lines(rows, filled(F.col("doc_code")), "text", written(repeated, "repeated")).select("id", "cleaned")
 
 
@@ -192,7 +193,22 @@ h as (select distinct item_id, array_to_string(w[k:k+{RUN - 1}], ' ') run from (
 """
 
 
-def _residue_sql() -> str:
+def _cutoff_sql() -> str:
+    q = lambda s: "'" + s.replace("'", "''").replace(r"\x85", r"\x{85}") + "'"
+    bars = lambda c: f"length(regexp_replace({c}, '[^|]', '', 'g'))"
+    closed = lambda c: f"regexp_matches({c}, {q(cut.CLOSED)})"
+    return f"""
+with a as (select doc_id, {_trim('text')} t from documents), b as (select *, regexp_replace(t, {q(cut.SIGN)}, '') base from a),
+l as (select *, string_split(base, chr(10))[-1] last, coalesce(string_split(base, chr(10))[-2], base) before from b),
+o as (select *, base <> '' and not {closed(f'right(base, {cut.TAIL})')} and (length(t) > length(base) or not (case when starts_with(last, '|') then regexp_matches(last, '\\|\\s*$') and (not starts_with(before, '|') or {bars('before')} <= {bars('last')})
+  else regexp_matches(last, {q(cut.LIST_ENTRY)}) or regexp_matches(last, {q(cut.CODE_LINE)}) or regexp_matches(last, {q(cut.FIELD_LINE)}) or regexp_matches(last, {q(cut.SIGN_OFF)}) end)) open from l),
+n as (select x.doc_id, x.base, min(y.base) longer from b x join b y on length(x.base) >= {cut.SHORTEST} and length(y.base) > length(x.base) and starts_with(y.base, x.base) group by 1, 2),
+f as (select doc_id from (select *, substring(longer, length(base) + 1, 1) follows from n) where follows <> chr(10) and (not {closed('base')} or (regexp_matches(base, '[0-9]\\.$') and regexp_matches(follows, '[0-9]'))))
+select distinct doc_id from o where open or doc_id in (select doc_id from f)
+"""
+
+
+def _residue_sql(end: str = "select distinct caption_id from f where placeholder or filler or message or notice") -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     any_of = lambda patterns: q("|".join(f"({p})" for p in patterns))
     words = "[" + ", ".join(q(w) for w in sorted(set(res.FUNCTION_WORDS))) + "]"
@@ -209,7 +225,7 @@ f as (select caption_id, marks > 0 and not (tut >= 2 and marks * {res.DENSITY} <
       or len(list_filter(w, lambda x: list_contains({latin}, x))) / len(w) >= {res.LATIN_SHARE}))
   or (len(w) >= {res.LEAST_WORDS - 1} and len(list_filter(w, lambda x: len(list_distinct(string_split(x, ''))) > 1)) = 0) filler,
   regexp_matches(core, {any_of(res.MESSAGES)}) and not des message, regexp_matches(core, {any_of(res.NOTICES)}) and not des notice from p)
-select distinct caption_id from f where placeholder or filler or message or notice
+{end}
 """
 
 
@@ -222,10 +238,14 @@ SQL = {
     "p1_found": _LABELS + "select field, value, 'rare' as mark from t where rare union all select field, value, 'common' from t where common",
     "p1_terms": _LABELS + "select field, value, chunks, documents, list_concat(case when rare then ['rare'] else [] end, case when common then ['common'] else [] end) marks from t",
     "p2_found": _LINES,
+    "p2_cleaned": _LINES.replace("select id, line_no from n", ", bad as (select id, line_no, true hit from n").rstrip() + """), k as (select u.id, string_agg(line, chr(10) order by u.line_no) filter (where hit is null) t from u left join bad on bad.id = u.id and bad.line_no = u.line_no group by 1)
+      select b.id, case when b.doc is null then b.text else coalesce(k.t, '') end cleaned from b left join k using (id)""",
     "p3_found": _SPLIT,
     "p4_found": _COPIES + "select keep_id, id as copy_id from k join g using (body, parts) where id <> keep_id",
     "p4_groups": _COPIES + "select keep_id, copies from g",
     "p6_found": _residue_sql(),
+    "p6_reasons": _residue_sql("select reason, count(distinct caption_id) captions from (select caption_id, case when placeholder then 'placeholder' when filler then 'filler' when message then 'message' when notice then 'notice' end reason from f) where reason is not null group by 1"),
     "p7_found": _LEAKS + "select distinct doc_id, item_id from g join h using (run)",
     "p7_items": _LEAKS + "select item_id, count(distinct doc_id) documents from g join h using (run) group by 1",
+    "p9_found": _cutoff_sql(),
 }
