@@ -153,7 +153,7 @@ SQL = {
     "recall_sweep": _SWEEP + """, it as (select config, anchor_id, count(case when hit then 1 end) got, count(*) need from hit group by 1, 2)
       select config, sum(got)::bigint spans_reached, sum(need)::bigint spans_total, count(case when got = need then 1 end) items_all_spans, count(case when got = 0 then 1 end) items_no_span, count(*) items_total from it group by 1""",
     "gains_losses": _SWEEP + " select * from gl",
-    "change_tests": _SWEEP + """, k as (select c config, count(case when change = 'gain' then 1 end) gains, count(case when change = 'loss' then 1 end) losses from (select unnest(['B', 'C']) c) left join gl on gl.config = c group by 1)
+    "change_tests": _SWEEP + """, k as (select c config, count(case when change = 'gain' then 1 end) gains, count(case when change = 'loss' then 1 end) losses from (select distinct config c from hit where config <> 'A') left join gl on gl.config = c group by 1)
       select config, gains, losses, round(case when gains + losses = 0 then 1.0 else least(1.0, 2 * (select sum(exp(lgamma(gains + losses + 1) - lgamma(i + 1) - lgamma(gains + losses - i + 1) - (gains + losses) * ln(2))) from (select unnest(range(least(gains, losses) + 1)) i))) end, 6) p from k""",
     "rank_metrics": ps._POSTS + f""", {_SPANS}, rk as (select qid, coalesce(doc_code, '') doc, min(rank) rank from cr join ch using (id) where rank < 10 group by 1, 2), nd as (select distinct anchor_id qid, doc from aa where anchor_id in (select qid from q)),
       n as (select qid, count(*) n from nd group by 1), h as (select qid, count(*) hits, min(rank) fst, sum(1.0 / log2(rank + 2)) dcg from rk join nd using (qid, doc) group by 1)
