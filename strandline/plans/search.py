@@ -19,9 +19,9 @@ def number(anchor: Column) -> Column:
     return F.regexp_extract(anchor, r"([0-9]+)$", 1).cast("long")
 
 
-def questions(spark: SparkSession, d: str) -> DataFrame:
+def questions(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
     """qid, text, prompt: the questions that search."""
-    t = table(spark, d, "frame_items").where(number(F.col("anchor_id")) % EVERY == 0)
+    t = table(spark, d, "frame_items").where(number(F.col("anchor_id")) % every == 0)
     prompt = F.coalesce("prompt_as_typed", F.concat_ws(" ", "context", "question"))
     return t.groupBy(F.col("anchor_id").alias("qid")).agg(F.min(F.coalesce("question", "prompt_as_typed", F.lit(""))).alias("text"), F.min(prompt).alias("prompt"))
 
@@ -96,11 +96,11 @@ def identifier_hits(spark: SparkSession, d: str) -> DataFrame:
     return search.filtered_or_wider(q, docs).select("qid", F.col("key").alias("id"), "route")
 
 
-def retrieved(spark: SparkSession, d: str) -> DataFrame:
+def retrieved(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
     """qid, id, rank, route, score: routed retrieval for the questions."""
     posts = chunk_postings(spark, d)
     docs = pp.chunks(spark, d).select(F.col("id").alias("key"), "doc_code", "clause", "element_type")
-    t = search.retrieve(questions(spark, d).select("qid", "text"), lambda q, n: _lists(posts, q, n), docs, K)
+    t = search.retrieve(questions(spark, d, every).select("qid", "text"), lambda q, n: _lists(posts, q, n), docs, K)
     return t.select("qid", F.col("key").alias("id"), "rank", "route", F.round("score", 9).alias("score"))
 
 
