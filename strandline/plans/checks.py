@@ -117,6 +117,8 @@ SQL = {
     "answer_rates": pc._V + f""", a as (select item, class, count(*) claims, count(case when not coalesce(verdict, true) then 1 end) unsupported from v group by 1, 2),
       br as (select *, unsupported > 0 and {pc._DRAW("'crit'", 'item')} < 0.2 critical, class = 'negative' fp, {pc._DRAW("'prem'", 'item')} < 0.3 ap from a)
       select count(*) answers, round(sum(unsupported) / nullif(sum(claims), 0), 6) unsupported_claims, round(count(case when critical then 1 end) / count(*), 6) critical, round(count(case when fp and ap then 1 end) / nullif(count(case when fp then 1 end), 0), 6) false_premise_accepted from br""",
+    "judged_claims": """with c as (select unnest(claims) c from (select distinct on (anchor_id) claims from frame_items)), w as (select regexp_extract_all(lower(coalesce(c.text, '')), '\\S+') a, regexp_extract_all(lower(coalesce(c.evidence[1].span, '')), '\\S+') b from c)
+      select list_has_all(b, a) verdict, count(*) claims from w group by 1""",
     "sample_power": f"""with {pm._SPANS}, n as (select count(*) n from aa), t as (select i, i // n r, n from (select unnest(range(200 * n)) i, n from n)),
       g as (select r, n, count(case when not a and b then 1 end) up, count(case when a and not b then 1 end) down from (select r, n, {pc._DRAW('42', "'a'", 'i')} < 0.8 a, {pc._DRAW('42', "'b'", 'i')} < 0.85 b from t) group by 1, 2)
       select max(n)::int n, 0.8::double base, 0.05::double gain, round(avg(((up - down) / sqrt(greatest(up + down, 1)) > 1.959963984540054)::int), 6) power from g""",

@@ -140,6 +140,11 @@ SQL = {
     "collection_stats": "select count(*) points, count(distinct doc_code) documents from chunk_index",
     "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2",
     "event_sliding": "select strftime(date_trunc('hour', ts) - to_hours(k), '%Y-%m-%d %H:%M') as start, event_type, count(*) n from events, (select unnest([0, 1]) k) group by 1, 2",
+    "document_items": f"""with l as (select doc_id, unnest(string_split(text, chr(10))) x, unnest(range(len(string_split(text, chr(10))))) n from documents),
+      k as (select *, {pp._trim('x')} t, case when starts_with({pp._trim('x')}, '|') then 'table' when starts_with(x, '#') then 'section_header' when {pp._trim('x')} <> '' then 'text' end label from l),
+      g as (select doc_id, n - row_number() over (partition by doc_id order by n) g, length(t) c from k where label = 'table'), tb as (select doc_id, g, sum(c) + count(*) - 1 c from g group by 1, 2),
+      a as (select 'table' label, c from tb union all select label, length(case when label = 'text' then t else {pp._trim("ltrim(x, '#')")} end) from k where label in ('text', 'section_header'))
+      select label, count(*) items, sum(c)::bigint characters from a group by 1""",
     "event_sessions": """with a as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end b from events), s as (select user_id, ts, sum(b) over (partition by user_id order by ts, b desc) k from a),
       g as (select user_id, k, count(*) n from s group by 1, 2) select user_id, count(*) sessions, max(n) longest from g group by 1""",
 }
