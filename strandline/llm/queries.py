@@ -193,18 +193,18 @@ h as (select distinct item_id, array_to_string(w[k:k+{RUN - 1}], ' ') run from (
 """
 
 
-def _cutoff_sql() -> str:
+def _cutoff_sql(end: str = "select distinct doc_id from o where open or doc_id in (select doc_id from f)") -> str:
     q = lambda s: "'" + s.replace("'", "''").replace(r"\x85", r"\x{85}") + "'"
     bars = lambda c: f"length(regexp_replace({c}, '[^|]', '', 'g'))"
     closed = lambda c: f"regexp_matches({c}, {q(cut.CLOSED)})"
     return f"""
-with a as (select doc_id, {_trim('text')} t from documents), b as (select *, regexp_replace(t, {q(cut.SIGN)}, '') base from a),
+with a as (select doc_id, source, length(text) size, {_trim('text')} t from documents), b as (select *, regexp_replace(t, {q(cut.SIGN)}, '') base from a),
 l as (select *, string_split(base, chr(10))[-1] last, coalesce(string_split(base, chr(10))[-2], base) before from b),
 o as (select *, base <> '' and not {closed(f'right(base, {cut.TAIL})')} and (length(t) > length(base) or not (case when starts_with(last, '|') then regexp_matches(last, '\\|\\s*$') and (not starts_with(before, '|') or {bars('before')} <= {bars('last')})
   else regexp_matches(last, {q(cut.LIST_ENTRY)}) or regexp_matches(last, {q(cut.CODE_LINE)}) or regexp_matches(last, {q(cut.FIELD_LINE)}) or regexp_matches(last, {q(cut.SIGN_OFF)}) end)) open from l),
 n as (select x.doc_id, x.base, min(y.base) longer from b x join b y on length(x.base) >= {cut.SHORTEST} and length(y.base) > length(x.base) and starts_with(y.base, x.base) group by 1, 2),
 f as (select doc_id from (select *, substring(longer, length(base) + 1, 1) follows from n) where follows <> chr(10) and (not {closed('base')} or (regexp_matches(base, '[0-9]\\.$') and regexp_matches(follows, '[0-9]'))))
-select distinct doc_id from o where open or doc_id in (select doc_id from f)
+{end}
 """
 
 
@@ -248,4 +248,7 @@ SQL = {
     "p7_found": _LEAKS + "select distinct doc_id, item_id from g join h using (run)",
     "p7_items": _LEAKS + "select item_id, count(distinct doc_id) documents from g join h using (run) group by 1",
     "p9_found": _cutoff_sql(),
+    "p9_sources": _cutoff_sql(f""", j as (select source, size, coalesce(open, false) or doc_id in (select doc_id from f) cut from o), s as (select source, count(*) texts, count(case when cut then 1 end) cut from j group by 1),
+      p as (select source, size, count(case when cut then 1 end) c from j group by 1, 2), m as (select p.source, list_sort(list(size)) limits from p join s on p.source is not distinct from s.source where c >= {cut.LIMIT_TEXTS} and c / texts >= {cut.LIMIT_SHARE} group by 1)
+      select s.source, texts, cut, cut / texts share, coalesce(limits, []) limits from s left join m on m.source is not distinct from s.source"""),
 }
