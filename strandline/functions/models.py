@@ -7,15 +7,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters of a text that go to an encoder.
-ENCODER_CHARS = 8_000
-
 
 def model(factory: Callable[[], Callable], returns: str, batch: int = 32) -> Callable[..., Column]:
     """A column function that calls ``factory()`` once a worker and the model it gives on lists of up to ``batch`` values for each argument.
@@ -43,10 +41,56 @@ def model(factory: Callable[[], Callable], returns: str, batch: int = 32) -> Cal
     return call
 
 
-def embedder(factory: Callable[[], Callable], batch: int = 32) -> Callable[[Column], Column]:
-    """Texts to vectors; a null text has none."""
-    call = model(factory, "array<float>", batch)
-    return lambda text: F.when(text.isNotNull(), call(F.substring(text, 1, ENCODER_CHARS), F.lit(1)))
+def embedder(factory: Callable[[], Callable], batch: int = 32, limit: int | None = None) -> Callable[[Column], Column]:
+    """Whole texts to vectors; a null text has none. ``limit``: the most characters the encoder takes at once, where it has such a limit."""
+    call = model(factory if limit is None else windowed(factory, limit, batch), "array<float>", batch)
+    return lambda text: F.when(text.isNotNull(), call(text, F.lit(1)))
+
+
+def windows(text: str, limit: int) -> list[str]:
+    """A text in pieces of up to ``limit`` characters that together are the text, cut after white space where a piece has any."""
+    out, a = [], 0
+    while len(text) - a > limit:
+        cut = next((i + 1 for i in range(a + limit - 1, a, -1) if text[i].isspace()), a + limit)
+        out.append(text[a:cut])
+        a = cut
+    return [*out, text[a:]]
+
+
+def windowed(factory: Callable[[], Callable], limit: int, batch: int = 32) -> Callable[[], Callable]:
+    """The factory of an encoder of texts of any length from that of one with a limit.
+
+    The vectors of a longer text's windows are added, weighted by their lengths, and scaled to length 1.
+    """
+
+    def load() -> Callable:
+        run = factory()
+
+        def whole(texts: list[str], *_: list) -> list:
+            parts = [(i, w) for i, t in enumerate(texts) for w in windows(t or "", limit)]
+            got: list = []
+            for a in range(0, len(parts), batch):
+                sent = [w for _, w in parts[a : a + batch]]
+                vectors = list(run(sent, [1] * len(sent)))
+                if len(vectors) != len(sent):
+                    raise ValueError(f"{len(vectors)} results for {len(sent)} values")
+                got += vectors
+            each: list[list] = [[] for _ in texts]
+            for (i, w), v in zip(parts, got):
+                each[i].append((len(w), v))
+            out = []
+            for e in each:
+                if len(e) == 1 or any(v is None for _, v in e):
+                    out.append(e[0][1] if len(e) == 1 else None)
+                    continue
+                total = sum(n * np.asarray(v, np.float64) for n, v in e)
+                size = np.linalg.norm(total)
+                out.append((total / size if size else total).tolist())
+            return out
+
+        return whole
+
+    return load
 
 
 def scorer(factory: Callable[[], Callable], batch: int = 32) -> Callable[[Column, Column], Column]:
@@ -64,6 +108,11 @@ def generator(factory: Callable[[], Callable], batch: int = 8) -> Callable[[Colu
     return model(factory, "string", batch)
 
 
+@lru_cache(maxsize=100_000)
+def _digest(word: str) -> int:
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
+
+
 class HashEncoder:
     """A stand-in encoder: each word adds a signed unit to a place that its digest picks; the sum is scaled to length 1."""
 
@@ -75,7 +124,7 @@ class HashEncoder:
         for t in texts:
             v = np.zeros(self.size)
             for w in (t or "").lower().split():
-                h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
+                h = _digest(w)
                 v[h % self.size] += 1 if h >> 63 else -1
             n = np.linalg.norm(v)
             out.append((v / n if n else v).tolist())

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,28 @@ def test_models_plug_in(spark):
     assert [tuple(r) for r in pair.select(models.scorer(models.overlap_scorer)(F.col("q"), F.col("p")), models.judge(models.containing_judge)(F.col("q"), F.col("p"))).collect()] == [(0.5, "NO"), (1.0, "YES")]
 
 
+def test_whole_texts_are_encoded(spark):
+    long = "pump " * 2_000 + "valve mast " * 400
+    df = spark.createDataFrame([(long,), ("pump",)], "t string")
+    v = {r["t"]: r["v"] for r in df.select("t", models.embedder(models.HashEncoder)(F.col("t")).alias("v")).collect()}
+    assert np.allclose(v[long], models.HashEncoder()([long])[0], atol=1e-6) and not np.allclose(v[long], v["pump"], atol=1e-3)
+
+
+def test_windows_of_an_encoder_with_a_limit(spark):
+    def limited():
+        def run(texts, *_):
+            assert len(texts) <= 2 and all(len(t) <= 10 for t in texts)
+            return [[float(t.count("a")), float(t.count("b"))] for t in texts]
+
+        return run
+
+    assert models.windows("aa bb cc dd", 6) == ["aa bb ", "cc dd"] and models.windows("x" * 7, 3) == ["xxx", "xxx", "x"] and models.windows("", 3) == [""]
+    texts = ["a", "aaaa bbbb aaaa bbbb", "a" * 25 + "b" * 25, "", None]
+    v = {r["t"]: r["v"] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select("t", models.embedder(limited, batch=2, limit=10)(F.col("t")).alias("v")).collect()}
+    assert v[None] is None and v["a"] == [1.0, 0.0] and v[""] == [0.0, 0.0]
+    assert np.allclose(v[texts[1]], [2**-0.5] * 2) and np.allclose(v[texts[2]], [2**-0.5] * 2)
+
+
 def test_late_interaction(spark):
     t = spark.createDataFrame([([[1.0, 0.0], [0.0, 1.0]], [[2.0, 0.0], [0.5, 3.0]]), ([], [[1.0]]), (None, None)], "q array<array<float>>, p array<array<float>>")
     assert [r[0] for r in t.select(models.max_sim(F.col("q"), F.col("p"))).collect()] == [5.0, None, None]
