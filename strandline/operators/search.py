@@ -59,8 +59,8 @@ def top_k(scored: DataFrame, k: int, score: str = "score", key: str = "key", by:
     return scored.withColumn(name, F.row_number().over(w) - 1).where(F.col(name) < k)
 
 
-def sparse_top_k(queries: DataFrame, docs: DataFrame, k: int, weight: str = "tf") -> DataFrame:
-    """qid, key, score, rank: by the sum of products of weights over shared terms.
+def sparse_scores(queries: DataFrame, docs: DataFrame, weight: str = "tf") -> DataFrame:
+    """qid, key, score: the sum of products of weights over shared terms, for every pair that shares one.
 
     ``queries`` has qid, term and the weight, ``docs`` key, term and the weight. The join is on
     the term, salted, because some terms are in every text; products are summed before they are
@@ -68,7 +68,12 @@ def sparse_top_k(queries: DataFrame, docs: DataFrame, k: int, weight: str = "tf"
     """
     q = queries.select("qid", "term", F.col(weight).alias("qw"))
     hits = docs.select("key", "term", F.col(weight).alias("dw"))
-    return top_k(salted_join(hits, q, ["term"]).groupBy("qid", "key").agg(F.round(F.sum(F.col("qw") * F.col("dw")), 9).alias("score")), k)
+    return salted_join(hits, q, ["term"]).groupBy("qid", "key").agg(F.round(F.sum(F.col("qw") * F.col("dw")), 9).alias("score"))
+
+
+def sparse_top_k(queries: DataFrame, docs: DataFrame, k: int, weight: str = "tf") -> DataFrame:
+    """qid, key, score, rank: the k best by ``sparse_scores``."""
+    return top_k(sparse_scores(queries, docs, weight), k)
 
 
 def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, vector: str = "vector", per_pass: int = QUERIES_PER_PASS) -> DataFrame:
@@ -176,19 +181,27 @@ def rerank(ranked: DataFrame, score: Column) -> DataFrame:
     return t.withColumn("first_rank", F.col("rank")).withColumn("rank", F.row_number().over(w) - 1).withColumnRenamed("__s", "rerank_score")
 
 
-def retrieve(queries: DataFrame, lists: Callable[[DataFrame, int], dict[str, DataFrame]], docs: DataFrame, k: int, profile: CorpusProfile = DEFAULT) -> DataFrame:
+def retrieve(queries: DataFrame, lists: Callable[[DataFrame, int], dict[str, DataFrame]], docs: DataFrame, k: int, profile: CorpusProfile = DEFAULT, exact: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """qid, key, rank, route, score: routed retrieval for a table of queries.
 
     ``queries`` has qid, text; ``docs`` key, doc_code, clause, element_type. ``lists(table, n)``
     gives the ranked lists 'dense' and 'sparse' of the n best for a table of qid, text. Identifier
     queries are filtered and keep dense order; definitional queries search for the term alone and
-    favour definitions; the others search for the text.
+    favour definitions; the others search for the text. ``exact(table, pairs)`` gives the dense
+    scores qid, key, score of the pairs of qid and key that the filter leaves; pairs it leaves out
+    score 0. Without it only rows that are also in the dense list of the whole corpus have a score.
     """
     routed = written(queries.withColumn("r", route(F.col("text"), profile)).select("qid", "text", "r.*"), "routed")
     search = routed.select("qid", F.when(F.col("kind") == "definitional", F.coalesce("a", "text")).otherwise(F.col("text")).alias("text"))
     found = lists(search, 2 * k)
-    chosen = filtered_or_wider(routed.where("kind = 'identifier'"), docs)
-    scores = found["dense"].select("qid", "key", F.col("score").alias("dense"))
+    coded = routed.where("kind = 'identifier'")
+    chosen = filtered_or_wider(coded, docs)
+    if exact:
+        chosen = written(chosen, "chosen")
+        dense = exact(coded.select("qid", "text"), chosen.select("qid", "key"))
+    else:
+        dense = found["dense"]
+    scores = dense.select("qid", "key", F.col("score").alias("dense"))
     ident = top_k(chosen.join(scores, ["qid", "key"], "left").withColumn("score", F.coalesce("dense", F.lit(0.0))), k).select("qid", "key", "rank", "route", "score")
     rest = routed.where("kind <> 'identifier'").select("qid", F.col("kind").alias("route"))
     kinds = docs.select("key", "element_type")

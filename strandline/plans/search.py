@@ -30,16 +30,30 @@ def chunk_postings(spark: SparkSession, d: str) -> DataFrame:
     return written(index.postings(pp.chunks(spark, d), "id", "body"), "postings")
 
 
-def _lists(posts: DataFrame, texts: DataFrame, k: int) -> dict[str, DataFrame]:
+def _lists(posts: DataFrame, texts: DataFrame, k: int, idf: DataFrame | None = None) -> dict[str, DataFrame]:
     """The ranked lists of a table of qid, text: TF-IDF cosine in the place of a dense encoder, and hashed-TF dot product."""
     q = index.postings(texts.select("qid", "text"), "qid", "text")
-    idf = written(index.idf(posts), "idf")
+    idf = written(index.idf(posts), "idf") if idf is None else idf
     named = lambda p: p.withColumnRenamed("key", "qid")
     cosine = search.sparse_top_k(named(index.weighted(q, idf)), index.weighted(posts, idf), k, "w")
     dot = search.sparse_top_k(named(q.select("key", "term", "tf")), posts.select("key", "term", "tf"), k, "tf")
     return {"dense": cosine, "sparse": dot}
 
 
+def _cosines(posts: DataFrame, idf: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """qid, key, score: the TF-IDF cosine of every given pair that shares a term."""
+    q = index.weighted(index.postings(texts, "qid", "text"), idf).withColumnRenamed("key", "qid")
+    # a table of its own, so that few keys are broadcast and the postings are not shuffled for them
+    kept = posts.join(written(pairs.select("key").distinct(), "keys"), "key", "left_semi")
+    return search.sparse_scores(q, index.weighted(kept, idf), "w").join(pairs, ["qid", "key"], "left_semi")
+
+
+def routed(posts: DataFrame, texts: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """qid, key, rank, route, score: routed retrieval for a table of qid, text over postings."""
+    idf = written(index.idf(posts), "idf")
+    return search.retrieve(texts, lambda q, n: _lists(posts, q, n, idf), docs, k, exact=lambda q, pairs: _cosines(posts, idf, q, pairs))
+
+
 def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
     q = index.postings(questions(spark, d), "qid", "text").withColumnRenamed("key", "qid")
     t = search.sparse_top_k(q, chunk_postings(spark, d), K)
@@ -100,7 +114,7 @@ def retrieved(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
     """qid, id, rank, route, score: routed retrieval for the questions."""
     posts = chunk_postings(spark, d)
     docs = pp.chunks(spark, d).select(F.col("id").alias("key"), "doc_code", "clause", "element_type")
-    t = search.retrieve(questions(spark, d, every).select("qid", "text"), lambda q, n: _lists(posts, q, n), docs, K)
+    t = routed(posts, questions(spark, d, every).select("qid", "text"), docs, K)
     return t.select("qid", F.col("key").alias("id"), "rank", "route", F.round("score", 9).alias("score"))
 
 

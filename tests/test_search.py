@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandline.operators import index, search
+from strandline.plans import search as ps
 
 
 def test_routes(spark):
@@ -127,3 +128,33 @@ def test_each_route_of_retrieval(spark):
     assert asked == [6]
     # the definition overtakes only where a definition is asked for
     assert got == {("id", "identifier"): ["2"], ("wide", "identifier(document)"): ["1", "2"], ("def", "definitional"): ["3", "4", "1"], ("gen", "general"): ["4", "3", "1"]}
+
+
+def test_identifier_queries_rank_all_their_rows(spark):
+    # the other document's rows name the code most densely and fill the list of the whole corpus
+    rng = random.Random(7)
+    word = lambda n: " ".join(rng.choice(["pump", "valve", "mast", "seal"]) for _ in range(n))
+    rows = [(f"o{i:02}", "AXSS-E-ST-20", "1", "AXSS-E-ST-10") for i in range(12)]
+    rows += [(f"a{i}", "AXSS-E-ST-10", "4.1" if i < 6 else "4.2", f"{word(9 - i)} AXSS-E-ST-10") for i in range(9)] + [("a9", "AXSS-E-ST-10", "4.1", "pump")]
+    t = spark.createDataFrame(rows, "key string, doc_code string, clause string, body string")
+    texts = {"code": "axss-e-st-10", "clause": "AXSS-E-ST-10 4.1", "general": "where is a mast with a pump"}
+    q = spark.createDataFrame(list(texts.items()), "qid string, text string")
+    posts = index.postings(t, "key", "body")
+    got = {}
+    for r in ps.routed(posts, q, t.withColumn("element_type", F.lit("text")), 4).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["key"], r["score"], r["route"]))
+    tf = {}
+    for r in posts.collect():
+        tf.setdefault(r["key"], {})[r["term"]] = r["tf"]
+    idf = {w: math.log(1 + len(tf) / sum(w in x for x in tf.values())) for x in tf.values() for w in x}
+
+    def unit(counts):
+        w = {k: n * idf[k] for k, n in counts.items() if k in idf}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        return {k: x / size for k, x in w.items()}
+
+    for qid, own in (("code", [r[0] for r in rows if r[1] == "AXSS-E-ST-10"]), ("clause", [r[0] for r in rows if r[1:3] == ("AXSS-E-ST-10", "4.1")])):
+        asked = unit({"axss-e-st-10": 1})
+        want = sorted((-round(sum(v * unit(tf[k]).get(w, 0.0) for w, v in asked.items()), 9), k) for k in own)[:4]
+        assert [(k, -s) for s, k in want] == [(k, s) for k, s, _ in got[qid]] and {r for *_, r in got[qid]} == {"identifier"}
+    assert [k for k, *_ in got["code"]] == ["a8", "a7", "a6", "a5"] and len(got["general"]) == 4
