@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from strandline.functions.ids import draw
 
 # Floors and counts fixed before a run.
-CLASS_FLOOR, CI_LEAST, REPLICATES, SEED = 3, 20, 10_000, 42
+CLASS_FLOOR, CI_LEAST, REPLICATES, PAIRED_REPLICATES, SEED = 3, 20, 10_000, 1_000, 42
 MIN_RECALL, MAX_FALSE_POSITIVE = 0.90, 0.05
 LEAST_POSITIVE, LEAST_NEGATIVE, LEAST_CONSTRUCTED = 400, 10, 300
 CONTROL_FLOOR = 0.60
 HARD_REJECT, HARD_KEEP = 0.80, 0.95
+#: Parts that the replicates of a bootstrap are made in, and the most items whose values are broadcast to them.
+REPLICATE_BLOCKS, BROADCAST_ITEMS = 100, 500_000
 
 
 def item_coverage(verdicts: DataFrame) -> DataFrame:
@@ -48,6 +50,23 @@ def macro(classes: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     )
 
 
+def _replicate_means(numbered: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """c, r, m: the mean of each replicate in each stratum. ``numbered`` has c, v and i, the number of an item in its stratum from 0.
+
+    A task makes all draws of its replicates and adds them up at once, so draws are not shuffled.
+    """
+    spark = numbered.sparkSession
+    blocks = min(replicates, REPLICATE_BLOCKS)
+    sizes = numbered.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    slots = numbered.select("c", F.col("i").alias("s")).join(sizes, "c").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # a number of partitions of its own: these rows are few, what they are exploded to is not
+    spread = slots.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c", "b")
+    drawn = spread.withColumn("r", F.explode(F.sequence(F.col("b"), F.lit(replicates - 1), F.lit(blocks)))).select("c", "r", F.floor(F.col("n") * draw(seed, F.col("c"), F.col("r"), F.col("s"))).cast("int").alias("i"))
+    values = numbered.select("c", "i", "v")
+    few = numbered.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS
+    return drawn.join(F.broadcast(values) if few else values, ["c", "i"]).groupBy("c", "r").agg(F.avg("v").alias("m"))
+
+
 def bootstrap(items: DataFrame, stratum: str, value: str, key: str, replicates: int = REPLICATES, seed: int = SEED, weights: DataFrame | None = None) -> DataFrame:
     """One row: lo, hi, replicates: a percentile interval of the (weighted) macro mean, items drawn within their stratum.
 
@@ -57,11 +76,7 @@ def bootstrap(items: DataFrame, stratum: str, value: str, key: str, replicates:
     """
     kept = items.where(F.col(value).isNotNull()).select(F.col(stratum).alias("c"), F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
     numbered = kept.withColumn("i", F.row_number().over(Window.partitionBy("c").orderBy("k")) - 1)
-    sizes = numbered.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    # one row for each draw; drawn within tasks, then only (stratum, item number) is looked up
-    slots = numbered.select("c", F.col("i").alias("s")).join(sizes, "c").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = slots.withColumn("i", F.floor(F.col("n") * draw(seed, F.col("c"), F.col("r"), F.col("s"))).cast("int")).select("c", "r", "i")
-    means = drawn.groupBy("c", "r", "i").agg(F.count(F.lit(1)).alias("times")).join(numbered.select("c", "i", "v"), ["c", "i"]).groupBy("r", "c").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m"))
+    means = _replicate_means(numbered, replicates, seed)
     if weights is None:
         whole = means.groupBy("r").agg(F.round(F.avg("m"), 9).alias("m"))
     else:
@@ -77,11 +92,8 @@ def class_blocks(items: DataFrame, replicates: int = REPLICATES, least: int = CI
     big = t.where(F.col("n") >= least).select("class")
     per = items.join(big, "class", "left_semi").where("coverage is not null")
     # every class is its own stratum: the means by class and replicate are ranked within the class
-    numbered = per.select("class", "item", F.col("coverage").alias("v")).withColumn("i", F.row_number().over(Window.partitionBy("class").orderBy("item")) - 1)
-    n = numbered.groupBy("class").agg(F.count(F.lit(1)).alias("size"))
-    slots = numbered.select("class", F.col("i").alias("s")).join(n, "class").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = slots.withColumn("i", F.floor(F.col("size") * draw(SEED, F.col("class"), F.col("r"), F.col("s"))).cast("int"))
-    means = drawn.groupBy("class", "r", "i").agg(F.count(F.lit(1)).alias("times")).join(numbered.select("class", "i", "v"), ["class", "i"]).groupBy("class", "r").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m"))
+    numbered = per.select(F.col("class").alias("c"), F.col("item").alias("k"), F.col("coverage").alias("v")).withColumn("i", F.row_number().over(Window.partitionBy("c").orderBy("k")) - 1)
+    means = _replicate_means(numbered, replicates, SEED).withColumnRenamed("c", "class")
     a = means.groupBy("class").agg(F.array_sort(F.collect_list(F.round("m", 9))).alias("a"))
     ci = a.select("class", F.round(F.get("a", F.lit(int(0.025 * replicates))), 6).alias("lo"), F.round(F.get("a", F.lit(max(0, int(0.975 * replicates) - 1))), 6).alias("hi"))
     out = t.join(ci, "class", "left").withColumn("withheld", F.when(F.col("n") < least, F.concat(F.lit("n="), "n", F.lit(f" < {least}"))))
@@ -197,7 +209,7 @@ def rule_of_three(n: Column) -> Column:
     return F.when(n > 0, F.round(F.lit(3.0) / n, 6))
 
 
-def paired_bootstrap(pairs: DataFrame, key: str, a: str, b: str, stratum: str, replicates: int = 1_000, seed: int = SEED) -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, key: str, a: str, b: str, stratum: str, replicates: int = PAIRED_REPLICATES, seed: int = SEED) -> DataFrame:
     """lo, hi, replicates of the difference b - a of means, pairs drawn within strata."""
     return bootstrap(pairs.withColumn("__d", F.col(b) - F.col(a)), stratum, "__d", key, replicates, seed)
 

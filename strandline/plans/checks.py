@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +47,10 @@ def answer_rates(spark: SparkSession, d: str) -> DataFrame:
     return validate.answer_rates(t)
 
 
-def sample_power(spark: SparkSession, d: str) -> DataFrame:
+def sample_power(spark: SparkSession, d: str, replicates: int = 200) -> DataFrame:
     """The power of a comparison with as many spans as the frame has to see a gain of five points over 80 percent."""
     n = measure.anchor_spans(table(spark, d, "frame_items")).count()
-    return validate.power(spark, n, 0.80, 0.05, 200)
+    return validate.power(spark, n, 0.80, 0.05, replicates)
 
 
 def probe_identifiers(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +100,7 @@ def judged_claims(spark: SparkSession, d: str) -> DataFrame:
 
 _IT = "(select distinct on (anchor_id) * from frame_items)"
 QUERIES = {
-    "frame_check": frame_check, "coverage_by_reach": coverage_by_reach, "recall_by_role": recall_by_role, "item_statistics": item_statistics, "answer_rates": answer_rates, "sample_power": sample_power,
+    "frame_check": frame_check, "coverage_by_reach": coverage_by_reach, "recall_by_role": recall_by_role, "item_statistics": item_statistics, "answer_rates": answer_rates, "sample_power": sample_power, "sample_power_full": partial(sample_power, replicates=1_000),
     "probe_identifiers": probe_identifiers, "probe_sections": probe_sections, "encoded_topk": encoded_topk, "model_rerank": model_rerank, "judged_claims": judged_claims,
 }
 SQL = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from strandline.runtime import table, written
 
 WEIGHTS = {"multihop": 22, "lookup": 14, "definition": 14, "trace": 10}
 SCORED = ["definition", "lookup", "multihop", "trace", "negative"]
+#: Replicates of the queries that are held against SQL; those of production are the defaults of the operators.
 B = 200
 
 
@@ -54,16 +57,16 @@ def tier_means(spark: SparkSession, d: str) -> DataFrame:
     return score.mean_of_known(verdicts(spark, d), ["class", "tier"])
 
 
-def bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return score.bootstrap(written(item_coverage(spark, d), "items"), "class", "coverage", "item", B)
+def bootstrap(spark: SparkSession, d: str, replicates: int = B) -> DataFrame:
+    return score.bootstrap(written(item_coverage(spark, d), "items"), "class", "coverage", "item", replicates)
 
 
-def bootstrap_weighted(spark: SparkSession, d: str) -> DataFrame:
-    return score.bootstrap(written(item_coverage(spark, d), "items"), "class", "coverage", "item", B, weights=_weights(spark))
+def bootstrap_weighted(spark: SparkSession, d: str, replicates: int = B) -> DataFrame:
+    return score.bootstrap(written(item_coverage(spark, d), "items"), "class", "coverage", "item", replicates, weights=_weights(spark))
 
 
-def class_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return score.class_blocks(written(item_coverage(spark, d), "items"), B)
+def class_blocks(spark: SparkSession, d: str, replicates: int = B) -> DataFrame:
+    return score.class_blocks(written(item_coverage(spark, d), "items"), replicates)
 
 
 def benchmark_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -126,9 +129,9 @@ def truncated_claims(spark: SparkSession, d: str) -> DataFrame:
     return t.where("t is not null").select("item", "claim", "t.head", "t.tail")
 
 
-def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+def paired_bootstrap(spark: SparkSession, d: str, replicates: int = B) -> DataFrame:
     t = written(item_coverage(spark, d).where("coverage is not null"), "items").withColumn("other", F.when(draw("pair", F.col("item")) < 0.2, 0.0).otherwise(F.col("coverage")))
-    return score.paired_bootstrap(t, "item", "coverage", "other", "class", B)
+    return score.paired_bootstrap(t, "item", "coverage", "other", "class", replicates)
 
 
 def asked_in_turn(spark: SparkSession, d: str) -> DataFrame:
@@ -161,6 +164,9 @@ QUERIES = {
     "item_coverage": item_coverage, "class_means": class_means, "macro_coverage": macro, "tier_means": tier_means, "bootstrap_macro": bootstrap, "bootstrap_weighted": bootstrap_weighted, "class_blocks": class_blocks,
     "benchmark_summary": benchmark_summary, "judge_validation": judge_validation, "judge_by_class": judge_by_class, "to_read": to_read, "arm_verdict": arms, "wilson_intervals": wilson, "frame_splits": splits,
     "constructed_negatives": negatives, "frame_problems": frame_problems, "truncated_claims": truncated_claims, "paired_bootstrap": paired_bootstrap, "asked_in_turn": asked_in_turn,
+    # with the replicates of production, too many for the SQL
+    "bootstrap_macro_full": partial(bootstrap, replicates=score.REPLICATES), "bootstrap_weighted_full": partial(bootstrap_weighted, replicates=score.REPLICATES),
+    "class_blocks_full": partial(class_blocks, replicates=score.REPLICATES), "paired_bootstrap_full": partial(paired_bootstrap, replicates=score.PAIRED_REPLICATES),
 }
 SQL = {
     "item_coverage": _V + " select * from it",

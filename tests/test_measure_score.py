@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -5,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import contract, graph, measure, score
+from strandline.plans import registry
+from strandline.plans import score as plans
 
 FRAME = "anchor_id string, claims array<struct<id string, tier string, text string, evidence array<struct<anchor string, span string>>>>, _anchor struct<spans array<struct<doc_code string, clause string, text string, point_id string, role string>>>"
 
@@ -190,3 +193,54 @@ def test_truncated_claims(spark):
     texts = ["The supplier shall record the test in the log before the final review", "Short one at once", "Pumps in the loop and valves in the rack of the big hall", "The unit shall be tested in interaction with the other unit in", None, ""]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(contract.truncate_claim(F.col("t"))).collect()]
     assert tuple(got[0]) == ("The supplier shall record the test in the log", "before the final review") and got[1:3] == [None, None] and tuple(got[3]) == ("The unit shall be tested in interaction", "with the other unit in") and got[4:] == [None, None]
+
+
+def _u(*parts):
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
+
+
+def _replicates(values, n):
+    """class -> means by replicate, drawn one by one; values: class -> the values in order of item."""
+    return {c: [sum(v[int(len(v) * _u(42, c, r, s))] for s in range(len(v))) / len(v) for r in range(n)] for c, v in values.items()}
+
+
+def _ends(means):
+    a = sorted(round(m, 9) for m in means)
+    return round(a[int(0.025 * len(a))], 6), round(a[int(0.975 * len(a)) - 1], 6), len(a)
+
+
+def test_full_replicates_equal_brute_force(spark, sf):
+    items = [r for r in plans.item_coverage(spark, sf).orderBy("item").collect() if r["coverage"] is not None]
+    values, differences = {}, {}
+    for r in items:
+        values.setdefault(r["class"], []).append(r["coverage"])
+        differences.setdefault(r["class"], []).append((0.0 if _u("pair", r["item"]) < 0.2 else r["coverage"]) - r["coverage"])
+    means = _replicates(values, 10_000)
+    close = lambda got, want: all(abs(a - b) < 2e-6 for a, b in zip(got, want, strict=True))
+    run = lambda name: registry.QUERIES[name](spark, sf).collect()
+    assert close(run("bootstrap_macro_full")[0], _ends([sum(m) / len(m) for m in zip(*means.values())]))
+    weighted = {c: m for c, m in means.items() if c in plans.WEIGHTS}
+    total = sum(plans.WEIGHTS[c] for c in weighted)
+    assert close(run("bootstrap_weighted_full")[0], _ends([sum(plans.WEIGHTS[c] * x for c, x in zip(weighted, m)) / total for m in zip(*weighted.values())]))
+    paired = _replicates(differences, 1_000)
+    assert close(run("paired_bootstrap_full")[0], _ends([sum(m) / len(m) for m in zip(*paired.values())]))
+    assert {r["class"] for r in run("class_blocks_full")} == set(values)
+
+
+def test_class_intervals_have_full_replicates(spark, monkeypatch):
+    rows = [(f"i{i:02}", c, ((i * 7) % 5) / 4) for c in ("x", "y") for i in range(20)]
+    items = spark.createDataFrame(rows, "item string, class string, coverage double").withColumn("all_required", F.col("coverage") == 1.0)
+    monkeypatch.setattr(plans, "item_coverage", lambda *_: items)
+    means = _replicates({c: [v for _, k, v in rows if k == c] for c in ("x", "y")}, 10_000)
+    got = {r["class"]: (r["lo"], r["hi"]) for r in registry.QUERIES["class_blocks_full"](spark, "").collect()}
+    assert {c: _ends(m)[:2] for c, m in means.items()} == got
+
+
+def test_full_power_equals_brute_force(spark, sf):
+    r = registry.QUERIES["sample_power_full"](spark, sf).collect()[0]
+    n, over = r["n"], 0
+    for k in range(1_000):
+        runs = [(_u(42, "a", i) < r["base"], _u(42, "b", i) < r["base"] + r["gain"]) for i in range(k * n, (k + 1) * n)]
+        up, down = sum(b and not a for a, b in runs), sum(a and not b for a, b in runs)
+        over += (up - down) / max(up + down, 1) ** 0.5 > 1.959963984540054
+    assert r["power"] == round(over / 1_000, 6)
