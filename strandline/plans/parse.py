@@ -71,6 +71,40 @@ def captions_attached(spark: SparkSession, d: str) -> DataFrame:
     return near.select("caption_id", "chunk_id", F.abs(F.col("page") - F.col("page_number")).cast("int").alias("distance"))
 
 
+def _captions_placed(captions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """caption_id, source_file, page, caption, chunk_id, distance: every usable caption at the chunk of its file with the nearest page, else at the file's first.
+
+    The first is that of the smallest page, without pages of the smallest id. Only a caption of a file without chunks has no chunk.
+    """
+    caps = captions.select("caption_id", "source_file", "page", parse.usable_caption(F.col("caption")).alias("caption")).where("caption is not null").distinct()
+    own = chunks.select("source_file", "page_number", F.col("id").alias("chunk_id")).distinct()
+    near = nearest(caps, own.where("page_number is not null"), ["source_file"], "page", "page_number", "chunk_id")
+    first = own.groupBy("source_file").agg(F.min(F.struct(F.col("page_number").isNull(), "page_number", "chunk_id")).alias("f")).select("source_file", F.col("f.chunk_id").alias("first"))
+    placed = salted_join(near, first, ["source_file"], "left")
+    return placed.select("caption_id", "source_file", "page", "caption", F.coalesce("chunk_id", "first").alias("chunk_id"), F.abs(F.col("page") - F.col("page_number")).cast("int").alias("distance"))
+
+
+def captions_placed(spark: SparkSession, d: str) -> DataFrame:
+    """caption_id, chunk_id, distance: every usable caption at a chunk of its file; the distance is null where no page decided."""
+    t = _captions_placed(table(spark, d, "captions"), table(spark, d, "chunk_index"))
+    return t.select("caption_id", "source_file", "page", "chunk_id", "distance").distinct().select("caption_id", "chunk_id", "distance")
+
+
+def _bodies_with_captions(captions: DataFrame, bodies: DataFrame) -> DataFrame:
+    """id, body of the chunks that captions are put to, each on a line of its own at the end, in order of page and caption_id."""
+    placed = _captions_placed(captions, bodies).where("chunk_id is not null")
+    line = F.concat(F.lit("\n[FIGURES p"), F.coalesce(F.col("page").cast("string"), F.lit("")), F.lit("] "), "caption")
+    each = F.struct(F.col("page").isNull().alias("n"), "page", "caption_id", line.alias("line"))
+    added = placed.groupBy(F.col("chunk_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["line"]), "").alias("added"))
+    return bodies.join(added, "id").select("id", F.concat(F.coalesce("body", F.lit("")), "added").alias("body"))
+
+
+def captions_in_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """id, body_sha1, n_chars: the chunks that have captions, with the captions at the end of their bodies."""
+    t = _bodies_with_captions(table(spark, d, "captions"), chunks(spark, d))
+    return t.select("id", F.sha1("body").alias("body_sha1"), F.length("body").alias("n_chars"))
+
+
 def postings_top(spark: SparkSession, d: str) -> DataFrame:
     """term, term_idx, chunks, tf: every term of the chunks with its hashed index."""
     p = index.postings(chunks(spark, d), "id", "body")
@@ -172,7 +206,7 @@ _QUALITY = CHUNKS + f""", q as (select coalesce({_trim('doc_code')}, '') doc_cod
 
 QUERIES = {
     "ingest_names": ingest_names, "clause_lines": clause_lines, "heading_clauses": heading_clauses, "enriched": enriched, "content_ids": content_ids, "duplicate_bodies": duplicate_bodies,
-    "captions_kept": captions_kept, "captions_attached": captions_attached, "postings_top": postings_top, "quality_counters": quality, "run_totals": run_totals, "acronyms": acronyms, "acronyms_expanded": expanded,
+    "captions_kept": captions_kept, "captions_attached": captions_attached, "captions_placed": captions_placed, "captions_in_bodies": captions_in_bodies, "postings_top": postings_top, "quality_counters": quality, "run_totals": run_totals, "acronyms": acronyms, "acronyms_expanded": expanded,
     "table_parts": table_parts, "ledger_plan": ledger_plan, "ledger_upsert": ledger_upsert, "projected_scan": projected, "filter_pushdown": filtered,
 }
 SQL = {

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import ids, parse
 from strandline.functions import text as tx
+from strandline.plans import parse as plans
 
 
 def values(spark, rows, expr, schema="s string"):
@@ -62,3 +63,22 @@ def test_trim_knows_every_blank(spark):
     assert values(spark, [" \t a b \n　", " ", None], tx.trimmed(F.col("s"))) == ["a b", "", None]
     assert values(spark, [" ", "x "], tx.filled(F.col("s"))) == [None, "x"]
     assert values(spark, ["Ärger-1, x", None], tx.words(F.col("s"))) == [["ärger", "1", "x"], None]
+
+
+def test_captions_without_a_near_page_go_to_the_first_chunk(spark):
+    long = "A drawing of a pump with its valves, no. "
+    caps = [("1", "f", 4, long + "1"), ("2", "f", None, long + "2"), ("3", "g", 7, long + "3"), ("4", "none", 1, long + "4"), ("5", "f", 5, "None."), ("6", "f", 3, long + "6"), ("6", "f", 3, long + "6")]
+    caps = spark.createDataFrame(caps, "caption_id string, source_file string, page int, caption string")
+    bodies = [("c", "f", 1, "one"), ("b", "f", 5, "five"), ("a", "f", None, "unpaged"), ("z", "g", None, "z"), ("y", "g", None, "y")]
+    bodies = spark.createDataFrame(bodies, "id string, source_file string, page_number int, body string")
+    got = {(r["caption_id"], r["chunk_id"], r["distance"]) for r in plans._captions_placed(caps, bodies).collect()}
+    assert got == {("1", "b", 1), ("2", "c", None), ("3", "y", None), ("4", None, None), ("6", "b", 2)}
+    want = {"b": f"five\n[FIGURES p3] {long}6\n[FIGURES p4] {long}1", "c": f"one\n[FIGURES p] {long}2", "y": f"y\n[FIGURES p7] {long}3"}
+    assert {r["id"]: r["body"] for r in plans._bodies_with_captions(caps, bodies).collect()} == want
+
+
+def test_every_caption_of_the_tables_has_a_chunk(spark, sf):
+    placed = {r["caption_id"]: r for r in plans.captions_placed(spark, sf).collect()}
+    attached = plans.captions_attached(spark, sf).collect()
+    assert {r["caption_id"] for r in attached} == placed.keys() and any(r["chunk_id"] is None for r in attached)
+    assert all(r["chunk_id"] == placed[r["caption_id"]]["chunk_id"] for r in attached if r["chunk_id"]) and all(r["chunk_id"] for r in placed.values())
