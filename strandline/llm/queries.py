@@ -102,13 +102,17 @@ def p6_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
-    return pairs.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+    return _leaked(spark, d).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def _leaked(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", question="question")
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
-    """item_id, documents: the items that leaked, and into how many documents."""
-    return p7_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+    """item_id, documents, questions, passages: the items that leaked, into how many documents, how many of these hold every word of the question too, and the passages of the item in all of them."""
+    found = _leaked(spark, d).groupBy(F.col("item").alias("item_id"))
+    return found.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("question") == 1.0).alias("questions"), F.sum("passages").alias("passages"))
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -246,7 +250,8 @@ SQL = {
     "p6_found": _residue_sql(),
     "p6_reasons": _residue_sql("select reason, count(distinct caption_id) captions from (select caption_id, case when placeholder then 'placeholder' when filler then 'filler' when message then 'message' when notice then 'notice' end reason from f) where reason is not null group by 1"),
     "p7_found": _LEAKS + "select distinct doc_id, item_id from g join h using (run)",
-    "p7_items": _LEAKS + "select item_id, count(distinct doc_id) documents from g join h using (run) group by 1",
+    "p7_items": _LEAKS + """, m as (select doc_id, item_id, count(*) n from g join h using (run) group by 1, 2), qw as (select item_id, regexp_extract_all(lower(upper(question)), '[\\p{L}\\p{N}]+') q from eval_items)
+      select item_id, count(*) documents, count(case when list_has_all(w.w, qw.q) then 1 end) questions, sum(n)::bigint passages from m join w using (doc_id) join qw using (item_id) group by 1""",
     "p9_found": _cutoff_sql(),
     "p9_sources": _cutoff_sql(f""", j as (select source, size, coalesce(open, false) or doc_id in (select doc_id from f) cut from o), s as (select source, count(*) texts, count(case when cut then 1 end) cut from j group by 1),
       p as (select source, size, count(case when cut then 1 end) c from j group by 1, 2), m as (select p.source, list_sort(list(size)) limits from p join s on p.source is not distinct from s.source where c >= {cut.LIMIT_TEXTS} and c / texts >= {cut.LIMIT_SHARE} group by 1)

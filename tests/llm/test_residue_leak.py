@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm.leak import Index, leaks, words_of
+from strandline.llm import leak
+from strandline.llm.leak import Index, Words, _probe, leaks, words_of
 from strandline.llm.residue import residue
 
 RESIDUE = {
@@ -43,7 +44,7 @@ def brute(docs, items, run):
     return sorted({(d, i) for d, t in docs for w in [words_of(t or "")] for k in range(len(w) - run + 1) for i in grams.get(tuple(w[k : k + run]), ())})
 
 
-@pytest.mark.parametrize("run,per_index", [(15, 2000), (5, 7)])
+@pytest.mark.parametrize("run,per_index", [(15, 1_000_000), (5, 200)])
 def test_leaks_equal_brute_force(spark, run, per_index):
     rng = random.Random(run)
     words = ["alpha", "beta", "gamma", "delta", "Ärger", "x1", "the", "of", "and"]
@@ -62,11 +63,45 @@ def test_leaks_equal_brute_force(spark, run, per_index):
     docs += [(500, None), (501, ""), (502, (items_text + " ") * 3000), docs[0]]
     a = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item", F.lit(1)).repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = leaks(a, "doc_id", "text", b, "item_id", "text", run=run, items_per_index=per_index)
-    assert sorted(map(tuple, got.collect())) == brute(docs, items, run) != []
+    got = leaks(a, "doc_id", "text", b, "item_id", "text", run=run, postings_per_index=per_index)
+    assert sorted((r.doc, r.item) for r in got.collect()) == brute(docs, items, run) != []
 
 
 def test_no_items_and_no_texts(spark):
     a, b = spark.createDataFrame([(1, "x " * 40)], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert leaks(a, "doc_id", "text", b, "item_id", "text").count() == 0
-    assert Index([]).hits("any words at all " * 10) == []
+    assert _probe(Index([]), [1], Words(["any words at all " * 10])) == []
+
+
+def test_the_question_is_held_against_the_text(spark):
+    body = " ".join(f"w{i}" for i in range(20))
+    a = spark.createDataFrame([(1, body), (2, "Which duty? " + body.upper())], "doc_id long, text string")
+    b = spark.createDataFrame([(7, body, "which duty"), (8, body, None)], "item_id long, text string, question string")
+    got = leaks(a, "doc_id", "text", b, "item_id", "text", question="question").collect()
+    assert {(r.doc, r.item): (r.passages, r.question) for r in got} == {(1, 7): (6, 0.0), (2, 7): (6, 1.0), (1, 8): (6, None), (2, 8): (6, None)}
+
+
+def test_slices_lose_no_passage(monkeypatch):
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(50)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(25)), None) for i in range(40)]
+    long = " ".join([rng.choice(words) for _ in range(700)] + items[3][1].split() + [rng.choice(words) for _ in range(700)] + items[9][1].split()[2:19])
+    texts = ["", "a\x00b", long, items[5][1], "é" * 30]
+    index = Index(items)
+    whole = _probe(index, list(range(5)), Words(texts))
+    assert {(d, i) for d, i, *_ in whole} == {(2, 3), (2, 9), (3, 5)}
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(leak, "SLICE", size)
+        assert _probe(index, list(range(5)), Words(texts)) == whole
+        assert [Words(texts).words(i, 3) for i in (0, 100, 1450)] == [words_of(" ".join(texts).replace("\x00", " "))[i : i + 3] for i in (0, 100, 1450)]
+
+
+def test_many_items_and_a_text_of_a_million_words():
+    rng = random.Random(6)
+    words = [f"t{i}" for i in range(20_000)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(60)), None) for i in range(20_000)]
+    index = Index(items)
+    held = sum(x.nbytes for x in (index.maps, index.pair, index.weight, index.block_pair, index.block_weight))
+    assert held < 100_000_000
+    text = " ".join([rng.choice(words) for _ in range(1_000_000)] + items[77][1].split()[5:25])
+    assert [(d, i, n) for d, i, n, _ in _probe(index, [1], Words([text]))] == [(1, 77, 6)]
