@@ -52,9 +52,9 @@ def body(c: Column) -> Column:
     whole = lines(c)
     at = F.array_position(F.transform(whole, is_section), True).cast("int")
     rest = F.array_join(F.concat(F.slice(whole, 1, at - 1), F.slice(whole, at + 1, F.size(whole))), "\n")
-    first = F.regexp_extract(c, r"^([^\n]*)", 1)
+    first = F.substring_index(c, "\n", 1)
     # the common case, the line standing first, needs no array
-    return F.when(is_section(first), F.regexp_replace(c, r"^[^\n]*\n?", "")).when(at > 0, rest).otherwise(c)
+    return F.when(is_section(first), F.substr(c, F.length(first) + 2)).when(at > 0, rest).otherwise(c)
 
 
 def letters_digits(c: Column) -> Column:
