@@ -2,7 +2,7 @@
 
 Leaves (the body, each part of the unordered crumb) are normalised and hashed, the digests of the
 unordered parts are sorted, and the root digest hashes body and node. Records are grouped by root;
-only those of groups of two or more are then compared in full.
+only the texts of groups of two or more are read again and compared in full.
 """
 
 from __future__ import annotations
@@ -31,18 +31,28 @@ def duplicate_groups(rows: DataFrame, key: str, text: str, parts: str) -> DataFr
 
     ``keep`` is the smallest key of the group (it is a member, too). Null texts count as empty.
     Rows with a null key are left out; a key with several equal rows counts once, one with
-    different rows is a member of each group.
+    different rows is a member of each group. Only keys and digests are shuffled until a root is
+    known to repeat; then the texts of its members are read again.
     """
-    leaf = letters_digits(body(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     named = rows.where(F.col(f"`{key}`").isNotNull())
-    roots = named.select(F.col(f"`{key}`").alias("key"), root_digest(leaf, parts_of(F.col(f"`{parts}`"))).alias("root"))
-    several = roots.groupBy("root").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("root")
-    full = named.select(F.col(f"`{key}`").alias("key"), leaf.alias("leaf"), parts_of(F.col(f"`{parts}`")).alias("parts"))
-    full = full.withColumn("root", root_digest(F.col("leaf"), F.col("parts")))
-    members = written(salted_join(full, several, ["root"], "left_semi").select("root", "key", F.concat_ws("\x1f", "leaf", F.array_join("parts", "\x1f")).alias("record")), "members")
-    # the full comparison: a group is one record, whatever its digest
-    groups = members.groupBy("root", "record").agg(F.min("key").alias("keep"), F.max("key").alias("z")).where("keep < z").drop("z")
-    return salted_join(members, groups, ["root", "record"]).select("keep", "key", "root").distinct()
+    leaf = letters_digits(body(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    roots = written(named.select(F.col(f"`{key}`").alias("key"), root_digest(leaf, parts_of(F.col(f"`{parts}`"))).alias("root")), "roots")
+    several = roots.groupBy("root").agg(F.min("key").alias("keep"), F.max("key").alias("z")).where("keep < z").select("root", "keep")
+    members = written(salted_join(roots, several, ["root"]).select("keep", "key", "root").distinct(), "members")
+    # the full comparison: all members of a root must be one record, whatever their digest; few keys are broadcast, many are not
+    again = named.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{parts}`").alias("parts")).join(members.select("key").distinct(), "key", "left_semi")
+    leaf = letters_digits(body(F.coalesce(F.col("text"), F.lit(""))))
+    full = again.select("key", leaf.alias("leaf"), parts_of(F.col("parts")).alias("parts")).withColumn("root", root_digest(F.col("leaf"), F.col("parts")))
+    full = full.select("key", "root", F.concat_ws("\x1f", "leaf", F.array_join("parts", "\x1f")).alias("record"))
+    variants = full.select("root", "record").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    odd = written(variants.select("root"), "odd")
+    if odd.isEmpty():
+        return members
+    # roots that stand for more than one record: their members are grouped by the record itself
+    told = written(full.join(odd, "root", "left_semi").distinct(), "told")
+    groups = told.groupBy("root", "record").agg(F.min("key").alias("keep"), F.max("key").alias("z")).where("keep < z").drop("z")
+    apart = salted_join(told, groups, ["root", "record"]).select("keep", "key", "root")
+    return members.join(odd, "root", "left_anti").select("keep", "key", "root").unionByName(apart)
 
 
 def copies(groups: DataFrame) -> DataFrame:
