@@ -2,7 +2,9 @@
 
 A text above the limit is cut at the strongest boundary near its midpoint, halves that still
 exceed the limit less the overlap are cut again, and each piece but the first then gets the last
-characters before it as overlap. Texts within the limit never leave the JVM.
+characters before it as overlap. Near means the middle half; boundaries weaker than the text needs
+are not used, so that one with fitting requirement units is cut at units only. Texts within the
+limit never leave the JVM.
 """
 
 from __future__ import annotations
@@ -61,25 +63,32 @@ def pieces(s: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
             if b > a:
                 out.append((max(0, a - overlap) if out else a, a, b, how))
             continue
-        middle = (a + b) // 2
-        at, strength = 0, 3
-        for k, positions in enumerate(marks):
-            # a cut must leave something on both sides
-            lo, hi = bisect_right(positions, a), bisect_left(positions, b)
-            near = bisect_left(positions, middle, lo, hi)
-            best = min((positions[i] for i in (near - 1, near) if lo <= i < hi), key=lambda p: (abs(p - middle), p), default=None)
-            if best is not None:
-                at, strength = best, k
-                break
-        else:
-            # as few pieces as the limit allows, of equal size
-            count = -(-(b - a) // core)
-            at = a + (b - a) * (count // 2) // count
+        at, strength = _cut(s, marks, a, b, core)
         todo.append((at, b, how))
         todo.append((a, at, CUTS[strength]))
     return out
 
 
+def _cut(s: str, marks: list[list[int]], a: int, b: int, core: int) -> tuple[int, int]:
+    """Where to cut a stretch that is too long, and the strength of the boundary there."""
+    middle, inside = (a + b) // 2, []
+    for positions in marks:
+        # a cut must leave something on both sides
+        inside.append(positions[bisect_right(positions, a) : bisect_left(positions, b)])
+    near = lambda p: (abs(p - middle), p)
+    # the weakest boundaries that are needed: with these every piece can be made to fit
+    needed = next((k for k, p in enumerate(inside) if all(y - x <= core for x, y in (_bounds(s, *e) for e in zip([a, *p], [*p, b])))), len(marks))
+    for k, positions in enumerate(inside[: needed + 1]):
+        lo, hi = bisect_left(positions, (3 * a + b) // 4), bisect_right(positions, (a + 3 * b) // 4)
+        if lo < hi:
+            return min(positions[lo:hi], key=near), k
+    if needed < len(marks):
+        return min(inside[needed], key=near), needed
+    # as few pieces as the limit allows, of equal size
+    count = -(-(b - a) // core)
+    return a + (b - a) * (count // 2) // count, needed
+
+
 _SCHEMA = "key string, piece_no long, begins long, ends long, text string, cut string, record_cut string"
 
 

@@ -4,8 +4,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from strandline.llm import dupes
 from strandline.llm.dupes import copies, duplicate_groups
-from strandline.llm.split import pieces, split_oversized
+from strandline.llm.split import CUTS, boundaries, pieces, split_oversized
 
 
 @settings(max_examples=200, deadline=None)
@@ -28,6 +29,24 @@ def test_strongest_boundary_near_the_middle():
     assert len(pieces("x" * 6800)) == 2 and pieces("") == []
 
 
+def test_a_boundary_far_from_the_middle_is_not_near():
+    found = pieces("intro\n1.1 unit " + "w " * 9000)
+    assert min(e - a for _, a, e, _ in found) > 1700 and {c for *_, c in found} == {"hard_max", "end"}
+    # units that fit are enough, however they lie
+    text = "x" * 100 + "\n" + "a. " + "y " * 1600 + "\n" + "b. " + "z. " * 1000
+    assert {c for *_, c in pieces(text)} == {"structural", "end"}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a. unit\n", "1.2 text ", "word. ", "word ", "\n", "xxxxxxxxxxxxxxxxxx"]), max_size=60), st.integers(12, 60))
+def test_the_weakest_cut_is_the_one_the_text_needs(parts, limit):
+    s, core = "".join(parts), limit - limit // 5
+    found = [c for *_, c in pieces(s, limit, limit // 5)]
+    if len(found) > 1:
+        fits = [k for k, p in enumerate(boundaries(s)) if all(len(s[x:y].strip()) <= core for x, y in zip([0, *p], [*p, len(s)]))]
+        assert max(CUTS.index(c) for c in found if c != "end") == (min(fits) if fits else 3)
+
+
 def test_only_oversized_texts_come_out(spark):
     rows = [("a", "x" * 3600), ("b", "x" * 3601), ("c", None), ("d", ""), ("e", "q. " * 200_000)]
     df = spark.createDataFrame(rows, "id string, text string").withColumn("key", F.lit(0)).withColumn("cut", F.lit("?"))
@@ -61,3 +80,11 @@ def test_duplicates_equal_brute_force(spark):
     assert {(r["keep"], r["key"]) for r in groups.collect()} == want
     assert sum(r["copies"] for r in copies(groups).collect()) == len(want)
     assert duplicate_groups(df.limit(0), "id", "text", "crumb").count() == 0
+
+
+def test_a_digest_that_stands_for_two_records(spark, monkeypatch):
+    rows = [(f"k{i}", "abc" if i % 2 else "xyz", "a") for i in range(6)] + [("z", "other", "a")]
+    df = spark.createDataFrame(rows, "id string, text string, crumb string")
+    monkeypatch.setattr(dupes, "root_digest", lambda leaf, parts: F.unhex(F.md5(F.lit("one"))))
+    got = {(r["keep"], r["key"]) for r in duplicate_groups(df, "id", "text", "crumb").collect()}
+    assert got == {("k0", k) for k in ("k0", "k2", "k4")} | {("k1", k) for k in ("k1", "k3", "k5")}
