@@ -4,8 +4,10 @@ Every position of every token sequence starts a suffix, cut at ``longest`` token
 are range-partitioned and sorted by (suffix, record); in the sorted array the occurrences of an
 n-gram are an interval of neighbours whose common prefix has n tokens or more, so its length is
 the occurrence count. The record count is that length less the duplicates within a record, which
-are neighbours once the interval is ordered by record. Intervals cut by the edge of a block of
-the array are merged afterwards, record by record; all others are final where they are found.
+are neighbours once the interval is ordered by record. Equal suffixes of a record are one entry of the
+array with a weight, so that a record repeated without end is no longer than one. Intervals cut by
+the edge of a block of the array are merged afterwards, record by record; all others are final
+where they are found.
 """
 
 from __future__ import annotations
@@ -57,6 +59,7 @@ def _intervals(longest: int, block: int):
             same = np.cumprod((grid[1:] == grid[:-1]) & (grid[1:] >= 0), axis=1) if n > 1 else np.zeros((0, longest), int)
             prefix = same.sum(axis=1)
             rec = pc.fill_null(record.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            weight = t.column("times").to_numpy()
             for k in range(1, longest + 1):
                 fits = size >= k
                 if not fits.any():
@@ -64,7 +67,7 @@ def _intervals(longest: int, block: int):
                 start = np.r_[True, prefix < k]
                 group = np.cumsum(start) - 1
                 first = np.flatnonzero(start)
-                total = np.bincount(group)
+                total = np.add.reduceat(weight, first)
                 # duplicates within a record: equal neighbours once each interval is ordered by record
                 order = np.lexsort((rec, group))
                 g, r = group[order], rec[order]
@@ -76,7 +79,7 @@ def _intervals(longest: int, block: int):
                 whole = np.flatnonzero(valid & ~edge)
                 # intervals at an edge of the block: one row a record
                 heads = np.flatnonzero(new)
-                runs = np.diff(np.r_[heads, n])
+                runs = np.add.reduceat(weight[order], heads)
                 part = edge[g[heads]] & valid[g[heads]]
                 rows = np.r_[first[whole], first[g[heads][part]]]
                 name = pc.take(words, pa.array(grid[rows, :k].reshape(-1)))
@@ -104,7 +107,9 @@ def term_counts(sequences: DataFrame, tokens: str, record: str, longest: int, bl
     clean = sequences.select(F.array_compact(F.col(f"`{tokens}`")).alias("t"), F.col(f"`{record}`").cast("string").alias("record"))
     at = F.explode(F.sequence(F.lit(1), F.size("t")))
     suffixes = clean.where(F.size("t") > 0).select("t", "record", at.alias("i")).select(F.slice("t", F.col("i"), longest).alias("suffix"), "record")
-    array = suffixes.repartitionByRange("suffix", "record").sortWithinPartitions("suffix", "record")
+    # merged before they are shuffled and before ranges are cut, which could not part equal rows
+    entries = suffixes.groupBy("suffix", "record").agg(F.count(F.lit(1)).alias("times"))
+    array = entries.repartitionByRange("suffix", "record").sortWithinPartitions("suffix", "record")
     parts = array.mapInArrow(_intervals(longest, block), _OUT)
     merged = parts.groupBy("gram", "cut", "record").agg(F.sum("occurrences").alias("o"), F.sum("records").alias("r"))
     seen = F.when(F.col("cut"), F.col("record").isNotNull().cast("long")).otherwise(F.col("r"))

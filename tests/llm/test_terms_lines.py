@@ -26,6 +26,12 @@ def test_ngram_counts_equal_brute_force(spark, block):
     assert got == {g: (n, len(recs[g] - {None})) for g, n in occ.items()}
 
 
+def test_equal_rows_of_a_third_of_all_are_one_entry(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.array(F.lit("h"), F.lit("c"))).otherwise(F.array(F.concat(F.lit("w"), F.col("id") % 700))).alias("t"), F.when(F.col("id") % 3 == 0, "hot").otherwise("r").alias("r"))
+    got = {tuple(r["gram"]): (r["occurrences"], r["records"]) for r in term_counts(df, "t", "r", 2).collect()}
+    assert got[("h", "c")] == got[("h",)] == (1000, 1) and got[("w1",)] == (len([i for i in range(3000) if i % 3 and i % 700 == 1]), 1)
+
+
 def test_no_rows(spark):
     assert term_counts(spark.createDataFrame([], "t array<string>, r string"), "t", "r", 2).count() == 0
 
