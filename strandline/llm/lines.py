@@ -21,21 +21,20 @@ def line_digests(text: Column) -> Column:
     """A digest for each line (split at newlines), null for blank lines and SECTION lines.
 
     Lines that differ only in letter case, amount and kind of white space, or the digits of
-    their numbers share a digest. 64 bits: two different lines of one source of ten million lines
-    share one by chance once in 400,000 such sources.
+    their numbers share a digest, of 128 bits.
     """
     same = F.regexp_replace(F.regexp_replace(folded(text), r"\p{Nd}+", "0"), rf"{INLINE}+", " ")
     return F.transform(F.split(same, "\n", -1), lambda x: _digest(F.trim(x)))
 
 
 def _digest(line: Column) -> Column:
-    return F.when((line != "") & ~line.startswith("section:"), F.xxhash64(line))
+    return F.when((line != "") & ~line.startswith("section:"), F.unhex(F.md5(line)))
 
 
 def documents_with_lines(rows: DataFrame, key: str, source: Column, text: str, day: Column) -> DataFrame:
     """key, src, doc, day, marks: one row for each key with a source; ``marks`` are the line digests."""
     t = F.col(f"`{text}`")
-    packed = F.struct(source.alias("src"), F.xxhash64(t).alias("doc"), day.alias("day"), line_digests(t).alias("marks"))
+    packed = F.struct(source.alias("src"), F.unhex(F.md5(t)).alias("doc"), day.alias("day"), line_digests(t).alias("marks"))
     one = rows.select(F.col(f"`{key}`").alias("key"), packed.alias("p")).where("p.src is not null and p.marks is not null").groupBy("key").agg(F.first("p").alias("p"))
     return one.select("key", "p.*")
 
@@ -69,10 +68,13 @@ def repeated_positions(documents: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 def without_lines(rows: DataFrame, source: Column, text: str, repeated: DataFrame) -> DataFrame:
-    """``rows`` with a column ``cleaned``: the text without the repeated lines of its source. Rows without a source keep their text."""
+    """``rows`` with a column ``cleaned``: the text without the repeated lines of its source. Rows without a source keep their text.
+
+    A source with many rows is spread over tasks by the content of its rows.
+    """
     t = F.col(f"`{text}`")
     bad = by_source(repeated).select(F.col("src").alias("__src"), F.col("bad").alias("__bad"))
     base = rows.withColumn("__src", source)
     pairs = F.arrays_zip(F.split(t, "\n", -1).alias("l"), line_digests(t).alias("m"))
     kept = F.array_join(F.transform(F.filter(pairs, lambda x: x["m"].isNull() | ~F.array_contains("__bad", x["m"])), lambda x: x["l"]), "\n")
-    return base.join(bad, "__src", "left").withColumn("cleaned", F.when(F.col("__bad").isNull(), t).otherwise(kept)).drop("__src", "__bad")
+    return salted_join(base, bad, ["__src"], "left").withColumn("cleaned", F.when(F.col("__bad").isNull(), t).otherwise(kept)).drop("__src", "__bad")

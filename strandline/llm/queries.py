@@ -21,6 +21,8 @@ from strandline.runtime import table, written
 RARE_IDS, COMMON_CODE, COMMON_CLAUSE, COMMON_LABEL, LABEL_LEAST = 2, 0.05, 0.30, 0.20, 20
 #: Production parameters of p2.
 LINE_IDS, LINE_SHARE = 6, 0.10
+#: Production parameters of p2_lines besides: different chunks that hold a line, and days on which they first came.
+LINE_CLUSTERS, LINE_DAYS = 3, 2
 
 
 def p1_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -33,13 +35,13 @@ def p1_terms(spark: SparkSession, d: str) -> DataFrame:
     value = F.array_join(F.transform("gram", lambda x: F.substring(x, 2, 2**31 - 1)), " ")
     # a clause that begins a sequence and a code that ends one are no labels: order in a label is fixed
     listed = grams.select(kind.alias("field"), value.alias("value"), F.substring(F.element_at("gram", 1), 2, 2**31 - 1).alias("doc"), F.col("occurrences").alias("chunks"), F.col("records").alias("documents"))
-    ids = base.count()
+    ids = base.agg(F.count(F.lit(1))).scalar()
     codes = listed.where("field = 'doc_code'")
     of = codes.select("doc", F.col("chunks").alias("of"))
-    n_codes = max(1, codes.count())
+    n_codes = codes.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
     rare = F.col("chunks") <= RARE_IDS
-    code = codes.withColumn("marks", usefulness(F.col("value"), rare, F.col("chunks") / F.lit(ids) > COMMON_CODE))
-    clause = listed.where("field = 'clause'").withColumn("marks", usefulness(F.col("value"), rare, F.col("documents") / F.lit(n_codes) > COMMON_CLAUSE))
+    code = codes.withColumn("marks", usefulness(F.col("value"), rare, F.col("chunks") / ids > COMMON_CODE))
+    clause = listed.where("field = 'clause'").withColumn("marks", usefulness(F.col("value"), rare, F.col("documents") / n_codes > COMMON_CLAUSE))
     label = listed.where("field = 'label'").join(of, "doc").withColumn("marks", usefulness(F.col("value"), F.lit(False), (F.col("of") >= LABEL_LEAST) & (F.col("chunks") / F.col("of") > COMMON_LABEL)))
     names = ["field", "value", "chunks", "documents", "marks"]
     return code.select(names).unionByName(clause.select(names)).unionByName(label.select(names))
@@ -60,6 +62,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_positions(documents, repeated).withColumnRenamed("key", "id")
 
 
+def p2_lines(spark: SparkSession, d: str) -> DataFrame:
+    """doc_code, mark, ids, clusters, days: the lines that repeat in different chunks and on different days, not only in republished ones."""
+    documents, _ = _line_documents(spark, d)
+    found = repeated_lines(documents, LINE_IDS, LINE_SHARE, LINE_CLUSTERS, LINE_DAYS)
+    return found.select(F.col("src").alias("doc_code"), F.lower(F.hex("mark")).alias("mark"), "ids", "clusters", "days")
+
+
 def p2_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """id, cleaned: every chunk without the repeated lines of its doc_code."""
     _, repeated = _line_documents(spark, d)
@@ -168,6 +177,10 @@ o as (select doc, x, count(distinct id) ids from n where x <> '' and not starts_
 f as (select doc, count(*) n from b where doc is not null group by 1)
 select id, line_no from n join o using (doc, x) join f using (doc) where ids >= {LINE_IDS} and ids / f.n >= {LINE_SHARE}
 """
+_REPEATED = _LINES[: _LINES.index("select id, line_no from n")].replace("select distinct id, nullif", "select distinct id, ingested_at::date as day, nullif", 1) + f""", k as (select doc, text, min(day) as day from b where doc is not null group by 1, 2),
+z as (select n.doc, n.x, count(distinct k.text) clusters, count(distinct k.day) as days from n join b using (id) join k on k.doc = n.doc and k.text = b.text where x <> '' and not starts_with(x, 'section:') group by 1, 2)
+select doc doc_code, md5(x) mark, ids, clusters, days from z join o using (doc, x) join f using (doc) where ids >= {LINE_IDS} and ids / f.n >= {LINE_SHARE} and clusters >= {LINE_CLUSTERS} and days >= {LINE_DAYS}
+"""
 _CANON = "regexp_replace(lower(upper({})), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 _COPIES = f"""
 with b as (select id, string_split(text, chr(10)) l, crumb from chunk_index),
@@ -234,7 +247,7 @@ f as (select caption_id, marks > 0 and not (tut >= 2 and marks * {res.DENSITY} <
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p3_pieces": p3_pieces,
+    "p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_lines": p2_lines, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p3_pieces": p3_pieces,
     "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_reasons": p6_reasons, "p7_found": p7_found, "p7_items": p7_items,
     "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_sources": p9_sources,
 }
@@ -242,6 +255,7 @@ SQL = {
     "p1_found": _LABELS + "select field, value, 'rare' as mark from t where rare union all select field, value, 'common' from t where common",
     "p1_terms": _LABELS + "select field, value, chunks, documents, list_concat(case when rare then ['rare'] else [] end, case when common then ['common'] else [] end) marks from t",
     "p2_found": _LINES,
+    "p2_lines": _REPEATED,
     "p2_cleaned": _LINES.replace("select id, line_no from n", ", bad as (select id, line_no, true hit from n").rstrip() + """), k as (select u.id, string_agg(line, chr(10) order by u.line_no) filter (where hit is null) t from u left join bad on bad.id = u.id and bad.line_no = u.line_no group by 1)
       select b.id, case when b.doc is null then b.text else coalesce(k.t, '') end cleaned from b left join k using (id)""",
     "p3_found": _SPLIT,
