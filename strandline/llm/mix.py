@@ -1,12 +1,13 @@
 """Mixing sources to target weights, with exact quotas for every output shard.
 
-Each source is cut into blocks by the hash of its documents (a permutation that needs no sort).
-A source's quota of tokens is its share of the total; what whole repeats do not fill is filled
-by its first blocks and, in the one block at the edge, by its first documents. The blocks chosen
-are then dealt to the output shards by a tree: at each node the number of blocks of each source
-is split between the two halves by a multivariate hypergeometric draw, so that every shard gets
-a random but exact block quota, and disjoint runs of permuted blocks meet the quotas. Within a
-shard, documents are ordered by hash. Only counts by source and block reach the driver.
+Each source is cut into a fixed number of blocks by the hash of its documents (a permutation that
+needs no sort). A source's quota of tokens is its share of the total; what whole repeats do not
+fill is filled by its first blocks, in the block at the edge by its first sub-blocks, and in the
+sub-block at the edge by its first documents. The blocks chosen are then dealt to the output shards
+by a tree: at each node the number of blocks of each source is split between the two halves by a
+multivariate hypergeometric draw, so that every shard gets a random but exact block quota, and
+disjoint runs of permuted blocks meet the quotas. Within a shard, documents are ordered by hash.
+The driver holds a few numbers a target; blocks, schedule and documents are tables.
 """
 
 from __future__ import annotations
@@ -22,10 +23,8 @@ from pyspark.sql import functions as F
 
 from strandline.runtime import written
 
-#: Blocks of a source at least (more where a block would hold more than BLOCK_ROWS of all rows), and output shards.
-BLOCKS, BLOCK_ROWS, SHARDS = 256, 1_000_000, 16
-#: The most rows of targets; the driver holds targets x blocks counts.
-TARGETS = 10_000
+#: Blocks of a source and sub-blocks of a block, whatever the number of documents, and output shards.
+BLOCKS, SUB_BLOCKS, SHARDS = 1_024, 1_024, 16
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
@@ -110,64 +109,55 @@ def deal(counts: list[int], shards: int, rng: np.random.Generator) -> np.ndarray
     return out
 
 
-def mixed(sizes: DataFrame, targets: DataFrame, total: float | None = None, shards: int = SHARDS, blocks: int | None = None, seed: int = 42) -> DataFrame:
+def _filled(cells: DataFrame, of: list[str], order: str) -> DataFrame:
+    """The cells (tokens ``t``, in order within ``of``) that ``want`` tokens reach, with ``upto``: what each gives, all of it or up to the edge."""
+    before = F.coalesce(F.sum("t").over(Window.partitionBy(*of).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cells.withColumn("upto", F.least("t", F.col("want") - before)).where("upto > 0")
+
+
+def mixed(sizes: DataFrame, targets: DataFrame, total: float | None = None, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 42) -> DataFrame:
     """key, source, tokens, copy, shard, place: one row for each time a document is used.
 
-    ``sizes`` has key, source, tokens; ``targets`` has source, target_share, max_repeats (few
-    rows; of a repeated source the first by share counts). Sources with null names, without
-    target or without tokens give nothing. A source's last document is the one that brings it to
-    its quota or just below; ``place`` orders a shard at random. The same seed and rows give the
-    same result.
+    ``sizes`` has key, source, tokens; ``targets`` has source, target_share, max_repeats (of a
+    repeated source the first by share counts). Sources with null names, without target or without
+    tokens give nothing. A source's last document is the one that brings it to its quota or just
+    below; ``place`` orders a shard at random. The same seed and rows give the same result. A
+    window runs over the blocks of a source or the documents of one sub-block, never over a source.
     """
     spark = sizes.sparkSession
-    sized = written(sizes.where("source is not null and tokens > 0").select("key", "source", "tokens"), "sizes")
-    blocks = blocks or max(BLOCKS, -(-sized.count() // BLOCK_ROWS))
-    blocked = sized.withColumn("h", F.xxhash64(F.lit(seed), "key")).withColumn("block", F.pmod(F.col("h"), F.lit(blocks)).cast("int")).withColumn("order", F.xxhash64("h"))
     want: dict[str, tuple[float, int]] = {}
-    for r in targets.select("source", "target_share", "max_repeats").where("source is not null").collect():
+    for r in targets.select("source", "target_share", "max_repeats").where("source is not null").toLocalIterator():
         if r[0] not in want or (r[1] or 0, r[2] or 0) > want[r[0]]:
             want[r[0]] = (r[1] or 0.0, r[2] or 0)
-    if len(want) > TARGETS:
-        raise ValueError(f"{len(want)} targets; at most {TARGETS} are mixed at once")
     names = spark.createDataFrame([(s,) for s in want] or [("",)], "source string")
-    listed = blocked.join(F.broadcast(names), "source", "left_semi")
-    per = {(r["source"], r["block"]): r["t"] for r in listed.groupBy("source", "block").agg(F.sum("tokens").alias("t")).collect()}
-    size: dict[str, int] = {}
-    for (s, _), t in per.items():
-        size[s] = size.get(s, 0) + t
+    h = F.xxhash64(F.lit(seed), "key")
+    listed = sizes.where("source is not null and tokens > 0").select("key", "source", "tokens").join(names, "source", "left_semi")
+    # the number of a block and of a sub-block, and the order within it, are independent parts of one hash
+    listed = written(listed.select("key", "source", "tokens", F.pmod(h, F.lit(blocks)).cast("int").alias("block"), F.pmod(F.xxhash64(h), F.lit(SUB_BLOCKS)).cast("int").alias("sub"), F.xxhash64(h, F.lit(1)).alias("order")), "sizes")
+    cells = written(listed.groupBy("source", "block").agg(F.sum("tokens").alias("t")), "blocks")
+    size = {r[0]: r[1] for r in cells.groupBy("source").agg(F.sum("t")).toLocalIterator()}
     quota = quotas(size, {s: v[0] for s, v in want.items()}, {s: v[1] for s, v in want.items()}, total)
-    # (source, copy, block): taken whole, or up to a number of tokens
-    taken: list[tuple[str, int, int, int]] = []
-    for s in sorted(quota):
-        left = int(quota[s] + 1e-6)
-        copy = 0
-        while left > 0 and copy < want[s][1]:
-            for b in range(blocks):
-                t = per.get((s, b), 0)
-                if t and left > 0:
-                    taken.append((s, copy, b, min(t, left)))
-                    left -= min(t, left)
-            copy += 1
-    rng = np.random.default_rng(seed)
-    sources = sorted({x[0] for x in taken})
-    of = {s: [x for x in taken if x[0] == s] for s in sources}
-    dealt = deal([len(of[s]) for s in sources], shards, rng)
-    plan: list[tuple[str, int, int, int, int]] = []
-    for c, s in enumerate(sources):
-        order, at = rng.permutation(len(of[s])), 0
-        for shard in range(shards):
-            for i in order[at : at + dealt[shard, c]]:
-                plan.append((*of[s][i], shard))
-            at += dealt[shard, c]
-    schedule = spark.createDataFrame(plan, "source string, copy int, block int, upto long, shard int") if plan else spark.createDataFrame([], "source string, copy int, block int, upto long, shard int")
-    # the schedule has at most targets x blocks x repeats rows: it follows the plan, not the documents
-    hit = listed.join(F.broadcast(schedule), ["source", "block"])
-    whole_blocks = spark.createDataFrame([(s, b, t) for (s, b), t in per.items()] or [("", -1, 0)], "source string, block int, of long")
-    hit = hit.join(F.broadcast(whole_blocks), ["source", "block"])
-    edge = hit.where("upto < of")
-    run = F.sum("tokens").over(Window.partitionBy("source", "copy", "block").orderBy("order", "key").rowsBetween(Window.unboundedPreceding, 0))
-    names_out = ["key", "source", "tokens", "copy", "shard", F.xxhash64(F.lit(seed + 1), "key", "copy").alias("place")]
-    return hit.where("upto = of").select(names_out).unionByName(edge.withColumn("run", run).where("run <= upto").select(names_out))
+    # how much each copy of a source gives: whole copies, then what is left
+    copies = [(s, c, min(size[s], int(q + 1e-6) - c * size[s])) for s, q in quota.items() for c in range(min(want[s][1], -(-int(q + 1e-6) // size[s])))]
+    plan = spark.createDataFrame(copies, "source string, copy int, want long") if copies else spark.createDataFrame([], "source string, copy int, want long")
+    taken = written(_filled(cells.join(plan, "source"), ["source", "copy"], "block").select("source", "copy", "block", "t", "upto"), "taken")
+    # the tree deals as many blocks of each source as were taken; each source's blocks, permuted, are handed out in runs
+    counts = sorted((r[0], r[1]) for r in taken.groupBy("source").count().toLocalIterator())
+    dealt = deal([n for _, n in counts], shards, np.random.default_rng(seed)).cumsum(axis=0)
+    ends = [(s, dealt[:, i].tolist()) for i, (s, _) in enumerate(counts)]
+    runs = spark.createDataFrame(ends, "source string, ends array<long>") if ends else spark.createDataFrame([], "source string, ends array<long>")
+    turn = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "copy", "block"), "copy", "block"))
+    schedule = written(taken.withColumn("turn", turn).join(runs, "source").select("source", "copy", "block", "t", "upto", F.size(F.filter("ends", lambda e: e < F.col("turn"))).alias("shard")), "schedule")
+    out = ["key", "source", "tokens", "copy", "shard", F.xxhash64(F.lit(seed + 1), "key", "copy").alias("place")]
+    hit = listed.join(schedule.where("upto = t").drop("t", "upto"), ["source", "block"])
+    # the blocks at the edge, one for each copy at most: their first sub-blocks, and of the next one the first documents
+    edge = listed.join(schedule.where("upto < t").select("source", "copy", "block", "shard", F.col("upto").alias("want")), ["source", "block"])
+    parts = edge.groupBy("source", "copy", "want", "sub").agg(F.sum("tokens").alias("t"))
+    reached = _filled(parts, ["source", "copy"], "sub").select("source", "copy", "sub", "t", "upto")
+    near = edge.join(reached, ["source", "copy", "sub"])
+    run = F.sum("tokens").over(Window.partitionBy("source", "copy", "sub").orderBy("order", "key").rowsBetween(Window.unboundedPreceding, 0))
+    last = near.where("upto < t").withColumn("run", run).where("run <= upto")
+    return hit.select(out).unionByName(near.where("upto = t").select(out)).unionByName(last.select(out))
 
 
 def shares(mix: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
