@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions.text import body, filled, trimmed
 from strandline.llm import cutoff as cut
 from strandline.llm import residue as res
-from strandline.llm.cutoff import truncated, truncation_by_source
+from strandline.llm.cutoff import longer_sentences, truncated, truncation_by_source
 from strandline.llm.dupes import copies, duplicate_groups
 from strandline.llm.leak import RUN, leaks
 from strandline.llm.lines import documents_with_lines, repeated_lines, repeated_positions, without_lines
@@ -147,6 +147,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d).where("cut").select(F.col("key").alias("doc_id")).distinct()
 
 
+def p9_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """evidence, texts: how many texts are cut by a longer copy, by their open end, by a longer sentence elsewhere besides, and in all."""
+    judged = written(_judged(spark, d), "judged").select("key", "open", "continued", "cut").distinct()
+    sentences = longer_sentences(table(spark, d, "documents"), "doc_id", "text").withColumn("sentence", F.lit(True))
+    t = judged.join(sentences, "key", "left").agg(
+        F.count_if("continued").alias("longer text"), F.count_if("sentence").alias("longer sentence"), F.count_if("open").alias("open end"), F.count_if("cut").alias("cut"),
+    )
+    return t.unpivot([], ["longer text", "longer sentence", "open end", "cut"], "evidence", "texts")
+
+
 def p9_sources(spark: SparkSession, d: str) -> DataFrame:
     """source, texts, cut, share, limits: how often each source truncates."""
     return truncation_by_source(written(_judged(spark, d), "judged"))
@@ -210,18 +220,27 @@ h as (select distinct item_id, array_to_string(w[k:k+{RUN - 1}], ' ') run from (
 """
 
 
-def _cutoff_sql(end: str = "select distinct doc_id from o where open or doc_id in (select doc_id from f)") -> str:
-    q = lambda s: "'" + s.replace("'", "''").replace(r"\x85", r"\x{85}") + "'"
-    bars = lambda c: f"length(regexp_replace({c}, '[^|]', '', 'g'))"
-    closed = lambda c: f"regexp_matches({c}, {q(cut.CLOSED)})"
-    return f"""
-with a as (select doc_id, source, length(text) size, {_trim('text')} t from documents), b as (select *, regexp_replace(t, {q(cut.SIGN)}, '') base from a),
-l as (select *, string_split(base, chr(10))[-1] last, coalesce(string_split(base, chr(10))[-2], base) before from b),
-o as (select *, base <> '' and not {closed(f'right(base, {cut.TAIL})')} and (length(t) > length(base) or not (case when starts_with(last, '|') then regexp_matches(last, '\\|\\s*$') and (not starts_with(before, '|') or {bars('before')} <= {bars('last')})
-  else regexp_matches(last, {q(cut.LIST_ENTRY)}) or regexp_matches(last, {q(cut.CODE_LINE)}) or regexp_matches(last, {q(cut.FIELD_LINE)}) or regexp_matches(last, {q(cut.SIGN_OFF)}) end)) open from l),
-n as (select x.doc_id, x.base, min(y.base) longer from b x join b y on length(x.base) >= {cut.SHORTEST} and length(y.base) > length(x.base) and starts_with(y.base, x.base) group by 1, 2),
-f as (select doc_id from (select *, substring(longer, length(base) + 1, 1) follows from n) where follows <> chr(10) and (not {closed('base')} or (regexp_matches(base, '[0-9]\\.$') and regexp_matches(follows, '[0-9]'))))
-{end}
+#: How texts end, said anew for SQL: by characters instead of the operator's patterns.
+_QUOTES = "'\"''”’»'"
+_ENDS = rf"""
+with a as (select doc_id, source, length(text) size, {_trim('text')} t from documents),
+b as (select *, regexp_replace(t, '([\s\p{{Z}}\x{{FFFD}}…]|[.][.][.]+|[(\[]\s*([.][.][.]+|…|more|cut|truncated)\s*[)\]]|&h(e|el|ell|elli|ellip|ellip;)?|&)+$', '') base from a),
+l as (select *, string_split(base, chr(10)) ls from b), m as (select *, ls[-1] last, coalesce(ls[-2], ls[-1]) before, ltrim(ls[-1]) flush from l),
+c as (select *, right(rtrim(base, {_QUOTES} || '“)]}}*_'), 1) in ('.', '!', '?', '。', '！', '？') or right(rtrim(base, {_QUOTES} || ')]'), 1) in (';', ':') or right(base, 1) in ('"', '”', '’', '»') closed,
+  case when starts_with(last, '|') then ends_with(last, '|') and (not starts_with(before, '|') or length(before) - length(replace(before, '|', '')) <= length(last) - length(replace(last, '|', '')))
+    else (left(flush, 1) in ('-', '*', '•', '–', '·', '>') or regexp_matches(split_part(flush, ' ', 1), '^([0-9]{{1,3}}|[a-z])[.)]$')) and regexp_matches(flush, '^\S+\s+\S')
+      or regexp_matches(flush, '^[A-Z][A-Z0-9]*([-_./][A-Z0-9]+)+([,;:]? [^\W\d_]{{1,12}}[.]? [0-9]+)?$')
+      or (strpos(flush, ':') between 2 and 26 and regexp_matches(flush, '^\pL[\pL _-]*:\s+\S') and not regexp_matches(split_part(flush, ':', 2), '[.!?]'))
+      or left(flush, 2) in ('--', '==', '**', '##', '~~') or left(flush, 1) in ('—', '–') or (left(flush, 1) in ('(', '[') and right(flush, 1) in (')', ']')) end whole from m),
+o as (select *, base <> '' and not closed and (length(t) > length(base) or not whole) open from c),
+f as (select distinct x.doc_id from o x join o y on x.base <> '' and length(y.base) > length(x.base) and starts_with(y.base, x.base)
+  where substring(y.base, length(x.base) + 1, 1) <> chr(10) and (not x.closed or (regexp_matches(x.base, '[0-9][.]$') and regexp_matches(substring(y.base, length(x.base) + 1, 1), '[0-9]')))),
+j as (select distinct doc_id, source, size, coalesce(open, false) open, doc_id in (select doc_id from f) continued from o)
+"""
+_EVIDENCE = _ENDS + rf""", sp as (select doc_id, open, regexp_split_to_array(regexp_replace(base, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|' || chr(10) || '+') us from o),
+u as (select doc_id, {_trim('u')} u from (select doc_id, unnest(us) u from sp)), un as (select distinct u from u where length(u) >= {cut.LEAST}),
+ta as (select distinct doc_id, {_trim('us[-1]')} u from sp where open), lo as (select distinct doc_id from ta where length(u) >= {cut.LEAST} and exists (select 1 from un where un.u <> ta.u and starts_with(un.u, ta.u)))
+select 'longer text' evidence, count(case when continued then 1 end) texts from j union all select 'longer sentence', (select count(*) from lo) union all select 'open end', count(case when open then 1 end) from j union all select 'cut', count(case when open or continued then 1 end) from j
 """
 
 
@@ -249,7 +268,7 @@ f as (select caption_id, marks > 0 and not (tut >= 2 and marks * {res.DENSITY} <
 QUERIES = {
     "p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_lines": p2_lines, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p3_pieces": p3_pieces,
     "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_reasons": p6_reasons, "p7_found": p7_found, "p7_items": p7_items,
-    "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_sources": p9_sources,
+    "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_evidence": p9_evidence, "p9_sources": p9_sources,
 }
 SQL = {
     "p1_found": _LABELS + "select field, value, 'rare' as mark from t where rare union all select field, value, 'common' from t where common",
@@ -266,8 +285,9 @@ SQL = {
     "p7_found": _LEAKS + "select distinct doc_id, item_id from g join h using (run)",
     "p7_items": _LEAKS + """, m as (select doc_id, item_id, count(*) n from g join h using (run) group by 1, 2), qw as (select item_id, regexp_extract_all(lower(upper(question)), '[\\p{L}\\p{N}]+') q from eval_items)
       select item_id, count(*) documents, count(case when list_has_all(w.w, qw.q) then 1 end) questions, sum(n)::bigint passages from m join w using (doc_id) join qw using (item_id) group by 1""",
-    "p9_found": _cutoff_sql(),
-    "p9_sources": _cutoff_sql(f""", j as (select source, size, coalesce(open, false) or doc_id in (select doc_id from f) cut from o), s as (select source, count(*) texts, count(case when cut then 1 end) cut from j group by 1),
-      p as (select source, size, count(case when cut then 1 end) c from j group by 1, 2), m as (select p.source, list_sort(list(size)) limits from p join s on p.source is not distinct from s.source where c >= {cut.LIMIT_TEXTS} and c / texts >= {cut.LIMIT_SHARE} group by 1)
-      select s.source, texts, cut, cut / texts share, coalesce(limits, []) limits from s left join m on m.source is not distinct from s.source"""),
+    "p9_found": _ENDS + "select distinct doc_id from j where open or continued",
+    "p9_evidence": _EVIDENCE,
+    "p9_sources": _ENDS + f""", k as (select source, size, coalesce(open, false) or doc_id in (select doc_id from f) cut from o), s as (select source, count(*) texts, count(case when cut then 1 end) cut from k group by 1),
+      p as (select source, size, count(case when cut then 1 end) c from k group by 1, 2), pm as (select p.source, list_sort(list(size)) limits from p join s on p.source is not distinct from s.source where c >= {cut.LIMIT_TEXTS} and c / texts >= {cut.LIMIT_SHARE} group by 1)
+      select s.source, texts, cut, cut / texts share, coalesce(limits, []) limits from s left join pm on pm.source is not distinct from s.source""",
 }

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandline.llm.cutoff import strict_prefixes, truncated, truncation_by_source
+from strandline.llm.cutoff import longer_sentences, strict_prefixes, truncated, truncation_by_source
 from strandline.llm.mix import deal, mixed, quotas, shares, token_counts
 
 OPEN = [
@@ -26,11 +26,12 @@ def test_strict_prefixes_equal_brute_force(spark):
     rng = random.Random(3)
     head = "the same header of every text in this lot, "
     texts = [head * rng.choice([0, 1, 1, 5]) + "".join(rng.choice("ab") for _ in range(rng.randrange(16, 24))) for _ in range(150)]
-    texts += [t[: rng.randrange(len(t) + 1)] for t in texts[:80]] + ["", "short", "é" * 40, "é" * 33, "x" * 70_000, "x" * 69_999]
+    texts += [t[: rng.randrange(len(t) + 1)] for t in texts[:80]] + ["", "short", "shor", "s", "é" * 40, "é" * 33, "é", "x" * 70_000, "x" * 69_999, "y" * 20, "y" * 20 + "\n- a", "y" * 20 + "z", "q", "q\nr"]
     df = spark.createDataFrame([(t,) for t in texts + [None]], "t string").repartition(5)
-    want = {a for a in texts if len(a) >= 16 and any(b != a and b.startswith(a) for b in texts)}
+    want = {a for a in texts if a and any(b != a and b.startswith(a) for b in texts)}
     got = {r["text"]: r["follows"] for r in strict_prefixes(df, "t").collect()}
     assert set(got) == want and all(any(b.startswith(a + f) for b in texts) for a, f in got.items())
+    assert got["y" * 20] == "z" and got["q"] == "\n"
 
 
 def test_a_longer_copy_is_evidence(spark):
@@ -42,6 +43,19 @@ def test_a_longer_copy_is_evidence(spark):
     assert truncated(spark.createDataFrame([], "id long, t string, s string"), "id", "t", "s").count() == 0
 
 
+def test_a_longer_sentence_is_evidence(spark):
+    rows = [(1, "First one. The valve of the pump shall be clo", "s"), (2, "Another. The valve of the pump shall be closed.", "s"), (3, "It is open. The valve of the tank shall be", "s"), (4, None, None), (5, "", "s"), (6, "The", "s"), (None, "The valve of the tank shall be here.", "s")]
+    df = spark.createDataFrame(rows * 2, "id long, t string, s string")
+    assert [r.key for r in longer_sentences(df, "id", "t").collect()] == [1]
+
+
+def test_equal_texts_of_a_third_of_all_rows_travel_once(spark):
+    rows = [(i, "the same text of all, which ends in the mid" if i % 3 == 0 else f"text number {i} which is a longer one") for i in range(3000)] + [(9000, "the same text of all, which ends in the middle.")]
+    df = spark.createDataFrame(rows, "id long, t string").withColumn("s", F.lit("x"))
+    got = truncated(df, "id", "t", "s").where("continued")
+    assert {r.key for r in got.collect()} == {i for i in range(0, 3000, 3)}
+
+
 def test_quotas():
     size, share, cap = {"a": 100, "b": 10, "c": 0}, {"a": 0.5, "b": 0.25, "c": 0.25}, {"a": 1, "b": 3, "c": 9}
     assert quotas(size, share, cap) == {"a": 60.0, "b": 30.0}
