@@ -3,35 +3,38 @@
 Everything is decided by expressions on the folded text: delimiter-specific grammars for unfilled
 placeholders (code spans and tutorial passages are discounted by context and density), lexical
 tests for filler, and anchored grammars for messages and notices, which a text that describes
-something is not held to.
+something is not held to. Filler of invented words is told by the vocabulary of all other texts.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.text import folded, trimmed
+from strandline.runtime import written
 
 # Fixed values. All patterns apply to lower-case text and use neither look-around nor
 # back-references, so that an engine without them can run the same.
-NAME = r"[\p{L}_][\p{L}\p{N}_. -]{0,60}"
+NAME = r"[\p{L}_][\p{L}\p{N}_. -]*"
 #: One grammar for each kind of delimiter.
 PLACEHOLDERS = (
-    r"\{\{[^{}\n]{0,80}\}\}",
-    r"[$#]\{[^{}\n]{1,80}\}",
-    r"<%[^%\n]{1,80}%>",
+    r"\{\{[^{}\n]*\}\}",
+    r"[$#]\{[^{}\n]+\}",
+    r"<%[^%\n]+%>",
     r"%\([\p{L}_][\p{L}\p{N}_.]*\)[sdifr]",
-    r"@@[\p{L}\p{N}_. -]{1,60}@@",
+    r"@@[\p{L}\p{N}_. -]+@@",
     rf"__{NAME}__",
-    r"\[\[[^\[\]\n]{1,80}\]\]",
-    r"<<[^<>\n]{1,80}>>",
+    r"\[\[[^\[\]\n]+\]\]",
+    r"<<[^<>\n]+>>",
     r"\{([0-9]{1,3}|[a-z]+([_.][a-z]+)+|[a-z]{4,})\}",
-    r"<(insert|your|enter|add|put|replace|type)\b[^<>\n]{0,60}>",
-    r"\[[^\[\]\n]{0,60}\b(to be (added|completed|defined|confirmed|inserted|supplied|written|replaced|provided)|insert|describe|add|enter|your|placeholder|tbd|tbc|todo|einfügen|einsetzen|ergänzen|eintragen|à compléter|à remplacer|à insérer|insérer|completar|insertar|rellenar)\b[^\[\]\n]{0,60}\]",
+    r"<(insert|your|enter|add|put|replace|type)([^\p{L}<>\n][^<>\n]*)?>",
+    r"\[([^\[\]\n]*[^\[\]\n\p{L}])?(to be (added|completed|defined|confirmed|inserted|supplied|written|replaced|provided)|insert|describe|add|enter|your|placeholder|tbd|tbc|todo|einfügen|einsetzen|ergänzen|eintragen|à compléter|à remplacer|à insérer|insérer|completar|insertar|rellenar)([^\[\]\n\p{L}][^\[\]\n]*)?\]",
     r"(^|\s)%[sd](\s|[.,;]|$)",
+    r"(^|[^\p{L}\p{N}])x{3,}([^\p{L}\p{N}]|$)",
+    r"(^|\s)_{3,}([\s.,;:]|$)",
 )
 PLACEHOLDER = "|".join(f"({p})" for p in PLACEHOLDERS)
 #: Code, which may hold such marks on purpose, and the words of texts that explain them.
@@ -94,6 +97,8 @@ LATIN = (
 ).split()
 #: Filler: at least so many words; at most this share of different words, or of different pieces of three letters.
 LEAST_WORDS, DIFFERENT_WORDS, DIFFERENT_PIECES, LATIN_SHARE = 5, 0.4, 0.8, 0.6
+#: Words of filler that other texts may have, too.
+KNOWN_SHARE = 0.2
 #: A placeholder counts as explained, not left over, in a text with two tutorial words and fewer than one placeholder in so many characters.
 DENSITY = 200
 
@@ -107,12 +112,13 @@ class Residue:
     message: Column
     notice: Column
 
-    @property
-    def found(self) -> Column:
-        return self.placeholder | self.filler | self.message | self.notice
+    #: The words of the text, and whether some of them is one that sentences cannot do without.
+    words: Column
+    sentence: Column
 
     @property
     def reason(self) -> Column:
+        """The first reason that holds; null for a text that is no residue by itself."""
         return F.when(self.placeholder, "placeholder").when(self.filler, "filler").when(self.message, "message").when(self.notice, "notice")
 
 
@@ -122,7 +128,6 @@ def residue(text: Column) -> Residue:
     bare = F.regexp_replace(whole, CODE_SPAN, " ")
     marks = F.regexp_count(bare, F.lit(PLACEHOLDER))
     explained = (F.regexp_count(bare, F.lit(TUTORIAL)) >= 2) & (marks * DENSITY < F.length(bare))
-    placeholder = (marks > 0) & ~explained
     core = trimmed(F.regexp_replace(whole, LABEL, ""))
     tokens = F.regexp_extract_all(core, F.lit(r"\p{L}+"), F.lit(0))
     n = F.size(tokens)
@@ -131,10 +136,32 @@ def residue(text: Column) -> Residue:
     latin = F.size(F.filter(tokens, lambda w: w.isin(LATIN)))
     repeated = F.size(F.array_distinct(tokens)) / some <= DIFFERENT_WORDS
     one_letter = F.forall(tokens, lambda w: F.size(F.array_distinct(F.split(w, ""))) <= 2) & (n >= LEAST_WORDS - 1)
+    # a text of nothing but such words is filler as a whole
+    placeholder = (marks > 0) & ~explained & ~one_letter
     # no function word at all, and a few syllables that come back again and again
-    scrambled = ~F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in sorted(set(FUNCTION_WORDS))])) & (F.size(F.array_distinct(pieces)) / F.greatest(F.size(pieces), F.lit(1)) <= DIFFERENT_PIECES)
+    sentence = F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in sorted(set(FUNCTION_WORDS))]))
+    scrambled = ~sentence & (F.size(F.array_distinct(pieces)) / F.greatest(F.size(pieces), F.lit(1)) <= DIFFERENT_PIECES)
     filler = core.rlike("|".join(f"({p})" for p in FILLER)) | ((n >= LEAST_WORDS) & (repeated | scrambled | (latin / some >= LATIN_SHARE))) | ((n > 0) & one_letter)
     describes = core.rlike(DESCRIPTION)
     message = core.rlike("|".join(f"({p})" for p in MESSAGES)) & ~describes
     notice = core.rlike("|".join(f"({p})" for p in NOTICES)) & ~describes
-    return Residue(placeholder, filler, message, notice)
+    return Residue(placeholder, filler, message, notice, tokens, sentence)
+
+
+def reasons(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, reason of every text that is residue: placeholder, filler, message or notice; one row for each key and reason.
+
+    Besides what ``residue`` says of a text alone, one is filler if it has five words or more,
+    none of which a sentence needs, and at most ``KNOWN_SHARE`` of its words stand in any text
+    that is a sentence and no residue. The vocabulary is that of all texts. Null and blank texts
+    give no row.
+    """
+    r = residue(F.col(f"`{text}`"))
+    judged = rows.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), r.reason.alias("reason"), r.words.alias("words"), r.sentence.alias("sentence"))
+    judged = written(judged.distinct(), "judged")
+    odd = judged.where(F.col("reason").isNull() & ~F.col("sentence") & (F.size("words") >= LEAST_WORDS)).select("key", F.monotonically_increasing_id().alias("n"), F.col("words"))
+    each = odd.select("key", "n", F.explode("words").alias("word"))
+    known = judged.where(F.col("reason").isNull() & F.col("sentence")).select(F.explode(F.array_distinct("words")).alias("word")).distinct().withColumn("known", F.lit(True))
+    share = each.join(known, "word", "left").groupBy("key", "n").agg(F.avg(F.coalesce("known", F.lit(False)).cast("double")).alias("share"))
+    strange = share.where(F.col("share") <= KNOWN_SHARE).select("key", F.lit("filler").alias("reason"))
+    return judged.where("reason is not null").select("key", "reason").unionByName(strange).distinct()

@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 
 from strandline.llm import leak
 from strandline.llm.leak import Index, Words, _probe, leaks, words_of
-from strandline.llm.residue import residue
+from strandline.llm.residue import reasons, residue
 
 RESIDUE = {
     "Figure 3: {{title}}": "placeholder", "A view of ${unit.name} from above": "placeholder", "Plot of <%= x %> against time": "placeholder",
     "[TITLE TO BE ADDED]": "placeholder", "p. 9 - [Bild einfügen]": "placeholder", "__figure_name__": "placeholder", "{0}": "placeholder", "<INSERT NAME HERE>": "placeholder",
     "%(name)s in use": "placeholder", "[[label]]": "placeholder", "<<figure text>> on a bench": "placeholder", "@@REF@@": "placeholder",
     "Lorem ipsum dolor sit amet": "filler", "bla bla bla bla bla": "filler", "xxxx xxx xxxxx xxxx": "filler", "Your caption goes here.": "filler", "Dolor sit amet consectetur elit magna": "filler",
+    "[légende à compléter]": "placeholder", "Block diagram of XXXX with two branches": "placeholder", "{{" + "a" * 500 + "}}": "placeholder", "Side view of the ____": "placeholder",
     "502 Bad Gateway": "message", "[12] Access denied: ask the owner": "message", '{"error": 5}': "message", "Traceback (most recent call last): x": "message",
     "Please enable JavaScript to see this.": "notice", "Page 4: This viewer needs scripts to run": "notice", "Your browser does not support this": "notice",
 }
@@ -29,6 +30,13 @@ def test_residue_and_what_only_speaks_of_it(spark):
     assert [(r.t, r.want, r.got) for r in got if r.want != r.got and r.t != "x" * 100_000] == []
 
 
+def test_invented_words_are_told_by_the_vocabulary_of_all(spark):
+    rows = [(i, f"A view of the pump and the valve on panel {i}") for i in range(20)] + [(90, "Lonfel tispra cum arinir melqua ostdol"), (91, "Pump valve panel view pump"), (92, None), (93, ""), (94, "lonfel"), (90, "Lonfel tispra cum arinir melqua ostdol")]
+    df = spark.createDataFrame(rows, "id long, t string").withColumn("reason", F.lit("clash"))
+    assert [(r.key, r.reason) for r in reasons(df, "id", "t").collect()] == [(90, "filler")]
+    assert reasons(df.limit(0), "id", "t").count() == 0
+
+
 def test_tutorials_are_spared_by_density(spark):
     text = "This tutorial explains the syntax of a template engine. " + "Words follow here in a plain sentence. " * 20
     one = spark.createDataFrame([(text + "{{name}} renders a variable.",), (text[:60] + "{{a}} {{b}} {{c}} {{d}}",)], "t string")
