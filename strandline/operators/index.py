@@ -57,10 +57,23 @@ def idf(posts: DataFrame) -> DataFrame:
 
 
 def weighted(posts: DataFrame, table: DataFrame) -> DataFrame:
-    """key, term, w: TF-IDF weights scaled to unit length. Terms without an idf are left out."""
-    w = salted_join(posts.select("key", "term", "tf"), table.select("term", "idf"), ["term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "key").select("key", "term", (F.col("w") / F.col("norm")).alias("w"))
+    """key, term, tf, w: TF-IDF weights scaled to unit length. Terms without an idf are left out. ``posts`` should be a table."""
+    return _unit(_raised(posts, table)).select("key", F.explode(F.arrays_zip("terms", "tf", "w")).alias("p")).select("key", F.col("p.terms").alias("term"), "p.tf", "p.w")
+
+
+def _raised(posts: DataFrame, table: DataFrame) -> DataFrame:
+    return salted_join(posts.select("key", "term", "tf"), table.select("term", "idf"), ["term"]).withColumn("w", F.col("tf") * F.col("idf"))
+
+
+def _unit(raised: DataFrame) -> DataFrame:
+    """key, terms, tf, w: one row a text, its weights scaled to unit length."""
+    rows = raised.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "tf", "w")).alias("p"))
+    return rows.select("key", F.col("p.term").alias("terms"), F.col("p.tf").alias("tf"), F.transform("p.w", lambda x: x / F.col("norm")).alias("w"))
+
+
+def search_vectors(posts: DataFrame, table: DataFrame) -> DataFrame:
+    """key, terms, tf, w: the sparse vectors of every text, one row each, with counts and with TF-IDF weights of unit length; to be stored once and searched often."""
+    return _unit(_raised(posts, table))
 
 
 # --- incremental loads -------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -25,8 +26,10 @@ QUALIFIER = r"\b(for|when|under|during|if|applicable|applies|required|tested|at|
 EXPLICIT = r"^\s*(define\b|definition\s+of\b|meaning\s+of\b|what\s+(is|are|does)\b.*\bmean\b|what\s+does\b.*\bstand\s+for)"
 SHORT = r"^\s*what\s+(is|are)\s+((a|an|the)\s+)?([a-z0-9/' -]{2,40})\s*\??\s*$"
 STANDS = r"\bwhat\s+does\s+([A-Za-z][A-Za-z0-9/-]{1,9})\s+stand\s+for"
-#: Vectors of queries that are compared with all rows in one pass.
-QUERIES_PER_PASS = 5_000
+#: Queries that are compared with all rows in one pass, terms they have together at most, and scores a task holds at once.
+QUERIES_PER_PASS, TERMS_PER_PASS, SCORES = 1_000, 200_000, 4_000_000
+#: A term of more than one in so many queries of a pass is multiplied as a matrix, the others one by one.
+COMMON = 20
 
 
 def route(text: Column, profile: CorpusProfile = DEFAULT) -> Column:
@@ -59,60 +62,183 @@ def top_k(scored: DataFrame, k: int, score: str = "score", key: str = "key", by:
     return scored.withColumn(name, F.row_number().over(w) - 1).where(F.col(name) < k)
 
 
+class _Best:
+    """The k best rows of each query so far, in a task: by score, then by the smaller key."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, score: np.ndarray, keys: np.ndarray) -> None:
+        """Scores of all queries (rows) for some keys; -inf for a pair that does not count."""
+        n = score.shape[1]
+        if n > self.k:
+            np.maximum(self.least, np.partition(score, n - self.k, axis=1)[:, n - self.k], out=self.least)
+        q, row = np.nonzero((score >= self.least[:, None]) & (score > -np.inf))
+        self.held.append((q, score[q, row], keys[row]))
+        self.size += len(q)
+        if self.size > SCORES:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, score, key) of the k best."""
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        q, score, keys = (np.concatenate([h[i] for h in self.held]) for i in range(3))
+        order = np.lexsort((np.unique(keys, return_inverse=True)[1], -score, q))
+        q, score, keys = q[order], score[order], keys[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        full = place == self.k - 1
+        self.least[q[full]] = score[full]
+        first = place < self.k
+        self.held, self.size = [(q[first], score[first], keys[first])], int(first.sum())
+        return self.held[0]
+
+
+def _blocks(rows: Iterator, size: int, terms: int | None = None) -> Iterator[list]:
+    """Rows (first item: the query) in blocks of up to ``size`` queries and ``terms`` rows or one query; the rows of a query come together."""
+    block, seen = [], 0
+    last = object()
+    for r in rows:
+        if r[0] != last:
+            if seen == size or (terms and len(block) >= terms):
+                yield block
+                block, seen = [], 0
+            seen, last = seen + 1, r[0]
+        block.append(r)
+    if block:
+        yield block
+
+
 def sparse_scores(queries: DataFrame, docs: DataFrame, weight: str = "tf") -> DataFrame:
-    """qid, key, score: the sum of products of weights over shared terms, for every pair that shares one.
+    """qid, key, score: the sum of products of weights over shared terms, for every pair of ``queries`` and ``docs`` that shares one.
 
-    ``queries`` has qid, term and the weight, ``docs`` key, term and the weight. The join is on
-    the term, salted, because some terms are in every text; products are summed before they are
-    shuffled by query where they meet. A query without terms has no rows.
+    ``queries`` has qid, term and the weight, ``docs`` is a table of key, term and the weight, for
+    pairs that are few; ``sparse_lists`` ranks all rows without making pairs. Products are summed
+    before they are shuffled by query where they meet. A query without terms has no rows.
     """
     q = queries.select("qid", "term", F.col(weight).alias("qw"))
     hits = docs.select("key", "term", F.col(weight).alias("dw"))
     return salted_join(hits, q, ["term"]).groupBy("qid", "key").agg(F.round(F.sum(F.col("qw") * F.col("dw")), 9).alias("score"))
 
 
-def sparse_top_k(queries: DataFrame, docs: DataFrame, k: int, weight: str = "tf") -> DataFrame:
-    """qid, key, score, rank: the k best by ``sparse_scores``."""
-    return top_k(sparse_scores(queries, docs, weight), k)
+def sparse_lists(queries: DataFrame, docs: DataFrame, k: int, lists: dict[str, tuple[str, str]], per_pass: int = QUERIES_PER_PASS) -> DataFrame:
+    """list, qid, key, score, rank: for each named list the k best by the sum of products of weights over shared terms.
+
+    ``queries`` has qid, term and a weight a list, ``docs`` one row a key with terms and an array
+    of weights a list, in the order of the terms; ``lists`` names both weights. Queries go out in
+    blocks of bounded size and all lists come from one pass over ``docs``: a task multiplies its
+    rows with a block and keeps its own k best, so nothing else is shuffled, whatever terms are
+    in every text. Queries and rows that share no term do not meet; null keys match nothing.
+    """
+    spark = queries.sparkSession
+    names, kinds = list(lists), (dict(queries.dtypes), dict(docs.dtypes))
+    columns = list(dict.fromkeys(d for _, d in lists.values()))
+    schema = f"list string, qid {kinds[0]['qid']}, key {kinds[1]['key']}, score double"
+    qid_type, key_type = to_arrow_type(queries.schema["qid"].dataType), to_arrow_type(docs.schema["key"].dataType)
+
+    def one_pass(block: list) -> DataFrame:
+        qids = list(dict.fromkeys(r[0] for r in block))
+        vocabulary = list(dict.fromkeys(r[1] for r in block))
+        of_q, of_t = {q: i for i, q in enumerate(qids)}, {t: i for i, t in enumerate(vocabulary)}
+        q, t = np.array([of_q[r[0]] for r in block]), np.array([of_t[r[1]] for r in block])
+        weights = {n: np.array([r[2 + i] for r in block], np.float64) for i, n in enumerate(names)}
+        sent = spark.sparkContext.broadcast((pa.array(qids, qid_type), pa.array(vocabulary, pa.string()), _Side(q, t, len(qids), len(vocabulary)), weights))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, words, side, w = sent.value
+            kept = {n: _Best(len(ids), k) for n in names}
+            step = max(256, SCORES // len(ids))
+            for batch in batches:
+                for a in range(0, batch.num_rows, step):
+                    b = batch.slice(a, step)
+                    keys = b.column(0).to_numpy(zero_copy_only=False)
+                    term = pc.index_in(b.column(1).flatten(), value_set=words)
+                    sizes = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+                    known = term.is_valid().to_numpy(zero_copy_only=False)
+                    term, row = pc.fill_null(term, 0).to_numpy(zero_copy_only=False)[known], np.repeat(np.arange(len(keys)), sizes)[known]
+                    value = {c: b.column(2 + i).flatten().to_numpy(zero_copy_only=False)[known].astype(np.float64) for i, c in enumerate(columns)}
+                    for n in names:
+                        score = np.round(side.times(w[n], term, row, value[lists[n][1]], len(keys)), 9)
+                        kept[n].add(np.where(score > 0, score, -np.inf), keys)
+            for n in names:
+                which, score, keys = kept[n].cut()
+                yield pa.RecordBatch.from_arrays([pa.array([n] * len(which), pa.string()), ids.take(pa.array(which, pa.int64())), pa.array(keys, key_type), pa.array(score)], ["list", "qid", "key", "score"])
+
+        return docs.where("key is not null").select("key", "terms", *columns).mapInArrow(best, schema)
+
+    out = None
+    rows = queries.where("qid is not null and term is not null").select("qid", "term", *[F.col(q) for q, _ in lists.values()]).orderBy("qid").toLocalIterator()
+    for block in _blocks(rows, per_pass, TERMS_PER_PASS):
+        out = _also(out, one_pass(block))
+    if out is None:
+        out = spark.createDataFrame([], schema)
+    w = Window.partitionBy("list", "qid").orderBy(F.col("score").desc(), "key")
+    return out.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+
+
+class _Side:
+    """The terms of a block of queries, common ones as rows of a matrix and the others by term."""
+
+    def __init__(self, q: np.ndarray, t: np.ndarray, queries: int, terms: int) -> None:
+        self.queries = queries
+        often = np.bincount(t, minlength=terms) * COMMON > queries
+        self.common = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense, self.sparse = np.flatnonzero(often[t]), np.flatnonzero(~often[t])
+        self.sparse = self.sparse[np.argsort(t[self.sparse], kind="stable")]
+        self.q, self.t = q, t
+        self.starts = np.searchsorted(t[self.sparse], np.arange(terms + 1))
+
+    def times(self, weight: np.ndarray, term: np.ndarray, row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+        """Scores of all queries for so many rows whose terms and values are given."""
+        at = self.common[term]
+        left = np.zeros((self.queries, int(self.common.max(initial=-1)) + 1))
+        np.add.at(left, (self.q[self.dense], self.common[self.t[self.dense]]), weight[self.dense])
+        right = np.zeros((left.shape[1], rows))
+        right[at[at >= 0], row[at >= 0]] = value[at >= 0]
+        score = left @ right
+        term, row, value = term[at < 0], row[at < 0], value[at < 0]
+        many = self.starts[term + 1] - self.starts[term]
+        ends = np.cumsum(many)
+        pick = self.sparse[np.repeat(self.starts[term] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)]
+        cell = self.q[pick] * rows + np.repeat(row, many)
+        return score + np.bincount(cell, weight[pick] * np.repeat(value, many), self.queries * rows).reshape(self.queries, rows)
 
 
 def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, vector: str = "vector", per_pass: int = QUERIES_PER_PASS) -> DataFrame:
     """qid, key, score, rank: by cosine, exactly.
 
     ``queries`` has qid and a vector, ``docs`` key and a vector. Query vectors go out in blocks
-    of bounded size; each batch of rows is multiplied with a block at once and keeps its own k
-    best per query, so little is shuffled. Null, empty and zero vectors, and those of another
-    length, match nothing.
+    of bounded size; a task multiplies its rows with a block, a bounded number of scores at once,
+    and keeps its own k best per query, so little is shuffled. Null, empty and zero vectors, and
+    those of another length, match nothing.
     """
     spark = queries.sparkSession
-    out = None
-    block: list = []
+    kinds = dict(queries.dtypes), dict(docs.dtypes)
+    schema = f"qid {kinds[0]['qid']}, key {kinds[1]['key']}, score double"
+    qid_type, key_type = to_arrow_type(queries.schema["qid"].dataType), to_arrow_type(docs.schema["key"].dataType)
 
     def one_pass(chunk: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast((pa.array([r[0] for r in chunk], to_arrow_type(queries.schema["qid"].dataType)), _unit(np.array([r[1] for r in chunk], np.float64))))
+        sent = spark.sparkContext.broadcast((pa.array([r[0] for r in chunk], qid_type), _unit(np.array([r[1] for r in chunk], np.float64))))
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, q = sent.value
-            for b in batches:
-                flat, sizes = b.column(1).flatten(), b.column(1).value_lengths().to_numpy(zero_copy_only=False)
-                fits = np.flatnonzero(np.nan_to_num(sizes, nan=-1) == q.shape[1])
-                rows = b.take(pa.array(fits))
-                if not rows.num_rows:
-                    continue
-                m = _unit(rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])) if len(flat) else None
-                score = np.round(q @ m.T, 9)
-                keys = rows.column(0)
-                order = np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable")
-                ranked = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
-                n = ranked.shape[1]
-                which = np.repeat(np.arange(len(qids)), n)
-                values = np.take_along_axis(score, ranked, axis=1).reshape(-1)
-                ok = ~np.isnan(values)
-                yield pa.RecordBatch.from_arrays([qids.take(pa.array(which[ok])), keys.take(pa.array(ranked.reshape(-1)[ok])), pa.array(values[ok])], ["qid", "key", "score"])
-
-        kinds = dict(queries.dtypes), dict(docs.dtypes)
-        return docs.select("key", F.col(vector).alias("v")).where("v is not null").mapInArrow(best, f"qid {kinds[0]['qid']}, key {kinds[1]['key']}, score double")
+            kept, step = _Best(len(qids), k), max(256, SCORES // len(qids))
+            for batch in batches:
+                sizes = pc.fill_null(pc.list_value_length(batch.column(1)), -1).to_numpy(zero_copy_only=False)
+                rows = batch.take(pa.array(np.flatnonzero(sizes == q.shape[1])))
+                for a in range(0, rows.num_rows, step):
+                    b = rows.slice(a, step)
+                    m = _unit(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1]))
+                    score = np.round(q @ m.T, 9)
+                    kept.add(np.where(np.isnan(score), -np.inf, score), b.column(0).to_numpy(zero_copy_only=False))
+            which, score, keys = kept.cut()
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(which, pa.int64())), pa.array(keys, key_type), pa.array(score)], ["qid", "key", "score"])
+
+        return docs.select("key", F.col(vector).alias("v")).where("v is not null and key is not null").mapInArrow(best, schema)
 
+    out = None
     groups: dict[int, list] = {}
     for r in queries.select("qid", vector).where(F.col("qid").isNotNull() & (F.size(vector) > 0)).toLocalIterator():
         block = groups.setdefault(len(r[1]), [])
@@ -122,9 +248,7 @@ def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, vector: str = "vect
     for block in groups.values():
         if block:
             out = _also(out, one_pass(block))
-    if out is None:
-        out = queries.select("qid").limit(0).join(docs.select("key").limit(0)).withColumn("score", F.lit(0.0))
-    return top_k(out, k)
+    return top_k(spark.createDataFrame([], schema) if out is None else out, k)
 
 
 def _also(a: DataFrame | None, b: DataFrame) -> DataFrame:

@@ -54,22 +54,22 @@ def sample_power(spark: SparkSession, d: str, replicates: int = 200) -> DataFram
 
 
 def probe_identifiers(spark: SparkSession, d: str) -> DataFrame:
-    """probes, right, verdict: does every code, asked alone, give a chunk of its document? Asked are all codes."""
-    c = pp.chunks(spark, d).where(F.col("doc_code").rlike(r"^AXSS[A-Z0-9-]+\z"))
-    docs = c.select(F.col("id").alias("key"), "doc_code", "clause")
-    q = c.select(F.lower("doc_code").alias("text"), F.col("doc_code").alias("qid")).distinct().select("qid", search.route(F.col("text")).alias("r")).select("qid", "r.a", "r.b")
-    hit = search.filtered_or_wider(q, docs).groupBy("qid").agg(F.min("key").alias("key")).join(docs.select("key", "doc_code"), "key")
-    t = q.select("qid").join(hit, "qid", "left").agg(F.count(F.lit(1)).alias("probes"), F.count_if(F.coalesce(F.col("qid") == F.col("doc_code"), F.lit(False))).alias("right"))
-    return t.withColumn("verdict", validate.passes(F.col("right") / F.col("probes"), 1.0))
+    """probes, found, verdict: does every code, asked alone, give a chunk of its document first? Asked are all codes as they stand; one that is no code of the corpus's form is asked in vain."""
+    docs = ps.search_keys(spark, d).where("doc_code is not null").select("key", "doc_code", "clause")
+    q = docs.select(F.col("doc_code").alias("qid")).distinct().select("qid", search.route(F.col("qid")).alias("r")).select("qid", "r.kind", "r.a", "r.b")
+    hit = search.filtered_or_wider(q.where("kind = 'identifier'"), docs).groupBy("qid").agg(F.min("key").alias("key")).join(docs.select("key", "doc_code"), "key")
+    good = F.coalesce(F.col("qid") == F.col("doc_code"), F.lit(False))
+    t = q.select("qid").join(hit, "qid", "left").agg(F.count(F.lit(1)).alias("probes"), F.count_if(good).alias("found"))
+    return t.withColumn("verdict", validate.passes(F.col("found") / F.greatest("probes", F.lit(1)), 1.0))
 
 
 def probe_sections(spark: SparkSession, d: str) -> DataFrame:
-    """probes, top5, verdict: is a text found by its heading, where that heading is alone in the corpus? Asked is one in 50 by digest; headings below 8 characters are named dropped."""
+    """probes, dropped, top5, verdict: is a text found by its heading, where that heading is alone in the corpus? Asked are the texts whose number is divisible by 50; headings below 8 characters are named dropped."""
     c = pp.chunks(spark, d).where("element_type = 'text' and clause is not null and clause <> '' and length(body) > 400").select("id", "clause", "doc_code", F.substring_index("section", " > ", -1).alias("heading"))
     alone = c.groupBy(F.lower("heading").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
-    asked = written(c.join(alone.select("id"), "id", "left_semi").where(draw(42, F.col("id")) < 1 / ps.EVERY), "asked")
-    lists = ps._lists(ps.chunk_postings(spark, d), asked.where("length(heading) >= 8").select(F.col("id").alias("qid"), F.col("heading").alias("text")), 5)
-    same = lists["dense"].join(pp.chunks(spark, d).select(F.col("id").alias("key"), F.col("doc_code").alias("dk"), F.col("clause").alias("ck")), "key").join(asked.select(F.col("id").alias("qid"), "doc_code", "clause"), "qid")
+    asked = written(c.join(alone.select("id"), "id", "left_semi").where(ps.every_one(F.col("id"))), "asked")
+    lists = ps.ranked_lists(ps.chunk_index(spark, d), asked.where("length(heading) >= 8").select(F.col("id").alias("qid"), F.col("heading").alias("text")), 5)
+    same = lists["dense"].join(ps.search_keys(spark, d).select("key", F.col("doc_code").alias("dk"), F.col("clause").alias("ck")), "key").join(asked.select(F.col("id").alias("qid"), "doc_code", "clause"), "qid")
     good = same.where(F.col("doc_code").eqNullSafe(F.col("dk")) & (F.col("clause") == F.col("ck"))).select("qid").distinct().agg(F.count(F.lit(1)).alias("top5"))
     n = asked.agg(F.count_if(F.length("heading") >= 8).alias("probes"), F.count_if(F.length("heading") < 8).alias("dropped"))
     return n.withColumn("one", F.lit(1)).join(good.withColumn("one", F.lit(1)), "one").drop("one").withColumn("verdict", validate.passes(F.lit(0.0), 0))
@@ -124,5 +124,11 @@ SQL = {
     "sample_power": f"""with {pm._SPANS}, n as (select count(*) n from aa), t as (select i, i // n r, n from (select unnest(range(200 * n)) i, n from n)),
       g as (select r, n, count(case when not a and b then 1 end) up, count(case when a and not b then 1 end) down from (select r, n, {pc._DRAW('42', "'a'", 'i')} < 0.8 a, {pc._DRAW('42', "'b'", 'i')} < 0.85 b from t) group by 1, 2)
       select max(n)::int n, 0.8::double base, 0.05::double gain, round(avg(((up - down) / sqrt(greatest(up + down, 1)) > 1.959963984540054)::int), 6) power from g""",
-    "probe_identifiers": pp.CHUNKS + r", q as (select distinct doc_code from ch where regexp_matches(doc_code, '^AXSS[A-Z0-9-]+\z')) select count(*) probes, count(*) as right, 'PASS' verdict from q",
+    "probe_identifiers": pp.CHUNKS + f""", pq as (select distinct doc_code qid, doc_code as text from ch where doc_code is not null), pr as {ps.route_sql("pq", ", qid")},
+      h as (select qid, arg_min(ch.doc_code, ch.id) got from pr join ch on ch.doc_code = pr.a where kind = 'identifier' and (b is null or clause = b or not exists (select 1 from ch c2 where c2.doc_code = pr.a and c2.clause = pr.b)) group by 1)
+      select count(*) probes, count(case when got = qid then 1 end) found, case when count(case when got = qid then 1 end) / greatest(count(*), 1) >= 1.0 then 'PASS' else 'FAIL' end verdict from pq left join h using (qid)""",
+    "probe_sections": ps._POSTS.replace(ps._Q, f"""hc as (select id, clause, doc_code, string_split(section, ' > ')[-1] heading from ch where element_type = 'text' and clause is not null and clause <> '' and length(body) > 400),
+      al as (select min(id) id from hc group by lower(heading) having count(*) = 1), ak as (select * from hc where id in (select id from al) and ('0x' || substring(id, 1, 8))::bigint % {ps.EVERY} = 0), q as (select id qid, heading as text from ak where length(heading) >= 8)""") + """,
+      g as (select distinct qid from cr join ch on ch.id = cr.id join ak on ak.id = cr.qid where rank < 5 and ch.doc_code is not distinct from ak.doc_code and ch.clause = ak.clause)
+      select (select count(*) from q) probes, (select count(*) from ak where length(heading) < 8) dropped, (select count(*) from g) top5, 'observed' verdict""",
 }

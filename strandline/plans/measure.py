@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import index, measure, score, search
+from strandline.operators import measure, score, search
 from strandline.plans import parse as pp
 from strandline.plans import search as ps
-from strandline.runtime import table, written
+from strandline.runtime import stored, table, written
 
-CONFIGS = {"A": ("text", 10), "B": ("text", 40), "C": ("prompt", 10)}
-BASELINE, CONTEXT = "A", 5
+# The configurations of the sweep (what is asked, and how many passages), the baseline, and the passages of a context.
+CONFIGS = {"A": ("prompt", 50), "B": ("prompt", 200), "C": ("text", 50), "D": ("text", 200)}
+BASELINE, CONTEXT = "A", 10
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
@@ -37,17 +38,30 @@ def label_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _contexts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(spans needed by the questions, context of each configuration): the sparse list, without repeats of a label, cut."""
-    q = written(ps.questions(spark, d), "questions")
-    posts = ps.chunk_postings(spark, d)
-    keys = pp.chunks(spark, d).select(F.col("id").alias("key"), F.coalesce("doc_code", F.lit("")).alias("doc"), F.coalesce("clause", F.lit("")).alias("clause"))
-    found = None
-    for name, (column, k) in CONFIGS.items():
-        asked = index.postings(q.select("qid", F.col(column).alias("text")), "qid", "text").withColumnRenamed("key", "qid")
-        c = search.dedup_cut(search.sparse_top_k(asked, posts, k).join(keys, "key"), ["doc", "clause"], CONTEXT).select(F.lit(name).alias("config"), F.col("qid").alias("anchor_id"), F.trim("doc").alias("doc"), F.trim("clause").alias("clause"))
-        found = c if found is None else found.unionByName(c)
+    """(spans needed by the questions, context of each configuration): routed retrieval without repeats of a label and crumb, cut. Each text is searched once, for its deepest configuration."""
+    q = stored(spark, "questions", d, ["frame_items"], lambda: ps.questions(spark, d))
     spans = measure.anchor_spans(table(spark, d, "frame_items")).join(q.select(F.col("qid").alias("anchor_id")), "anchor_id", "left_semi")
-    return spans, written(found, "contexts")
+    return spans, stored(spark, "contexts", d, ["frame_items", "chunk_index"], lambda: _swept(spark, d, q))
+
+
+def _swept(spark: SparkSession, d: str, q: DataFrame) -> DataFrame:
+    docs, ix = ps.search_keys(spark, d), ps.chunk_index(spark, d)
+    keys = docs.select("key", F.coalesce("doc_code", F.lit("")).alias("doc"), F.coalesce("clause", F.lit("")).alias("clause"), F.coalesce("crumb", F.lit("")).alias("crumb"))
+    found = None
+    for column in sorted({c for c, _ in CONFIGS.values()}):
+        asked = q.select("qid", F.col(column).alias("text"))
+        deepest = 2 * max(k for c, k in CONFIGS.values() if c == column)
+        made: dict[str, DataFrame] = {}
+
+        def lists(search: DataFrame, n: int, made: dict = made, deepest: int = deepest) -> dict[str, DataFrame]:
+            made.update({} if made else ps.ranked_lists(ix, search, deepest))
+            return {name: t.where(F.col("rank") < n) for name, t in made.items()}
+
+        for name, (_, k) in [x for x in CONFIGS.items() if x[1][0] == column]:
+            ranked = ps.routed(ix, asked, docs, k, lists).select("qid", "key", "rank").join(keys, "key")
+            c = search.dedup_cut(ranked, ["doc", "clause", "crumb"], CONTEXT).select(F.lit(name).alias("config"), F.col("qid").alias("anchor_id"), F.trim("doc").alias("doc"), F.trim("clause").alias("clause"))
+            found = c if found is None else found.unionByName(c)
+    return found
 
 
 def recall_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -126,10 +140,9 @@ h as (select anchor_id, field, claim, ref, list_sort(list_distinct(list(label)))
 de as (select rn.anchor_id, rn.field, rn.claim, rn.ref, case when labels is null then 'UNRESOLVED' when len(labels) > 1 then 'AMBIGUOUS' when labels[1] <> clause then 'RELABELLED' else 'unchanged' end state,
   case when len(labels) = 1 then labels[1] else clause end "new", coalesce(n, 0) n_chunks from rn left join h using (anchor_id, field, claim, ref))"""
 _SWEEP = ps._POSTS.replace("min(coalesce(question, prompt_as_typed, '')) text", "min(coalesce(question, prompt_as_typed, '')) text, min(coalesce(prompt_as_typed, concat_ws(' ', context, question))) prompt") + f""",
-pp as (select qid, term, count(*) tf from (select qid, lower(unnest(regexp_extract_all(prompt, '{ps._T}'))) term from q) group by 1, 2),
-ps as (select qid, id, round(sum(pp.tf * p.tf)::double, 9) score from pp join p using (term) group by 1, 2), pr as (select *, row_number() over (partition by qid order by score desc, id) - 1 rank from ps),
-cf as (select 'A' config, qid, id, rank from dr where rank < 10 union all select 'B', qid, id, rank from dr where rank < 40 union all select 'C', qid, id, rank from pr where rank < 10),
-cx as (select config, qid, rank, id, coalesce(doc_code, '') doc, coalesce(clause, '') clause from cf join ch using (id)), cy as (select *, row_number() over (partition by config, qid, doc, clause order by rank, id) n from cx),
+qa as (select qid, prompt as text from q), qb as (select qid, text from q), {ps.retrieve_sql('qa', 'y', (50, 200))}, {ps.retrieve_sql('qb', 'z', (50, 200))},
+cf as (select 'A' config, qid, id, rank from y50 union all select 'B', qid, id, rank from y200 union all select 'C', qid, id, rank from z50 union all select 'D', qid, id, rank from z200),
+cx as (select config, qid, rank, id, coalesce(doc_code, '') doc, coalesce(clause, '') clause, coalesce(crumb, '') crumb from cf join ch using (id)), cy as (select *, row_number() over (partition by config, qid, doc, clause, crumb order by rank, id) n from cx),
 cz as (select *, row_number() over (partition by config, qid order by rank, id) place from cy where n = 1), have as (select distinct config, qid, trim(doc, ' ') doc, trim(clause, ' ') clause from cz where place <= {CONTEXT}),
 {_SPANS}, need as (select c.config, aa.* from aa join q on q.qid = aa.anchor_id cross join (select distinct config from have) c),
 hit as (select need.*, have.qid is not null hit from need left join have on have.config = need.config and have.qid = need.anchor_id and have.doc = need.doc and have.clause = need.clause),

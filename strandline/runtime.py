@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,8 +60,27 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+_stored: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, label: str, directory: str, names: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` makes of the named tables of a directory, written once an application and made anew when a file of them changes."""
+    state = [spark.sparkContext.applicationId, label]
+    for n in names:
+        fs, p = file_system(spark, f"{directory}/{n}.parquet")
+        files = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(p, "*.parquet")) if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)]
+        state += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+    key = tuple(state)
+    if key not in _stored:
+        path = shared_path(spark, label)
+        build().write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this process has written to the shared folder so far. Frames that read it can no longer be used."""
+    _stored.clear()
     while _written:
         fs, p = file_system(spark, _written.pop())
         fs.delete(p, True)

@@ -48,8 +48,13 @@ def test_sparse_and_idf_equal_brute_force(spark):
     for k, t in qs.items():
         s = sorted(((-sum(n * tf(d).get(w, 0) for w, n in tf(t).items()), i) for i, d in docs.items()))
         want |= {(k, i, -v, r) for r, (v, i) in enumerate(x for x in s if x[0] < 0) if r < 5}
-    got = search.sparse_top_k(q.withColumnRenamed("key", "qid"), posts, 5)
-    assert {(r["qid"], r["key"], r["score"], r["rank"]) for r in got.collect()} == want
+    vectors = index.search_vectors(posts, index.idf(posts))
+    for per_pass in (1, 1000):
+        got = search.sparse_lists(q.withColumnRenamed("key", "qid"), vectors.repartition(3), 5, {"a": ("tf", "tf"), "b": ("tf", "tf")}, per_pass).collect()
+        assert {(r["qid"], r["key"], r["score"], r["rank"]) for r in got if r["list"] == "a"} == want and len(got) == 2 * len(want)
+    assert search.sparse_lists(q.limit(0).withColumnRenamed("key", "qid"), vectors, 5, {"a": ("tf", "tf")}).count() == 0
+    pairs = search.sparse_scores(q.withColumnRenamed("key", "qid"), posts).collect()
+    assert {(k, i, v) for k, i, v, _ in want} <= {tuple(r) for r in pairs}
     n = sum(1 for d in docs.values() if tf(d))
     assert all(abs(r["idf"] - math.log(1 + n / r["df"])) < 1e-9 for r in index.idf(posts).collect())
     assert all(abs(r[0] - 1) < 1e-9 for r in index.weighted(posts, index.idf(posts)).groupBy("key").agg(F.sum(F.col("w") * F.col("w"))).select("sum((w * w))").collect())
@@ -130,6 +135,30 @@ def test_each_route_of_retrieval(spark):
     assert got == {("id", "identifier"): ["2"], ("wide", "identifier(document)"): ["1", "2"], ("def", "definitional"): ["3", "4", "1"], ("gen", "general"): ["4", "3", "1"]}
 
 
+def test_best_rows_of_a_task_with_ties_equal_a_full_sort():
+    rng = np.random.default_rng(3)
+    best, score = search._Best(7, 5), rng.integers(0, 4, (7, 400)).astype(float)
+    score[rng.random(score.shape) < 0.3] = -np.inf
+    score[6] = -np.inf
+    keys = np.array([f"k{i:03}" for i in rng.permutation(400)], object)
+    for a in range(0, 400, 23):
+        best.add(score[:, a : a + 23], keys[a : a + 23])
+        if a % 46 == 0:
+            best.cut()
+    q, s, k = best.cut()
+    want = [(i, -v, x) for i in range(7) for v, x in sorted((-v, x) for v, x in zip(score[i], keys) if v > -np.inf)[:5]]
+    assert list(zip(q.tolist(), s.tolist(), k.tolist())) == want
+
+
+def test_a_document_with_more_rows_than_the_lists_hold(spark):
+    # twenty rows of the asked document, fifty others that are nearer to the question
+    rows = [(f"x{i:02}", "AXSS-E-ST-10", "1", "AXSS-E-ST-10 " + "filler word " * (40 - i)) for i in range(20)] + [(f"o{i:02}", "AXSS-E-ST-20", "1", "AXSS-E-ST-10") for i in range(50)]
+    t = spark.createDataFrame(rows, "key string, doc_code string, clause string, body string")
+    q = spark.createDataFrame([("q", "axss-e-st-10")], "qid string, text string")
+    got = ps.routed(ps.SearchIndex.of(index.postings(t, "key", "body")), q, t.withColumn("element_type", F.lit("text")), 5).orderBy("rank").collect()
+    assert [r["key"] for r in got] == ["x19", "x18", "x17", "x16", "x15"] and all(r["score"] > 0 for r in got)
+
+
 def test_identifier_queries_rank_all_their_rows(spark):
     # the other document's rows name the code most densely and fill the list of the whole corpus
     rng = random.Random(7)
@@ -141,7 +170,7 @@ def test_identifier_queries_rank_all_their_rows(spark):
     q = spark.createDataFrame(list(texts.items()), "qid string, text string")
     posts = index.postings(t, "key", "body")
     got = {}
-    for r in ps.routed(posts, q, t.withColumn("element_type", F.lit("text")), 4).orderBy("qid", "rank").collect():
+    for r in ps.routed(ps.SearchIndex.of(posts), q, t.withColumn("element_type", F.lit("text")), 4).orderBy("qid", "rank").collect():
         got.setdefault(r["qid"], []).append((r["key"], r["score"], r["route"]))
     tf = {}
     for r in posts.collect():
