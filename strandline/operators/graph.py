@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from strandline.functions.text import trimmed
 from strandline.runtime import written
 
-#: Steps after which a closure that still grows is given up with an error.
-MAX_STEPS = 64
-
 
 def edges(chunks: DataFrame, kind: str = "refers") -> DataFrame:
     """src, dst, type, n: distinct edges from documents to the codes their chunks name, with the number of chunks."""
@@ -18,11 +15,11 @@ def edges(chunks: DataFrame, kind: str = "refers") -> DataFrame:
     return t.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).withColumn("type", F.lit(kind))
 
 
-def closure(seeds: DataFrame, links: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
+def closure(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """doc, step: everything reached from the seeds (a column ``doc``) along ``links`` (src, dst) to a fixed point, cycles included.
 
     Each step joins only the newest documents, writes what is new to the shared folder, and stops
-    when nothing is. More than ``max_steps`` steps are an error, not a silent cut.
+    when nothing is, which comes at the latest after as many steps as there are documents.
     """
     out = links.select("src", "dst").distinct()
     known = written(seeds.where("doc is not null").select("doc").distinct().withColumn("step", F.lit(0)), "closure")
@@ -33,8 +30,6 @@ def closure(seeds: DataFrame, links: DataFrame, max_steps: int = MAX_STEPS) -> D
         newest = written(found.join(known.select("doc"), "doc", "left_anti").withColumn("step", F.lit(step)), "closure")
         if newest.isEmpty():
             return known
-        if step > max_steps:
-            raise ValueError(f"the closure still grows after {max_steps} steps")
         known = known.unionByName(newest)
 
 
@@ -52,18 +47,24 @@ def dangling(links: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def acronym_collisions(acronyms: DataFrame) -> DataFrame:
-    """short, documents, expansions: acronyms with two expansions that share no word. ``acronyms`` has doc, short, expansion.
+    """short, documents, meanings, first, last: acronyms with two expansions that share no word. ``acronyms`` has doc, short, expansion.
 
-    The distinct expansions of an acronym are compared by their sets of words, not all pairs of
-    documents: they collide unless each shares a word with the first in alphabetical order of
-    every other; at most as many as an acronym has meanings are held together.
+    Pairs are counted, not made: of m expansions m (m - 1) / 2 pairs exist, and those that share a
+    word are counted by inclusion and exclusion over the sets of words, as expansions that have a
+    set in common are counted by grouping. ``first`` and ``last`` are the outermost expansions in
+    alphabetical order. Empty and null expansions are left out.
     """
-    each = acronyms.select("short", F.lower(F.trim("expansion")).alias("e"), "doc").where("e <> ''")
+    each = acronyms.select("short", F.trim(F.lower("expansion")).alias("e"), "doc").where("e <> ''")
     distinct = each.groupBy("short", "e").agg(F.count_distinct("doc").alias("docs"))
-    sets = distinct.groupBy("short").agg(F.sum("docs").alias("documents"), F.array_sort(F.collect_list("e")).alias("expansions")).where("size(expansions) > 1")
-    words = F.transform("expansions", lambda e: F.split(e, r"\s+"))
-    apart = F.exists(words, lambda a: F.exists(words, lambda b: F.size(F.array_intersect(a, b)) == 0))
-    return sets.where(apart)
+    totals = distinct.groupBy("short").agg(F.sum("docs").alias("documents"), F.count(F.lit(1)).alias("meanings"), F.min("e").alias("first"), F.max("e").alias("last")).where("meanings > 1")
+    words = distinct.join(totals.select("short"), "short", "left_semi").select("short", F.array_sort(F.array_distinct(F.split("e", r"\s+"))).alias("w"))
+    bits = F.expr("sequence(1L, shiftleft(1L, size(w)) - 1)")
+    sets = words.select("short", "w", F.explode(bits).alias("b")).select("short", F.expr("filter(w, (x, i) -> getbit(b, i) = 1)").alias("set"))
+    shared = sets.groupBy("short", "set").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sign = F.when(F.size("set") % 2 == 1, 1).otherwise(-1)
+    pairs = shared.groupBy("short").agg(F.sum(sign * F.expr("n * (n - 1) div 2")).alias("sharing"))
+    t = totals.join(pairs, "short", "left").where(F.coalesce("sharing", F.lit(0)) < F.expr("meanings * (meanings - 1) div 2"))
+    return t.select("short", "documents", "meanings", "first", "last")
 
 
 def modal_fidelity(pairs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import ids, parse
 from strandline.functions import profile as pf
 from strandline.functions.profile import DEFAULT, CorpusProfile
-from strandline.runtime import salted_join
+from strandline.runtime import salted_join, written
 
 
 def enrich(chunks: DataFrame, body: str, own_code: str, profile: CorpusProfile = DEFAULT) -> DataFrame:
@@ -20,15 +20,32 @@ def enrich(chunks: DataFrame, body: str, own_code: str, profile: CorpusProfile =
 def occurrences(chunks: DataFrame, source: str, body: str, order: list[str], name: str = "occurrence") -> DataFrame:
     """Add the ordinal, from 0, of a verbatim repeat of a body within its source, by the given order.
 
-    Bodies are compared by digest; only rows that share source and body meet in a window.
+    Bodies are compared by digest. A body repeated without end is spread by the order of its rows.
     """
-    w = Window.partitionBy(source, "__digest").orderBy(*order)
-    return chunks.withColumn("__digest", F.sha1(F.col(body))).withColumn(name, F.row_number().over(w) - 1).drop("__digest")
+    return ordinals(chunks.withColumn("__digest", F.sha1(F.col(body))), [source, "__digest"], order, name).drop("__digest")
+
+
+def ordinals(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Add the place, from 0, of each row in its group by the given order, in two levels.
+
+    Rows are cut into ranges of (group, order); a window numbers the rows of a group in a range,
+    and what earlier ranges hold of the group is added. A hot group is many ranges.
+    """
+    ranged = written(rows.repartitionByRange(*[F.col(f"`{c}`") for c in [*by, *order]]).withColumn("__range", F.spark_partition_id()), "ranged")
+    own = ranged.withColumn("__own", F.row_number().over(Window.partitionBy("__range", *by).orderBy(*order)) - 1)
+    held = ranged.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    # only groups that reach over an edge have rows here
+    offset = held.withColumn("__before", earlier).where("__before > 0").select(*by, "__range", "__before")
+    match = [own[c].eqNullSafe(offset[c]) for c in by] + [own["__range"] == offset["__range"]]
+    joined = own.join(offset, match, "left").select(*[own[c] for c in rows.columns], (own["__own"] + F.coalesce("__before", F.lit(0))).cast("int").alias(name))
+    return joined
 
 
 def content_ids(chunks: DataFrame, source: str, body: str, order: list[str], name: str = "content_id") -> DataFrame:
     """Add the content id: equal for equal body, source and ordinal, whatever else moved."""
-    return occurrences(chunks, source, body, order, "__n").withColumn(name, ids.content_id(F.col(source), F.col(body), F.col("__n"))).drop("__n")
+    t = ordinals(chunks.withColumn("__digest", F.sha1(F.col(body))), [source, "__digest"], order, "__n")
+    return t.withColumn(name, ids.digest_id(F.col(source), F.col("__digest"), F.col("__n"))).drop("__n", "__digest")
 
 
 def terms(text: Column, profile: CorpusProfile = DEFAULT) -> Column:

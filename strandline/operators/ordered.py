@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.runtime import salted_join
+
 #: Positions in a block.
 BLOCK = 10_000
 
@@ -44,21 +46,21 @@ def running(rows: DataFrame, key: list[str], position: str, value: Column, name:
 def nearest(left: DataFrame, right: DataFrame, key: list[str], at: str, to: str, order: str) -> DataFrame:
     """For each row of ``left`` the row of ``right`` with the same key whose ``to`` is nearest to ``at``; ties go to the smallest ``order``.
 
-    As-of style in both directions over the merged order of both sides, so the work is a sort, not
-    a product. A left row without a partner, or with a null ``at``, comes out with nulls. ``left``
-    has no column in common with ``right`` but the key.
+    As-of style in both directions over the distinct positions of both sides, carried along in
+    blocks of positions, so a key with any number of rows is spread. A left row without a partner,
+    or with a null ``at``, comes out with nulls. ``left`` has no column in common with ``right``
+    but the key. Null keys match nothing.
     """
     other = [c for c in right.columns if c not in key]
-    mine = left.select(*key, F.col(at).cast("double").alias("__p"), F.lit(1).alias("__side"), F.struct(*[c for c in left.columns if c not in key]).alias("__l"))
     # of equal positions only the first by order can be chosen
     best = right.where(F.col(to).isNotNull()).groupBy(*key, F.col(to).cast("double").alias("__p")).agg(F.min_by(F.struct(*other), order).alias("__r"))
-    side = best.withColumn("__side", F.lit(0)).withColumn("__l", F.lit(None).cast(dict(mine.dtypes)["__l"]))
-    mine = mine.withColumn("__r", F.lit(None).cast(dict(best.dtypes)["__r"]))
-    both = side.unionByName(mine)
-    forward = Window.partitionBy(*key).orderBy(F.col("__p").asc_nulls_last(), "__side").rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(*key).orderBy(F.col("__p").desc_nulls_last(), "__side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("__a", F.last("__r", ignorenulls=True).over(forward)).withColumn("__b", F.last("__r", ignorenulls=True).over(back)).where("__side = 1")
+    mine = left.withColumn("__p", F.col(at).cast("double"))
+    points = mine.where("__p is not null").select(*key, "__p").distinct().join(best, [*key, "__p"], "full_outer")
+    ahead = carry_forward(points, key, "__p", {"__a": F.col("__r")}).withColumn("__q", -F.col("__p"))
+    both = carry_forward(ahead, key, "__q", {"__b": F.col("__r")})
+    a, b = F.col("__a"), F.col("__b")
     da, db = F.abs(F.col("__p") - F.col(f"__a.{to}")), F.abs(F.col("__p") - F.col(f"__b.{to}"))
-    first = F.when(F.col("__p").isNull(), None).when(F.col("__a").isNull(), F.col("__b")).when(F.col("__b").isNull(), F.col("__a"))
-    pick = first.when(F.col("__a").isNotNull() & F.col("__b").isNotNull() & ((da < db) | ((da == db) & (F.col(f"__a.{order}") <= F.col(f"__b.{order}")))), F.col("__a")).when(F.col("__a").isNotNull() & F.col("__b").isNotNull(), F.col("__b"))
-    return seen.select(*key, "__l.*", pick.alias("__n")).select("*", "__n.*").drop("__n")
+    nearer = (da < db) | ((da == db) & (F.col(f"__a.{order}") <= F.col(f"__b.{order}")))
+    pick = F.when(a.isNull(), b).when(b.isNull(), a).when(nearer, a).otherwise(b)
+    picked = both.select(*key, "__p", pick.alias("__n")).where("__n is not null")
+    return salted_join(mine, picked, [*key, "__p"], "left").select(*left.columns, "__n.*")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions import ids
 from strandline.functions.ids import draw
+from strandline.runtime import written
 
 # Floors and counts fixed before a run.
 CLASS_FLOOR, CI_LEAST, REPLICATES, PAIRED_REPLICATES, SEED = 3, 20, 10_000, 1_000, 42
@@ -13,8 +19,8 @@ MIN_RECALL, MAX_FALSE_POSITIVE = 0.90, 0.05
 LEAST_POSITIVE, LEAST_NEGATIVE, LEAST_CONSTRUCTED = 400, 10, 300
 CONTROL_FLOOR = 0.60
 HARD_REJECT, HARD_KEEP = 0.80, 0.95
-#: Parts that the replicates of a bootstrap are made in, and the most items whose values are broadcast to them.
-REPLICATE_BLOCKS, BROADCAST_ITEMS = 100, 500_000
+#: Parts that the replicates of a bootstrap are made in, draws made at once, and the places values are rounded to, which bounds how many different ones a stratum has.
+REPLICATE_BLOCKS, DRAWS, PLACES = 100, 1 << 20, 6
 
 
 def item_coverage(verdicts: DataFrame) -> DataFrame:
@@ -50,33 +56,51 @@ def macro(classes: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     )
 
 
-def _replicate_means(numbered: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """c, r, m: the mean of each replicate in each stratum. ``numbered`` has c, v and i, the number of an item in its stratum from 0.
+def _replicate_means(values: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """c, r, m: the mean of each replicate in each stratum. ``values`` has c (the stratum) and v.
 
-    A task makes all draws of its replicates and adds them up at once, so draws are not shuffled.
+    Which item is drawn matters only by its value, so a stratum is its values in order with their
+    numbers; a task has those of one stratum, makes all draws of its replicates from them as
+    arrays, and gives one mean a replicate.
     """
-    spark = numbered.sparkSession
+    spark = values.sparkSession
     blocks = min(replicates, REPLICATE_BLOCKS)
-    sizes = numbered.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    slots = numbered.select("c", F.col("i").alias("s")).join(sizes, "c").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    # a number of partitions of its own: these rows are few, what they are exploded to is not
-    spread = slots.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c", "b")
-    drawn = spread.withColumn("r", F.explode(F.sequence(F.col("b"), F.lit(replicates - 1), F.lit(blocks)))).select("c", "r", F.floor(F.col("n") * draw(seed, F.col("c"), F.col("r"), F.col("s"))).cast("int").alias("i"))
-    values = numbered.select("c", "i", "v")
-    few = numbered.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS
-    return drawn.join(F.broadcast(values) if few else values, ["c", "i"]).groupBy("c", "r").agg(F.avg("v").alias("m"))
-
-
-def bootstrap(items: DataFrame, stratum: str, value: str, key: str, replicates: int = REPLICATES, seed: int = SEED, weights: DataFrame | None = None) -> DataFrame:
+    counted = values.select("c", F.round("v", PLACES).alias("v")).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    strata = counted.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("h")).select("c", F.col("h.v").alias("v"), F.col("h.n").alias("n"))
+    parts = strata.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # a number of partitions of its own: these rows are few, the work they ask for is not
+    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c", "b")
+
+    def draw_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, v, n, b in zip(*[x.to_pylist() for x in batch.columns]):
+                value, upto = np.array(v), np.cumsum(n)
+                total, small = int(upto[-1]), int(upto[-1]) <= 4 * DRAWS
+                every = np.repeat(value, n) if small else None
+                rs = range(b, replicates, blocks)
+                means = []
+                for r in rs:
+                    base, added = ids.stream_of(seed, c, r), 0.0
+                    for a in range(0, total, DRAWS):
+                        u = ids.mixed_array(base, np.arange(a, min(total, a + DRAWS), dtype=np.uint64))
+                        i = ((u * np.uint64(total)) >> np.uint64(32)).astype(np.int64)
+                        added += float((every[i] if small else value[np.searchsorted(upto, i, side="right")]).sum())
+                    means.append(added / total)
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(means), pa.string()), pa.array(list(rs), pa.int32()), pa.array(means)], ["c", "r", "m"])
+
+    return parts.select(F.col("c").cast("string").alias("c"), "v", "n", "b").mapInArrow(draw_all, "c string, r int, m double")
+
+
+def bootstrap(items: DataFrame, stratum: str, value: str, replicates: int = REPLICATES, seed: int = SEED, weights: DataFrame | None = None) -> DataFrame:
     """One row: lo, hi, replicates: a percentile interval of the (weighted) macro mean, items drawn within their stratum.
 
-    Draw s of replicate r in stratum c is the item number floor(n * u), u from a digest of (seed,
-    c, r, s): reproducible anywhere. The interval takes the ordered values at int(0.025 B) and
-    int(0.975 B) - 1. Nulls in value are left out, no values give no row.
+    Draw s of replicate r in stratum c is the item number floor(n * u) in order of value, u the
+    s-th number of a stream that begins at a digest of (seed, c, r): reproducible anywhere. The
+    interval takes the ordered values at int(0.025 B) and int(0.975 B) - 1. Values count to six
+    places. Nulls in value or stratum are left out, no values give no row.
     """
-    kept = items.where(F.col(value).isNotNull()).select(F.col(stratum).alias("c"), F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
-    numbered = kept.withColumn("i", F.row_number().over(Window.partitionBy("c").orderBy("k")) - 1)
-    means = _replicate_means(numbered, replicates, seed)
+    kept = items.where(F.col(value).isNotNull() & F.col(stratum).isNotNull()).select(F.col(stratum).alias("c"), F.col(value).cast("double").alias("v"))
+    means = _replicate_means(kept, replicates, seed)
     if weights is None:
         whole = means.groupBy("r").agg(F.round(F.avg("m"), 9).alias("m"))
     else:
@@ -92,8 +116,7 @@ def class_blocks(items: DataFrame, replicates: int = REPLICATES, least: int = CI
     big = t.where(F.col("n") >= least).select("class")
     per = items.join(big, "class", "left_semi").where("coverage is not null")
     # every class is its own stratum: the means by class and replicate are ranked within the class
-    numbered = per.select(F.col("class").alias("c"), F.col("item").alias("k"), F.col("coverage").alias("v")).withColumn("i", F.row_number().over(Window.partitionBy("c").orderBy("k")) - 1)
-    means = _replicate_means(numbered, replicates, SEED).withColumnRenamed("c", "class")
+    means = _replicate_means(per.select(F.col("class").alias("c"), F.col("coverage").alias("v")), replicates, SEED).withColumnRenamed("c", "class")
     a = means.groupBy("class").agg(F.array_sort(F.collect_list(F.round("m", 9))).alias("a"))
     ci = a.select("class", F.round(F.get("a", F.lit(int(0.025 * replicates))), 6).alias("lo"), F.round(F.get("a", F.lit(max(0, int(0.975 * replicates) - 1))), 6).alias("hi"))
     out = t.join(ci, "class", "left").withColumn("withheld", F.when(F.col("n") < least, F.concat(F.lit("n="), "n", F.lit(f" < {least}"))))
@@ -155,21 +178,32 @@ def arm_verdict(results: DataFrame) -> DataFrame:
     return t.withColumn("verdict", verdict)
 
 
-def constructed_negatives(answers: DataFrame, claims: DataFrame, per_item: int = 3, buckets: int = 64, seed: int = SEED) -> DataFrame:
-    """item, claim: for each answer, up to ``per_item`` claims of other items, drawn by digest.
+#: Parts of equal size that claims are numbered in.
+BUCKETS = 4_096
+
+
+def constructed_negatives(answers: DataFrame, claims: DataFrame, per_item: int = 3, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
+    """item, of, claim: for each answer ``per_item`` claims of other items, or all of them where there are fewer.
 
-    No product of answers and claims is made: claims are numbered within buckets, each answer
-    draws three times as many numbers as it needs, those that fall on its own item, on an empty
-    bucket or on a claim it has are passed over.
+    No product of answers and claims is made: claims stand in a random order (by digest) and are
+    numbered in it, part by part. An answer begins at a random one of the claims that are not its
+    item's and takes those that follow, its own passed over, from the end on to the beginning.
+    Repeated answers and claims count once; null items and claims are left out.
     """
-    placed = claims.select(F.col("item").alias("of"), "claim", F.floor(draw(seed, "c", F.col("item"), F.col("claim")) * buckets).cast("int").alias("bucket"))
-    numbered = placed.withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy("of", "claim")))
-    sizes = numbered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    pick = answers.select("item", F.explode(F.sequence(F.lit(0), F.lit(3 * per_item - 1))).alias("t"))
-    pick = pick.withColumn("bucket", F.floor(draw(seed, "b", F.col("item"), F.col("t")) * buckets).cast("int")).join(F.broadcast(sizes), "bucket")  # at most ``buckets`` rows
-    pick = pick.withColumn("i", F.floor(draw(seed, "i", F.col("item"), F.col("t")) * F.col("n")).cast("int") + 1)
-    hit = pick.join(numbered, ["bucket", "i"]).where("of <> item").groupBy("item", "of", "claim").agg(F.min("t").alias("t"))
-    return hit.withColumn("o", F.row_number().over(Window.partitionBy("item").orderBy("t"))).where(F.col("o") <= per_item).select("item", "of", "claim")
+    u = draw(seed, "c", F.col("of"), F.col("claim"))
+    placed = claims.select(F.col("item").alias("of"), "claim").where("of is not null and claim is not null").distinct().withColumn("u", u).withColumn("bucket", F.floor(F.col("u") * buckets).cast("int"))
+    within = F.row_number().over(Window.partitionBy("bucket").orderBy("u", "of", "claim")) - 1
+    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before)  # at most ``buckets`` rows
+    numbered = written(placed.withColumn("k", within).join(sizes.select("bucket", "before"), "bucket").select("of", "claim", (F.col("before") + F.col("k")).alias("i")), "numbered")
+    own = numbered.groupBy(F.col("of").alias("item")).agg(F.array_sort(F.collect_list("i")).alias("own"))
+    total = numbered.agg(F.count(F.lit(1))).scalar()
+    none = F.array().cast("array<bigint>")
+    each = answers.select("item").where("item is not null").distinct().join(own, "item", "left").withColumn("own", F.coalesce("own", none)).withColumn("m", total - F.size("own")).where("m > 0")
+    start = F.floor(draw(seed, "b", F.col("item")) * F.col("m")).cast("long")
+    turns = each.withColumn("p", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(per_item), F.col("m")).cast("int") - 1), lambda j: F.pmod(start + j, F.col("m")))))
+    at = F.aggregate("own", F.col("p").cast("long"), lambda g, o: F.when(o <= g, g + 1).otherwise(g))
+    return turns.select("item", at.alias("i")).join(numbered, "i").select("item", "of", "claim")
 
 
 def compare_counts(actual: DataFrame, expected: DataFrame) -> DataFrame:
@@ -209,9 +243,9 @@ def rule_of_three(n: Column) -> Column:
     return F.when(n > 0, F.round(F.lit(3.0) / n, 6))
 
 
-def paired_bootstrap(pairs: DataFrame, key: str, a: str, b: str, stratum: str, replicates: int = PAIRED_REPLICATES, seed: int = SEED) -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, a: str, b: str, stratum: str, replicates: int = PAIRED_REPLICATES, seed: int = SEED) -> DataFrame:
     """lo, hi, replicates of the difference b - a of means, pairs drawn within strata."""
-    return bootstrap(pairs.withColumn("__d", F.col(b) - F.col(a)), stratum, "__d", key, replicates, seed)
+    return bootstrap(pairs.withColumn("__d", F.col(b) - F.col(a)), stratum, "__d", replicates, seed)
 
 
 def split_of(key: Column, shares: dict[str, float], seed: int = SEED) -> Column:

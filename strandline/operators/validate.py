@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.ids import draw
+from strandline.functions.ids import mixed
 
 
 def frame_problems(frame: DataFrame, counts: dict[str, int], total: int | None = None) -> DataFrame:
@@ -93,10 +93,14 @@ def answer_rates(answers: DataFrame) -> DataFrame:
 def power(spark, n: int, base: float, gain: float, replicates: int = 1_000, z: float = 1.959963984540054, seed: int = 42) -> DataFrame:  # noqa: ANN001
     """n, base, gain, power: the share of simulated pairs of runs over n spans in which an improvement by ``gain`` is significant by the normal form of the sign test.
 
-    Each span is reached at random before and after; both outcomes come from digests.
+    Each span is reached at random before and after; both outcomes come from a stream of random numbers for each run.
     """
-    t = spark.range(replicates * n).select((F.col("id") / n).cast("long").alias("r"), F.col("id").alias("i"))
-    before, after = draw(seed, "a", F.col("i")) < base, draw(seed, "b", F.col("i")) < base + gain
+    t = spark.range(replicates * n).select((F.col("id") / n).cast("long").alias("r"), (F.col("id") % n).alias("i"))
+    first = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("r"))), 1, 8), 16, 10).cast("long")
+    starts = spark.range(replicates).select(F.col("id").alias("r")).withColumn("s", first)
+    t = t.join(F.broadcast(starts), "r")  # one row a replicate
+    u = lambda k: mixed(F.col("s"), 2 * F.col("i") + k) / F.lit(float(2**32))
+    before, after = u(0) < base, u(1) < base + gain
     g = t.groupBy("r").agg(F.count_if(~before & after).alias("up"), F.count_if(before & ~after).alias("down"))
     hit = (F.col("up") - F.col("down")) / F.sqrt(F.greatest(F.col("up") + F.col("down"), F.lit(1))) > z
     return g.agg(F.lit(n).alias("n"), F.lit(base).alias("base"), F.lit(gain).alias("gain"), F.round(F.avg(hit.cast("double")), 6).alias("power"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +45,7 @@ def answer_rates(spark: SparkSession, d: str) -> DataFrame:
     return validate.answer_rates(t)
 
 
-def sample_power(spark: SparkSession, d: str, replicates: int = 200) -> DataFrame:
+def sample_power(spark: SparkSession, d: str, replicates: int = 1_000) -> DataFrame:
     """The power of a comparison with as many spans as the frame has to see a gain of five points over 80 percent."""
     n = measure.anchor_spans(table(spark, d, "frame_items")).count()
     return validate.power(spark, n, 0.80, 0.05, replicates)
@@ -100,7 +98,7 @@ def judged_claims(spark: SparkSession, d: str) -> DataFrame:
 
 _IT = "(select distinct on (anchor_id) * from frame_items)"
 QUERIES = {
-    "frame_check": frame_check, "coverage_by_reach": coverage_by_reach, "recall_by_role": recall_by_role, "item_statistics": item_statistics, "answer_rates": answer_rates, "sample_power": sample_power, "sample_power_full": partial(sample_power, replicates=1_000),
+    "frame_check": frame_check, "coverage_by_reach": coverage_by_reach, "recall_by_role": recall_by_role, "item_statistics": item_statistics, "answer_rates": answer_rates, "sample_power": sample_power,
     "probe_identifiers": probe_identifiers, "probe_sections": probe_sections, "encoded_topk": encoded_topk, "model_rerank": model_rerank, "judged_claims": judged_claims,
 }
 SQL = {
@@ -121,8 +119,9 @@ SQL = {
       select count(*) answers, round(sum(unsupported) / nullif(sum(claims), 0), 6) unsupported_claims, round(count(case when critical then 1 end) / count(*), 6) critical, round(count(case when fp and ap then 1 end) / nullif(count(case when fp then 1 end), 0), 6) false_premise_accepted from br""",
     "judged_claims": """with c as (select unnest(claims) c from (select distinct on (anchor_id) claims from frame_items)), w as (select regexp_extract_all(lower(coalesce(c.text, '')), '\\S+') a, regexp_extract_all(lower(coalesce(c.evidence[1].span, '')), '\\S+') b from c)
       select list_has_all(b, a) verdict, count(*) claims from w group by 1""",
-    "sample_power": f"""with {pm._SPANS}, n as (select count(*) n from aa), t as (select i, i // n r, n from (select unnest(range(200 * n)) i, n from n)),
-      g as (select r, n, count(case when not a and b then 1 end) up, count(case when a and not b then 1 end) down from (select r, n, {pc._DRAW('42', "'a'", 'i')} < 0.8 a, {pc._DRAW('42', "'b'", 'i')} < 0.85 b from t) group by 1, 2)
+    "sample_power": f"""with {pm._SPANS}, n as (select count(*) n from aa), rs as (select r, ('0x' || substring(md5('42|' || r), 1, 8))::ubigint b from (select unnest(range(1000)) r)), t as (select r, b, n, unnest(range(n))::ubigint s from rs, n),
+      m2 as (select r, n, {pc.mixed_sql('(b + (2 * s + 1) * 2654435769) % 4294967296')}, f5 v, s from t), w as (select r, s, n, {pc.mixed_sql('(b + 2 * s * 2654435769) % 4294967296')}, f5 u from t),
+      g as (select w.r, w.n, count(case when not u / 4294967296 < 0.8 and v / 4294967296 < 0.85 then 1 end) up, count(case when u / 4294967296 < 0.8 and not v / 4294967296 < 0.85 then 1 end) down from w join m2 on m2.r = w.r and m2.s = w.s group by 1, 2)
       select max(n)::int n, 0.8::double base, 0.05::double gain, round(avg(((up - down) / sqrt(greatest(up + down, 1)) > 1.959963984540054)::int), 6) power from g""",
     "probe_identifiers": pp.CHUNKS + f""", pq as (select distinct doc_code qid, doc_code as text from ch where doc_code is not null), pr as {ps.route_sql("pq", ", qid")},
       h as (select qid, arg_min(ch.doc_code, ch.id) got from pr join ch on ch.doc_code = pr.a where kind = 'identifier' and (b is null or clause = b or not exists (select 1 from ch c2 where c2.doc_code = pr.a and c2.clause = pr.b)) group by 1)

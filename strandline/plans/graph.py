@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import parse
 from strandline.functions.profile import MODAL
-from strandline.functions.text import trimmed
+from strandline.functions.text import filled, trimmed
 from strandline.operators import contract, graph
 from strandline.plans import parse as pp
 from strandline.plans import search as ps
-from strandline.runtime import shared_dir, table, written
+from strandline.runtime import shared_path, table, written
 from strandline.sources import files, sinks
 from strandline.streaming import tables
 
-SEED = "AXSS-U-HB-06-31-61"
 REFUSAL = "The sources do not"
 
 
@@ -30,8 +27,9 @@ def reference_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reference_closure(spark: SparkSession, d: str) -> DataFrame:
-    """doc, step: what one handbook refers to, and what that refers to, to the end."""
-    return graph.closure(spark.createDataFrame([(SEED,)], "doc string"), written(_edges(spark, d), "edges"))
+    """doc, step: the documents the items of the frame are anchored in, what these refer to, and what that refers to, to the end."""
+    seeds = table(spark, d, "frame_items").select(F.explode("_anchor.spans").alias("s")).select(filled(F.col("s.doc_code")).alias("doc"))
+    return graph.closure(seeds, written(_edges(spark, d), "edges"))
 
 
 def closure_growth(spark: SparkSession, d: str) -> DataFrame:
@@ -44,8 +42,7 @@ def dangling_references(spark: SparkSession, d: str) -> DataFrame:
 
 
 def acronym_collisions(spark: SparkSession, d: str) -> DataFrame:
-    t = graph.acronym_collisions(pp.acronyms(spark, d))
-    return t.select("short", "documents", F.array_join("expansions", "; ").alias("expansions"))
+    return graph.acronym_collisions(pp.acronyms(spark, d))
 
 
 def modal_fidelity(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +79,7 @@ def collection_stats(spark: SparkSession, d: str) -> DataFrame:
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """start, event_type, n, total by hour, from a stream over the events file."""
     schema = table(spark, d, "events").schema
-    at = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    at = shared_path(spark, "events")
     source = tables.read_stream(spark, f"{d}/events.parquet", schema)
     source = source.withColumn("ts", F.col("ts").cast("timestamp"))
     tables.run_to_table(tables.windowed_counts(source, "ts", ["event_type"], "1 hour"), f"{at}/out", f"{at}/check")
@@ -110,7 +107,8 @@ def document_items(spark: SparkSession, d: str) -> DataFrame:
 
 _E = f"""with d0 as (select distinct on (id) * from chunk_index), e0 as (select id, {pp._trim('doc_code')} src, unnest(list_distinct(refs)) dst from d0 where doc_code is not null),
 ed as (select src, dst, count(*) n from e0 where src <> '' and src <> dst group by 1, 2)"""
-_CL = _E.replace("with d0", "with recursive d0", 1) + f""", cl as (select '{SEED}' doc, 0 step union select dst, step + 1 from cl join ed on ed.src = cl.doc where step < 12), cm as (select doc, min(step) step from cl group by 1)"""
+_CL = _E.replace("with d0", "with recursive d0", 1) + f""", sd as (select distinct {pp._trim('s.doc_code')} doc from (select unnest(_anchor.spans) s from frame_items) where {pp._trim('s.doc_code')} <> ''),
+cl(doc, step) using key (doc) as (select doc, 0 from sd union select dst, min(step) + 1 from cl join ed on ed.src = cl.doc where dst not in (select doc from recurring.cl) group by 1), cm as (select doc, step from cl)"""
 
 QUERIES = {
     "reference_edges": reference_edges, "reference_closure": reference_closure, "closure_growth": closure_growth, "dangling_references": dangling_references, "acronym_collisions": acronym_collisions,
@@ -124,8 +122,8 @@ SQL = {
     "dangling_references": _E + f""", held as (select distinct {pp._trim('doc_code')} doc from chunk_index where deleted_at is null), g as (select src, count(*) edges, count(case when doc is null then 1 end) dangling from ed left join held on doc = dst group by 1)
       select *, round(dangling / edges, 6) rate, case when dangling = 0 then 'GREEN' when dangling / edges <= 0.2 then 'AMBER' else 'RED' end colour from g""",
     "acronym_collisions": pp.SQL["acronyms"].replace("select doc, short, arg_min", ", ac as (select doc, short, arg_min").rstrip() + """), x as (select short, lower(trim(expansion)) e, count(distinct doc) docs from ac group by 1, 2),
-      s as (select short, sum(docs)::bigint documents, list_sort(list(e)) es from x group by 1 having count(*) > 1),
-      p as (select distinct a.short from x a join x b on a.short = b.short and a.e < b.e where not list_has_any(string_split(a.e, ' '), string_split(b.e, ' '))) select short, documents, array_to_string(es, '; ') expansions from s join p using (short)""",
+      s as (select short, sum(docs)::bigint documents, count(*) meanings, min(e) "first", max(e) "last" from x group by 1 having count(*) > 1),
+      p as (select distinct a.short from x a join x b on a.short = b.short and a.e < b.e where not list_has_any(string_split(a.e, ' '), string_split(b.e, ' '))) select short, documents, meanings, "first", "last" from s join p using (short)""",
     "modal_fidelity": pp.CHUNKS + f""", m as (select id, coalesce(modals, []) s, list_distinct(regexp_extract_all(lower(body), '{MODAL}')) a from ch),
       k as (select id, array_to_string(list_sort(list_filter(list_distinct(s), lambda x: not list_contains(a, x))), ' ') lost, array_to_string(list_sort(list_filter(a, lambda x: not list_contains(s, x))), ' ') added from m)
       select *, lost = '' and added = '' faithful from k""",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +14,8 @@ from strandline.runtime import table, written
 
 WEIGHTS = {"multihop": 22, "lookup": 14, "definition": 14, "trace": 10}
 SCORED = ["definition", "lookup", "multihop", "trace", "negative"]
-#: Replicates of the queries that are held against SQL; those of production are the defaults of the operators.
-B = 200
+#: Replicates of the queries: those of production.
+B, PAIRS = score.REPLICATES, score.PAIRED_REPLICATES
 
 
 def _frame(spark: SparkSession, d: str) -> DataFrame:
@@ -58,11 +56,11 @@ def tier_means(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap(spark: SparkSession, d: str, replicates: int = B) -> DataFrame:
-    return score.bootstrap(written(item_coverage(spark, d), "items"), "class", "coverage", "item", replicates)
+    return score.bootstrap(written(item_coverage(spark, d), "items"), "class", "coverage", replicates)
 
 
 def bootstrap_weighted(spark: SparkSession, d: str, replicates: int = B) -> DataFrame:
-    return score.bootstrap(written(item_coverage(spark, d), "items"), "class", "coverage", "item", replicates, weights=_weights(spark))
+    return score.bootstrap(written(item_coverage(spark, d), "items"), "class", "coverage", replicates, weights=_weights(spark))
 
 
 def class_blocks(spark: SparkSession, d: str, replicates: int = B) -> DataFrame:
@@ -129,9 +127,9 @@ def truncated_claims(spark: SparkSession, d: str) -> DataFrame:
     return t.where("t is not null").select("item", "claim", "t.head", "t.tail")
 
 
-def paired_bootstrap(spark: SparkSession, d: str, replicates: int = B) -> DataFrame:
+def paired_bootstrap(spark: SparkSession, d: str, replicates: int = PAIRS) -> DataFrame:
     t = written(item_coverage(spark, d).where("coverage is not null"), "items").withColumn("other", F.when(draw("pair", F.col("item")) < 0.2, 0.0).otherwise(F.col("coverage")))
-    return score.paired_bootstrap(t, "item", "coverage", "other", "class", replicates)
+    return score.paired_bootstrap(t, "coverage", "other", "class", replicates)
 
 
 def asked_in_turn(spark: SparkSession, d: str) -> DataFrame:
@@ -150,10 +148,20 @@ v as (select c.item, c.class, c.claim::int claim, claims[c.claim+1].tier tier, c
 ic as (select item, class, count(*) n_required, round(case when count(*) = count(verdict) then avg(verdict::int) end, 6) coverage from v where tier = 'required' group by 1, 2),
 it as (select *, coverage = 1.0 all_required from ic),
 cm as (select class, count(*) n, avg(coverage) coverage, avg(all_required::int) all_required from it where coverage is not null group by 1)"""
-_BOOT = f""", nu as (select class c, item, coverage v, row_number() over (partition by class order by item) - 1 i, count(*) over (partition by class) n from it where coverage is not null),
-dr as (select c, r, s.i s, floor(s.n * {_DRAW('42', 'c', 'r', 's.i')})::int i from nu s, (select unnest(range({B})) r)), me as (select dr.c, r, avg(v) m from dr join nu using (c, i) group by 1, 2)"""
+def mixed_sql(x: str) -> str:
+    """The columns of a 32-bit mixer, ``f5`` the last, for SQL that lets a column use those before it."""
+    return f"({x})::ubigint f0, xor(f0, f0 >> 16) f1, (f1 * 2246822507) % 4294967296 f2, xor(f2, f2 >> 13) f3, (f3 * 3266489909) % 4294967296 f4, xor(f4, f4 >> 16) f5"
+
+
+def _boot(values: str, replicates: int) -> str:
+    """CTEs: the mean of each replicate in each stratum of a relation of c, v, drawn item by item."""
+    return f""", nu as (select c, v, row_number() over (partition by c order by v) - 1 i, count(*) over (partition by c) n from {values}), st as (select c, r, n::ubigint n, ('0x' || substring(md5('42|' || c || '|' || r), 1, 8))::ubigint b from (select distinct c, n from nu), (select unnest(range({replicates})) r)),
+sl as (select c, r, n, b, unnest(range(n::bigint))::ubigint s from st), dr as (select c, r, {mixed_sql('(b + s * 2654435769) % 4294967296')}, ((f5 * n) // 4294967296)::bigint i from sl), me as (select dr.c, r, avg(v) m from dr join nu using (c, i) group by 1, 2)"""
+
+
+_BOOT = _boot("(select class c, coverage v from it where coverage is not null)", B)
 _W8 = "(select unnest(['multihop', 'lookup', 'definition', 'trace']) c, unnest([22, 14, 14, 10]) w)"
-_ENDS = lambda src: f"select round(list_sort(list(m))[{int(0.025 * B) + 1}], 6) lo, round(list_sort(list(m))[{int(0.975 * B)}], 6) hi, count(*)::int replicates from ({src})"
+_ENDS = lambda src, n=B: f"select round(list_sort(list(m))[{int(0.025 * n) + 1}], 6) lo, round(list_sort(list(m))[{int(0.975 * n)}], 6) hi, count(*)::int replicates from ({src})"
 _MACRO = "count(*) classes, round(avg(coverage), 6) macro, round(case when sum(w) > 0 then sum(coalesce(w, 0) * coverage) / sum(w) end, 6) weighted, round(avg(all_required), 6) macro_all_required"
 _L = _V + f""", j as (select *, {_DRAW("'judge'", 'item', 'claim')} u, {_DRAW("'matcher'", 'item', 'claim')} mu, case when tier = 'required' then 'reviewer' else 'constructed' end kind from v where verdict is not null),
 la as (select *, (kind = 'reviewer' and verdict) label from j), lj as (select *, case when u < 0.01 then null else (u < 0.1) <> label end judge, (mu < 0.4) <> label matcher from la)"""
@@ -164,9 +172,6 @@ QUERIES = {
     "item_coverage": item_coverage, "class_means": class_means, "macro_coverage": macro, "tier_means": tier_means, "bootstrap_macro": bootstrap, "bootstrap_weighted": bootstrap_weighted, "class_blocks": class_blocks,
     "benchmark_summary": benchmark_summary, "judge_validation": judge_validation, "judge_by_class": judge_by_class, "to_read": to_read, "arm_verdict": arms, "wilson_intervals": wilson, "frame_splits": splits,
     "constructed_negatives": negatives, "frame_problems": frame_problems, "truncated_claims": truncated_claims, "paired_bootstrap": paired_bootstrap, "asked_in_turn": asked_in_turn,
-    # with the replicates of production, too many for the SQL
-    "bootstrap_macro_full": partial(bootstrap, replicates=score.REPLICATES), "bootstrap_weighted_full": partial(bootstrap_weighted, replicates=score.REPLICATES),
-    "class_blocks_full": partial(class_blocks, replicates=score.REPLICATES), "paired_bootstrap_full": partial(paired_bootstrap, replicates=score.PAIRED_REPLICATES),
 }
 SQL = {
     "item_coverage": _V + " select * from it",
@@ -194,11 +199,10 @@ SQL = {
     "frame_splits": f"select distinct anchor_id, case when {_DRAW('42', 'anchor_id')} < 0.5 then 'development' when {_DRAW('42', 'anchor_id')} < 0.8 then 'frozen' else 'challenge' end split from frame_items",
     "frame_problems": """with a as (select class, count(distinct anchor_id) found from frame_items group by 1), e as (select unnest(['definition', 'lookup', 'multihop', 'trace', 'absent']) class, unnest([44, 40, 32, 40, 3])::bigint expected)
       select class, coalesce(expected, 0) expected, coalesce(found, 0) found, case when coalesce(expected, 0) <> coalesce(found, 0) then 'expected ' || coalesce(expected, 0) || ', found ' || coalesce(found, 0) end problem from e full join a using (class)""",
-    "constructed_negatives": _V + f""", p as (select item "of", claim, floor({_DRAW('42', "'c'", 'item', 'claim')} * 64)::int bucket from v), nu as (select *, row_number() over (partition by bucket order by "of", claim) i, count(*) over (partition by bucket) n from p),
-      sz as (select distinct bucket, n from nu), k as (select item, t, floor({_DRAW('42', "'b'", 'item', 't')} * 64)::int bucket from (select distinct item from v), (select unnest(range(9)) t)),
-      d as (select item, t, k.bucket, floor({_DRAW('42', "'i'", 'item', 't')} * n)::int + 1 i from k join sz using (bucket)), h as (select item, "of", claim, min(t) t from d join nu using (bucket, i) where "of" <> item group by 1, 2, 3),
-      o as (select *, row_number() over (partition by item order by t) o from h) select item, "of", claim from o where o <= 3""",
-    "paired_bootstrap": _V + f""", pa as (select class c, item, case when {_DRAW("'pair'", 'item')} < 0.2 then 0.0 else coverage end - coverage v from it where coverage is not null), nu as (select *, row_number() over (partition by c order by item) - 1 i, count(*) over (partition by c) n from pa),
-      dr as (select c, r, floor(s.n * {_DRAW('42', 'c', 'r', 's.i')})::int i from nu s, (select unnest(range({B})) r)), me as (select dr.c, r, avg(v) m from dr join nu using (c, i) group by 1, 2) """ + _ENDS("select r, round(avg(m), 9) m from me group by 1"),
+    "constructed_negatives": _V + f""", nu as (select item "of", claim, row_number() over (order by {_DRAW('42', "'c'", 'item', 'claim')}, item, claim) - 1 i from v), an as (select distinct item from v),
+      ow as (select an.item, coalesce(list_sort(list(i) filter (where i is not null)), []) own, (select count(*) from nu) - count(i) m from an left join nu on nu."of" = an.item group by 1),
+      tu as (select item, own, (floor({_DRAW('42', "'b'", 'item')} * m)::bigint + j) % m p from (select *, unnest(range(least(3, m))) j from ow where m > 0)),
+      ps as (select item, list_reduce(own, lambda g, o: case when o <= g then g + 1 else g end, p) i from tu) select item, "of", claim from ps join nu using (i)""",
+    "paired_bootstrap": _V + f""", pa as (select class c, round(case when {_DRAW("'pair'", 'item')} < 0.2 then 0.0 else coverage end - coverage, 6) v from it where coverage is not null)""" + _boot("pa", PAIRS) + " " + _ENDS("select r, round(avg(m), 9) m from me group by 1", PAIRS),
     "asked_in_turn": """with t as (select distinct on (anchor_id) anchor_id, class from frame_items), r as (select *, row_number() over (partition by class order by anchor_id) turn from t), k as (select * from r order by turn, class, anchor_id limit 50) select class, count(*) items from k group by 1""",
 }

@@ -109,12 +109,12 @@ def test_macro_floor_and_weights(spark):
 
 def test_bootstrap_properties(spark):
     const = spark.createDataFrame([(f"i{i}", "x", 0.7) for i in range(5)], "item string, class string, v double")
-    assert tuple(score.bootstrap(const, "class", "v", "item", 100).collect()[0]) == (0.7, 0.7, 100)
+    assert tuple(score.bootstrap(const, "class", "v", 100).collect()[0]) == (0.7, 0.7, 100)
     rng = random.Random(1)
     mixed = spark.createDataFrame([(f"i{i}", rng.choice("xy"), rng.random()) for i in range(40)] + [("n", "x", None)], "item string, class string, v double")
-    a, b = (score.bootstrap(mixed.repartition(k), "class", "v", "item", 200).collect() for k in (1, 5))
+    a, b = (score.bootstrap(mixed.repartition(k), "class", "v", 200).collect() for k in (1, 5))
     assert a == b and 0.3 < a[0]["lo"] < a[0]["hi"] < 0.7
-    assert score.bootstrap(mixed.limit(0), "class", "v", "item", 10).count() == 0
+    assert score.bootstrap(mixed.limit(0), "class", "v", 10).count() == 0
     items = spark.createDataFrame([(f"i{i}", "x" if i < 20 else "y", 1.0, True) for i in range(39)], "item string, class string, coverage double, all_required boolean")
     assert {r["class"]: (r["lo"], r["withheld"]) for r in score.class_blocks(items, 50).collect()} == {"x": (1.0, None), "y": (None, "n=19 < 20")}
 
@@ -154,23 +154,38 @@ def test_statistics(spark):
 def test_negatives_are_of_other_items(spark):
     claims = spark.createDataFrame([(f"i{i % 30}", i) for i in range(120)], "item string, claim int")
     got = score.constructed_negatives(claims.select("item").distinct(), claims, buckets=4).collect()
-    assert all(r["item"] != r["of"] for r in got) and max([sum(1 for r in got if r["item"] == f"i{k}") for k in range(30)]) == 3
+    assert all(r["item"] != r["of"] for r in got) and {sum(1 for r in got if r["item"] == f"i{k}") for k in range(30)} == {3} and len({(r["item"], r["of"], r["claim"]) for r in got}) == 90
+
+
+def test_negatives_are_as_many_as_there_are(spark):
+    claims = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 3), (None, 4), ("c", None)], "item string, claim int")
+    answers = spark.createDataFrame([("a",), ("b",), ("z",), ("z",), (None,)], "item string")
+    got = [tuple(r) for r in score.constructed_negatives(answers, claims, buckets=3).collect()]
+    assert sorted(got) == [("a", "b", 3), ("b", "a", 1), ("b", "a", 2), ("z", "a", 1), ("z", "a", 2), ("z", "b", 3)]
+    assert score.constructed_negatives(answers, claims.limit(0)).count() == 0
 
 
 def test_closure_with_cycles(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y")], "src string, dst string")
     reached = graph.closure(spark.createDataFrame([("a",), (None,)], "doc string"), links)
     assert {(r["doc"], r["step"]) for r in reached.collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
-    chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(6)], "src string, dst string")
-    with pytest.raises(ValueError, match="still grows"):
-        graph.closure(spark.createDataFrame([("0",)], "doc string"), chain, max_steps=3)
+    chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(15)], "src string, dst string")
+    assert graph.closure(spark.createDataFrame([("0",)], "doc string"), chain).agg(F.max("step")).first()[0] == 15
     d = graph.dangling(links, spark.createDataFrame([("b",), ("c",), ("a",)], "doc string"))
     assert {r["src"]: r["colour"] for r in d.collect()} == {"a": "GREEN", "b": "GREEN", "c": "RED", "x": "RED"}
 
 
 def test_collisions_and_fidelity(spark):
     a = spark.createDataFrame([("1", "TC", "tele command"), ("2", "TC", "Tele Command"), ("3", "TC", "test case"), ("1", "TM", "tele metry"), ("2", "TM", "tele data")], "doc string, short string, expansion string")
-    assert [(r["short"], r["documents"]) for r in graph.acronym_collisions(a).collect()] == [("TC", 3)]
+    assert [tuple(r) for r in graph.acronym_collisions(a).collect()] == [("TC", 3, 2, "tele command", "test case")]
+    rng = random.Random(2)
+    rows = [(f"d{i}", f"S{i % 25}", " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 5)))) for i in range(90)] + [("d", "S0", None), ("d", "S1", " ")]
+    got = {r["short"] for r in graph.acronym_collisions(spark.createDataFrame(rows, "doc string, short string, expansion string")).collect()}
+    sets = {}
+    for _, k, e in rows:
+        if e and e.strip():
+            sets.setdefault(k, set()).add(frozenset(e.split()))
+    assert got == {k for k, v in sets.items() if any(not a & b for a in v for b in v)} != set()
     m = spark.createDataFrame([(["shall", "may"], ["shall"]), (None, ["can"]), ([], [])], "source_modals array<string>, answer_modals array<string>")
     assert [(r["lost"], r["added"], r["faithful"]) for r in graph.modal_fidelity(m).collect()] == [(["may"], [], False), ([], ["can"], False), ([], [], True)]
 
@@ -199,9 +214,21 @@ def _u(*parts):
     return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
 
 
+def _mixed(base, n):
+    """The n-th 32-bit number of a stream, by the definition."""
+    x = (base + n * 2654435769) % 2**32
+    for shift, by in ((16, 2246822507), (13, 3266489909)):
+        x = (x ^ (x >> shift)) * by % 2**32
+    return x ^ (x >> 16)
+
+
 def _replicates(values, n):
-    """class -> means by replicate, drawn one by one; values: class -> the values in order of item."""
-    return {c: [sum(v[int(len(v) * _u(42, c, r, s))] for s in range(len(v))) / len(v) for r in range(n)] for c, v in values.items()}
+    """class -> means by replicate, drawn one by one; values: class -> its values."""
+    out = {}
+    for c, v in values.items():
+        v = sorted(v)
+        out[c] = [sum(v[len(v) * _mixed(int(_u(42, c, r) * 2**32), s) >> 32] for s in range(len(v))) / len(v) for r in range(n)]
+    return out
 
 
 def _ends(means):
@@ -218,13 +245,13 @@ def test_full_replicates_equal_brute_force(spark, sf):
     means = _replicates(values, 10_000)
     close = lambda got, want: all(abs(a - b) < 2e-6 for a, b in zip(got, want, strict=True))
     run = lambda name: registry.QUERIES[name](spark, sf).collect()
-    assert close(run("bootstrap_macro_full")[0], _ends([sum(m) / len(m) for m in zip(*means.values())]))
+    assert close(run("bootstrap_macro")[0], _ends([sum(m) / len(m) for m in zip(*means.values())]))
     weighted = {c: m for c, m in means.items() if c in plans.WEIGHTS}
     total = sum(plans.WEIGHTS[c] for c in weighted)
-    assert close(run("bootstrap_weighted_full")[0], _ends([sum(plans.WEIGHTS[c] * x for c, x in zip(weighted, m)) / total for m in zip(*weighted.values())]))
+    assert close(run("bootstrap_weighted")[0], _ends([sum(plans.WEIGHTS[c] * x for c, x in zip(weighted, m)) / total for m in zip(*weighted.values())]))
     paired = _replicates(differences, 1_000)
-    assert close(run("paired_bootstrap_full")[0], _ends([sum(m) / len(m) for m in zip(*paired.values())]))
-    assert {r["class"] for r in run("class_blocks_full")} == set(values)
+    assert close(run("paired_bootstrap")[0], _ends([sum(m) / len(m) for m in zip(*paired.values())]))
+    assert {r["class"] for r in run("class_blocks")} == set(values)
 
 
 def test_class_intervals_have_full_replicates(spark, monkeypatch):
@@ -232,15 +259,16 @@ def test_class_intervals_have_full_replicates(spark, monkeypatch):
     items = spark.createDataFrame(rows, "item string, class string, coverage double").withColumn("all_required", F.col("coverage") == 1.0)
     monkeypatch.setattr(plans, "item_coverage", lambda *_: items)
     means = _replicates({c: [v for _, k, v in rows if k == c] for c in ("x", "y")}, 10_000)
-    got = {r["class"]: (r["lo"], r["hi"]) for r in registry.QUERIES["class_blocks_full"](spark, "").collect()}
+    got = {r["class"]: (r["lo"], r["hi"]) for r in registry.QUERIES["class_blocks"](spark, "").collect()}
     assert {c: _ends(m)[:2] for c, m in means.items()} == got
 
 
 def test_full_power_equals_brute_force(spark, sf):
-    r = registry.QUERIES["sample_power_full"](spark, sf).collect()[0]
+    r = registry.QUERIES["sample_power"](spark, sf).collect()[0]
     n, over = r["n"], 0
     for k in range(1_000):
-        runs = [(_u(42, "a", i) < r["base"], _u(42, "b", i) < r["base"] + r["gain"]) for i in range(k * n, (k + 1) * n)]
+        u = lambda i: _mixed(int(_u(42, k) * 2**32), i) / 2**32  # noqa: B023, E731
+        runs = [(u(2 * i) < r["base"], u(2 * i + 1) < r["base"] + r["gain"]) for i in range(n)]
         up, down = sum(b and not a for a, b in runs), sum(a and not b for a, b in runs)
         over += (up - down) / max(up + down, 1) ** 0.5 > 1.959963984540054
     assert r["power"] == round(over / 1_000, 6)
