@@ -9,9 +9,10 @@ from strandline.functions.profile import ANNEX_NUMBER, CLAUSE_DOTTED, DEFAULT, L
 from strandline.functions.text import body as body_of
 from strandline.functions.text import trimmed
 from strandline.operators import index
-from strandline.operators.chunking import expand_acronyms, split_table
+from strandline.operators.chunking import chunk_items, expand_acronyms, harvest_acronyms, split_table
 from strandline.operators.ordered import nearest
 from strandline.runtime import salted_join, table
+from strandline.sources.files import parse_items
 
 COLLECTION = "standards_v3"
 
@@ -149,6 +150,22 @@ def table_parts(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("c", cut("body")).select("id", "c.*")
 
 
+def harvested(spark: SparkSession, d: str) -> DataFrame:
+    """doc, short, expansion: the abbreviations found in the glossary text of each document, which is set from its abbreviation units, in order of id, between headings."""
+    row = r"^([A-Z][A-Za-z0-9/\-]{1,9}) - ([^\n]{3,80})$"
+    last = F.substring_index("body", "\n", -1)
+    units = chunks(spark, d).where("element_type = 'abbreviation'").select(trimmed(F.col("doc_code")).alias("doc"), "id", F.regexp_replace(last, row, "$1  $2").alias("line")).where("doc <> ''")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n")
+    texts = units.groupBy("doc").agg(F.concat(F.lit("1 Scope\nNO  not in the glossary\n3.3 Abbreviated terms\n"), text, F.lit("\n4 Requirements\nNO  not in it either")).alias("raw"))
+    return harvest_acronyms(texts, "doc", "raw")
+
+
+def document_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """doc, pos, part, body_sha1, cut, section, clause, etype: the chunks of all documents read as Markdown."""
+    t = chunk_items(parse_items(table(spark, d, "documents"), "doc_id", "text", "md"))
+    return t.select("doc", "pos", "part", F.sha1("body").alias("body_sha1"), "cut", "section", "clause", "etype")
+
+
 def ledger_plan(spark: SparkSession, d: str) -> DataFrame:
     """collection, path, action: the newest state of every file against the state at the beginning of 2024."""
     t = table(spark, d, "ledger")
@@ -204,9 +221,35 @@ _COUNT = lambda c, n: f"count(case when {c} then 1 end) {n}"
 _QUALITY = CHUNKS + f""", q as (select coalesce({_trim('doc_code')}, '') doc_code, count(*) chunks, {', '.join(_COUNT(f"element_type='{k}'", n) for k, n in (('table', 'tables'), ('definition', 'definitions'), ('abbreviation', 'abbreviations')))},
   {', '.join(_COUNT(f"cut='{k}'", f'cut_{k}') for k in ('section', 'structural', 'paragraph', 'hard_max', 'definition'))}, {_COUNT('n_chars >= 3550', 'at_hard_max')} from ch group by 1) """
 
+_PLACED = _USABLE + """, k as (select distinct caption_id, source_file, page from cap), p as (select distinct source_file, page_number, id from chunk_index),
+j as (select caption_id, k.source_file, k.page, id, abs(k.page - page_number) dist, row_number() over (partition by caption_id, k.source_file, k.page order by abs(k.page - page_number), id) n from k join p on p.source_file = k.source_file and k.page is not null and page_number is not null),
+fs as (select source_file, id, row_number() over (partition by source_file order by page_number is null, page_number, id) n from p),
+pl as (select cap.caption_id, cap.source_file, cap.page, cap.caption, coalesce(j.id, fs.id) chunk_id, dist::int distance from cap left join j on j.n = 1 and j.caption_id = cap.caption_id and j.source_file = cap.source_file and j.page = cap.page left join fs on fs.n = 1 and fs.source_file = cap.source_file)
+"""
+_FIRST = CHUNKS + f""", a0 as (select {_trim('doc_code')} doc, id, string_split(body, chr(10))[-1] l from ch where element_type = 'abbreviation'),
+b0 as (select doc, id, regexp_extract(l, '^([A-Z][A-Za-z0-9/\\-]{{1,9}}) - ([^\\n]{{3,80}})$', 1) short, regexp_extract(l, '^([A-Z][A-Za-z0-9/\\-]{{1,9}}) - ([^\\n]{{3,80}})$', 2) e from a0)"""
+_ACRONYMS = _FIRST + ", ac as (select doc, short, arg_min(e, id) expansion from b0 where short <> '' and doc <> '' group by 1, 2)"
+#: Chunks of Markdown documents as SQL: trails and fills as folds over the items of a document and of a stretch.
+_CHUNKED = f"""with l as (select doc_id, unnest(string_split(text, chr(10))) x, unnest(range(len(string_split(text, chr(10))))) n from documents where text is not null),
+k as (select *, {_trim('x')} t, case when starts_with({_trim('x')}, '|') then 'table' when starts_with(x, '#') then 'section_header' when {_trim('x')} <> '' then 'text' end label from l),
+g as (select *, n - row_number() over (partition by doc_id, label order by n) g from k), it as (select doc_id, min(n) n, label, case when label = 'section_header' then {_trim("ltrim(min(x), '#')")} else string_agg(t, chr(10) order by n) end t, length(min(x)) - length(ltrim(min(x), '#')) lvl
+  from g where label is not null group by doc_id, label, case when label = 'table' then g end, case when label <> 'table' then n end),
+p as (select *, row_number() over (partition by doc_id order by n) - 1 pos, sum((label <> 'text')::int) over (partition by doc_id order by n) run, label = 'section_header' h from it),
+d as (select *, case when h then coalesce(nullif(regexp_extract(t, '{CLAUSE_DOTTED}', 1), ''), nullif(regexp_extract(t, '^[ \t]*([1-9]|1[0-9])[ \t]+[A-Z]', 1), ''), nullif(regexp_extract(t, '{ANNEX_NUMBER}', 1), ''), nullif(upper(regexp_extract(t, '(?i)^\\s*annex\\s+([a-z])\\b', 1)), ''))
+  when label = 'text' then nullif(regexp_extract(t, '{CLAUSE_DOTTED}', 1), '') end dc, list(case when h then {{'l': lvl, 't': t}} end) over (partition by doc_id order by n) hs from p),
+e as (select *, coalesce(last_value(dc ignore nulls) over (partition by doc_id order by n), '') clause, list_filter(list_reduce(list_filter(hs, lambda z: z is not null), lambda a, z: list_append(a[1:z.l - 1], z.t), []::varchar[]), lambda z: z <> '') tr,
+  regexp_matches(t, '{CLAUSE_DOTTED}') or regexp_matches(t, '{LETTERED}') or regexp_matches(trim(t), '^{DEFAULT.requirement.removeprefix(chr(92) + 'b')}') b from d),
+f as (select *, case when len(tr) > 0 then array_to_string(tr, ' > ') else '(document)' end section from e),
+st as (select doc_id, run, list({{'s': length(t), 'b': b}} order by n) xs from f where label = 'text' group by 1, 2),
+fo as (select doc_id, run, list_reduce(xs, lambda s, x: case when s.size >= 400 and ((s.size >= 1600 and x.b) or s.size >= 2500) then {{'size': x.s, 'ks': list_append(s.ks, s.ks[-1] + 1), 'cuts': list_append(s.cuts, case when s.size >= 1600 and x.b then 'structural' else 'paragraph' end)}}
+  else {{'size': s.size + x.s, 'ks': list_append(s.ks, coalesce(s.ks[-1], 1)), 'cuts': s.cuts}} end, {{'size': 0::bigint, 'ks': []::bigint[], 'cuts': []::varchar[]}}) o from st),
+tx as (select f.*, o.ks[row_number() over (partition by f.doc_id, f.run order by n)] c, o.cuts cuts from f join fo on fo.doc_id = f.doc_id and fo.run = f.run where label = 'text')
+select doc_id::varchar doc, min(pos) pos, 0::bigint part, sha1(string_agg(t, chr(10) order by n)) body_sha1, coalesce(any_value(cuts)[c], 'section') cut, arg_max(section, n) section, arg_max(clause, n) clause, 'text' etype from tx group by doc_id, run, c
+union all select doc_id::varchar, pos, 0, sha1(t), 'section', section, clause, 'table' from f where label = 'table' and length(t) <= 3600"""
+
 QUERIES = {
     "ingest_names": ingest_names, "clause_lines": clause_lines, "heading_clauses": heading_clauses, "enriched": enriched, "content_ids": content_ids, "duplicate_bodies": duplicate_bodies,
-    "captions_kept": captions_kept, "captions_attached": captions_attached, "captions_placed": captions_placed, "captions_in_bodies": captions_in_bodies, "postings_top": postings_top, "quality_counters": quality, "run_totals": run_totals, "acronyms": acronyms, "acronyms_expanded": expanded,
+    "captions_kept": captions_kept, "captions_attached": captions_attached, "captions_placed": captions_placed, "captions_in_bodies": captions_in_bodies, "postings_top": postings_top, "quality_counters": quality, "run_totals": run_totals, "acronyms": acronyms, "acronyms_expanded": expanded, "harvested": harvested, "document_chunks": document_chunks,
     "table_parts": table_parts, "ledger_plan": ledger_plan, "ledger_upsert": ledger_upsert, "projected_scan": projected, "filter_pushdown": filtered,
 }
 SQL = {
@@ -229,6 +272,17 @@ SQL = {
     "captions_attached": _USABLE + """, k as (select distinct caption_id, source_file, page from cap), p as (select distinct source_file, page_number, id from chunk_index where page_number is not null),
       j as (select caption_id, k.page, id, abs(k.page - page_number) dist, row_number() over (partition by caption_id, k.source_file, k.page order by abs(k.page - page_number), id) n from k left join p on p.source_file = k.source_file and k.page is not null)
       select caption_id, id chunk_id, dist::int distance from j where n = 1""",
+    "captions_placed": _PLACED + "select distinct caption_id, chunk_id, distance from pl",
+    "captions_in_bodies": CHUNKS + ", " + _PLACED.strip().removeprefix("with ") + """, ad as (select chunk_id id, string_agg(chr(10) || '[FIGURES p' || coalesce(page::varchar, '') || '] ' || caption, '' order by page is null, page, caption_id, caption) a from (select distinct caption_id, page, caption, chunk_id from pl where chunk_id is not null) group by 1)
+      select id, sha1(coalesce(body, '') || a) body_sha1, length(coalesce(body, '') || a) n_chars from ch join ad using (id)""",
+    "table_parts": CHUNKS + """, t as (select id, list_filter(string_split(body, chr(10)), lambda x: starts_with(x, '|')) l from ch where element_type = 'table'), m as (select *, array_to_string(l, chr(10)) md, list_sum(list_transform(l[1:2], lambda x: length(x) + 1)) base from t),
+      f as (select id, length(md) n, len(l) k, list_reduce(l[3:], lambda s, r: case when s.rows > 0 and s.size + length(r) + 1 > 400 then {'parts': s.parts + 1, 'longest': greatest(s.longest, s.size - 1), 'size': base + length(r) + 1, 'rows': 1} else {'parts': s.parts, 'longest': s.longest, 'size': s.size + length(r) + 1, 'rows': s.rows + 1} end,
+        {'parts': 1::bigint, 'longest': 0::hugeint, 'size': base::hugeint, 'rows': 0}) s from m)
+      select id, case when n <= 400 or k < 4 then 1 else s.parts end::int parts, case when n <= 400 or k < 4 then n else greatest(s.longest, s.size - 1) end::int longest from f""",
+    "acronyms_expanded": _ACRONYMS + """, y as (select doc, list(short) shorts from ac group by 1), c as (select doc, regexp_extract_all(body, '\\b[A-Z][A-Za-z0-9/\\-]{1,9}\\b') w, shorts from (select *, """ + _trim("doc_code") + """ doc from ch where element_type <> 'abbreviation') join y using (doc))
+      select doc, count(*) chunks, count(case when list_has_any(w, shorts) then 1 end) expanded from c group by 1""",
+    "harvested": _ACRONYMS + " select doc, short, trim(regexp_replace(expansion, '\\s+', ' ', 'g')) expansion from ac where not starts_with(expansion, 'AXSS') and regexp_matches(short || '  ' || expansion, '^[A-Z][A-Za-z0-9/\\-]{1,9}  [A-Za-z][^\\n]{3,80}$')",
+    "document_chunks": _CHUNKED,
     "postings_top": CHUNKS + f""", t as (select id, lower(unnest(regexp_extract_all(body, '{TOKEN.format(code=CODE)}'))) term from ch)
       select term, ('0x' || substring(md5(term), 1, 8))::bigint % 2147483648 term_idx, count(distinct id) chunks, count(*) tf from t group by 1, 2""",
     "quality_counters": _QUALITY + "select * from q",
