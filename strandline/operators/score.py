@@ -206,6 +206,19 @@ def constructed_negatives(answers: DataFrame, claims: DataFrame, per_item: int =
     return turns.select("item", at.alias("i")).join(numbered, "i").select("item", "of", "claim")
 
 
+def matched_returns(returns: DataFrame, claims: DataFrame, answers: DataFrame) -> DataFrame:
+    """The rows of ``returns`` (item, claim) with state: matched, or by name what they refer to in vain: no such item, no such claim, no answer.
+
+    ``claims`` has item, claim, ``answers`` item. Nulls refer to nothing. Rows come out as often as they went in.
+    """
+    items = claims.select("item").distinct().withColumn("__i", F.lit(True))
+    known = claims.select("item", "claim").distinct().withColumn("__c", F.lit(True))
+    answered = answers.select("item").distinct().withColumn("__a", F.lit(True))
+    t = returns.join(items, "item", "left").join(known, ["item", "claim"], "left").join(answered, "item", "left")
+    state = F.when(F.col("__i").isNull(), "no such item").when(F.col("__c").isNull(), "no such claim").when(F.col("__a").isNull(), "no answer").otherwise("matched")
+    return t.withColumn("state", state).drop("__i", "__c", "__a")
+
+
 def compare_counts(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """class, expected, found, problem: full outer comparison of counts; problem is null where they agree."""
     n = actual.groupBy("class").agg(F.count(F.lit(1)).alias("found"))

@@ -96,6 +96,11 @@ def judged_claims(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("reply", reply).groupBy(verdict(F.col("reply")).alias("verdict")).agg(F.count(F.lit(1)).alias("claims"))
 
 
+#: The stand-in encoder in SQL: signed units at places picked by digests of the words, as single floats, and the cosine of all pairs.
+_VECTOR = lambda c, k, src: f"""select {k}, list(v / nullif(sqrt(n), 0)) v from (select {k}, i, coalesce(s, 0)::double v, sum(coalesce(s, 0) * coalesce(s, 0)) over (partition by {k}) n from (select {k}, unnest(range(64)) i from {src})
+  left join (select {k}, h % 64 i, sum(case when h >= 9223372036854775808 then 1 else -1 end) s from (select {k}, ('0x' || substring(md5(w), 1, 16))::ubigint h from (select {k}, unnest(regexp_extract_all(lower({c}), '\\S+')) w from {src})) group by 1, 2) using ({k}, i)) group by 1"""
+_ENCODED = pp.CHUNKS + ", " + ps._Q + f""", dv0 as ({_VECTOR('body', 'id', 'ch').replace("list(v / nullif(sqrt(n), 0))", "list((v / sqrt(n))::float::double order by i)")}), qv0 as ({_VECTOR('text', 'qid', 'q').replace("list(v / nullif(sqrt(n), 0))", "list((v / sqrt(n))::float::double order by i)")}),
+en as (select qid, id, row_number() over (partition by qid order by s desc, id) - 1 rank from (select qid, id, round(list_cosine_similarity(q.v, d.v), 9) s from qv0 q, dv0 d where not isnan(q.v[1]) and not isnan(d.v[1])))"""
 _IT = "(select distinct on (anchor_id) * from frame_items)"
 QUERIES = {
     "frame_check": frame_check, "coverage_by_reach": coverage_by_reach, "recall_by_role": recall_by_role, "item_statistics": item_statistics, "answer_rates": answer_rates, "sample_power": sample_power,
@@ -123,6 +128,9 @@ SQL = {
       m2 as (select r, n, {pc.mixed_sql('(b + (2 * s + 1) * 2654435769) % 4294967296')}, f5 v, s from t), w as (select r, s, n, {pc.mixed_sql('(b + 2 * s * 2654435769) % 4294967296')}, f5 u from t),
       g as (select w.r, w.n, count(case when not u / 4294967296 < 0.8 and v / 4294967296 < 0.85 then 1 end) up, count(case when u / 4294967296 < 0.8 and not v / 4294967296 < 0.85 then 1 end) down from w join m2 on m2.r = w.r and m2.s = w.s group by 1, 2)
       select max(n)::int n, 0.8::double base, 0.05::double gain, round(avg(((up - down) / sqrt(greatest(up + down, 1)) > 1.959963984540054)::int), 6) power from g""",
+    "encoded_topk": _ENCODED + f"select qid, id, rank from en where rank < {ps.K}",
+    "model_rerank": _ENCODED + f""", ov as (select en.qid, en.id, en.rank, len(list_intersect(q.s, d.s)) / nullif(len(q.s), 0) o from en join (select qid, list_distinct(regexp_extract_all(lower(text), '\\S+')) s from q) q on q.qid = en.qid join (select id, list_distinct(regexp_extract_all(lower(body), '\\S+')) s from ch) d on d.id = en.id where rank < {ps.K})
+      select qid, id, row_number() over (partition by qid order by coalesce(o, 0) desc, rank, id) - 1 rank, rank first_rank from ov""",
     "probe_identifiers": pp.CHUNKS + f""", pq as (select distinct doc_code qid, doc_code as text from ch where doc_code is not null), pr as {ps.route_sql("pq", ", qid")},
       h as (select qid, arg_min(ch.doc_code, ch.id) got from pr join ch on ch.doc_code = pr.a where kind = 'identifier' and (b is null or clause = b or not exists (select 1 from ch c2 where c2.doc_code = pr.a and c2.clause = pr.b)) group by 1)
       select count(*) probes, count(case when got = qid then 1 end) found, case when count(case when got = qid then 1 end) / greatest(count(*), 1) >= 1.0 then 'PASS' else 'FAIL' end verdict from pq left join h using (qid)""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import measure, score, search
@@ -103,6 +103,25 @@ def decision_tally(spark: SparkSession, d: str) -> DataFrame:
     return anchor_decisions(spark, d).groupBy("field", "state").agg(F.count(F.lit(1)).alias("refs"))
 
 
+def alias_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """anchor_id, field, claim, ref, renamed_from, state, new: the decisions where every handbook has a new code in the searched index, found by its file."""
+    new = _searchable(spark, d).withColumn("doc", _renamed("doc"))
+    files = table(spark, d, "chunk_index").groupBy("source_file").agg(F.min(F.coalesce("doc_code", F.lit(""))).alias("doc_code"))
+    aliases = measure.doc_aliases(files, files.withColumn("doc_code", _renamed("doc_code")))
+    t = measure.decide(measure.frame_refs(table(spark, d, "frame_items")).distinct(), new, aliases)
+    return t.select("anchor_id", "field", "claim", "ref", "renamed_from", "state", "new")
+
+
+def _renamed(code: str) -> Column:
+    return F.regexp_replace(code, "-HB-", "-GD-")
+
+
+def specificity_top(spark: SparkSession, d: str) -> DataFrame:
+    """anchor_id, doc, clause, fraction: the 20 spans whose label says least, of documents whose code contains -ST-."""
+    t = span_specificity(spark, d).where(F.col("doc").contains("-ST-") & F.col("fraction").isNotNull())
+    return t.orderBy(F.desc("fraction"), "anchor_id", "doc", "clause").limit(20).select("anchor_id", "doc", "clause", "fraction")
+
+
 def migrated_frame(spark: SparkSession, d: str) -> DataFrame:
     """anchor_id, anchors, labels: the frame after migration, its evidence anchors and span labels."""
     frame = table(spark, d, "frame_items").dropDuplicates(["anchor_id"])
@@ -139,6 +158,12 @@ rn as (select *, {_NORM('span')} sn from refs), bn as (select id, coalesce(doc_c
 h as (select anchor_id, field, claim, ref, list_sort(list_distinct(list(label))) labels, count(*) n from rn join bn on rn.doc = bn.doc and contains(body, sn) where sn <> '' group by 1, 2, 3, 4),
 de as (select rn.anchor_id, rn.field, rn.claim, rn.ref, case when labels is null then 'UNRESOLVED' when len(labels) > 1 then 'AMBIGUOUS' when labels[1] <> clause then 'RELABELLED' else 'unchanged' end state,
   case when len(labels) = 1 then labels[1] else clause end "new", coalesce(n, 0) n_chunks from rn left join h using (anchor_id, field, claim, ref))"""
+#: The decisions under new codes of handbooks.
+_ALIASED = (
+    _REFS.replace("rn as (select *,", "al as (select distinct c old_doc, replace(c, '-HB-', '-GD-') new_doc from (select source_file, min(coalesce(doc_code, '')) c from chunk_index group by 1) where contains(c, '-HB-')), rn as (select anchor_id, field, claim, ref, coalesce(new_doc, doc) doc, clause, span, old_doc renamed_from,")
+    .replace("sn from refs)", "sn from refs left join al on al.old_doc = refs.doc)").replace("coalesce(doc_code, '') doc, coalesce(clause, '') label", "replace(coalesce(doc_code, ''), '-HB-', '-GD-') doc, coalesce(clause, '') label")
+    .replace("when labels[1] <> clause then", "when labels[1] <> clause or renamed_from is not null then").replace("coalesce(n, 0) n_chunks from rn", "renamed_from from rn")
+)
 _SWEEP = ps._POSTS.replace("min(coalesce(question, prompt_as_typed, '')) text", "min(coalesce(question, prompt_as_typed, '')) text, min(coalesce(prompt_as_typed, concat_ws(' ', context, question))) prompt") + f""",
 qa as (select qid, prompt as text from q), qb as (select qid, text from q), {ps.retrieve_sql('qa', 'y', (50, 200))}, {ps.retrieve_sql('qb', 'z', (50, 200))},
 cf as (select 'A' config, qid, id, rank from y50 union all select 'B', qid, id, rank from y200 union all select 'C', qid, id, rank from z50 union all select 'D', qid, id, rank from z200),
@@ -150,7 +175,7 @@ gl as (select a.config, case when a.hit then 'gain' else 'loss' end change, a.an
 
 QUERIES = {
     "label_counts": label_counts, "span_specificity": span_specificity, "span_bands": span_bands, "label_coverage": label_coverage, "recall_sweep": recall_sweep, "gains_losses": gains_losses,
-    "change_tests": change_tests, "rank_metrics": rank_metrics, "anchor_decisions": anchor_decisions, "decision_tally": decision_tally, "migrated_frame": migrated_frame,
+    "change_tests": change_tests, "rank_metrics": rank_metrics, "anchor_decisions": anchor_decisions, "decision_tally": decision_tally, "alias_decisions": alias_decisions, "specificity_top": specificity_top, "migrated_frame": migrated_frame,
 }
 SQL = {
     "label_counts": _COUNTS + " select * from lab",
@@ -172,5 +197,12 @@ SQL = {
       n as (select qid, count(*) n from nd group by 1), h as (select qid, count(*) hits, min(rank) fst, sum(1.0 / log2(rank + 2)) dcg from rk join nd using (qid, doc) group by 1)
       select qid, round(coalesce(hits, 0) / n, 6) recall, round(coalesce(hits, 0) / 10, 6) "precision", round(coalesce(1.0 / (fst + 1), 0), 6) mrr, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1.0 / log2(i + 1))), 6) ndcg from n left join h using (qid)""",
     "anchor_decisions": f"with {_D}, {_REFS} select * from de",
+    "alias_decisions": f"with {_D}, {_ALIASED} select anchor_id, field, claim, ref, renamed_from, state, \"new\" from de",
+    "specificity_top": _SPEC + " select anchor_id, doc, clause, fraction from sc where contains(doc, '-ST-') and fraction is not null order by fraction desc, anchor_id, doc, clause limit 20",
+    "migrated_frame": f"""with {_D}, {_REFS}, mv as (select de.*, refs.doc from de join refs using (anchor_id, field, claim, ref) where state = 'RELABELLED'), fx as (select distinct on (anchor_id) * from frame_items),
+      ce as (select anchor_id, unnest(range(len(claims))) k, claims from fx), ee as (select anchor_id, k, unnest(range(len(claims[k+1].evidence))) r, claims[k+1].evidence ev from ce),
+      ae as (select ee.anchor_id, string_agg(coalesce(trim(mv.doc || ' ' || mv."new"), ev[r+1].anchor, ''), '|' order by k, r) a from ee left join mv on mv.field = 'evidence' and mv.anchor_id = ee.anchor_id and mv.claim = k and mv.ref = r group by 1),
+      se as (select anchor_id, unnest(range(len(_anchor.spans))) r, _anchor.spans sp from fx), al as (select se.anchor_id, string_agg(coalesce(mv.doc, sp[r+1].doc_code, '') || ' ' || coalesce(mv."new", sp[r+1].clause, ''), '|' order by r) l from se left join mv on mv.field = 'spans' and mv.anchor_id = se.anchor_id and mv.ref = r group by 1)
+      select fx.anchor_id, case when claims is not null then coalesce(a, '') end anchors, case when _anchor.spans is not null then coalesce(l, '') end labels from fx left join ae using (anchor_id) left join al using (anchor_id)""",
     "decision_tally": f"with {_D}, {_REFS} select field, state, count(*) refs from de group by 1, 2",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions import models
 from strandline.functions.ids import draw
 from strandline.functions.parse import anchor_parts, verdict
 from strandline.functions.text import trimmed
@@ -127,6 +128,21 @@ def truncated_claims(spark: SparkSession, d: str) -> DataFrame:
     return t.where("t is not null").select("item", "claim", "t.head", "t.tail")
 
 
+def matched_returns(spark: SparkSession, d: str) -> DataFrame:
+    """item, claim, state: what judgements that came back refer to; one in twenty names no item, another one no claim, and a tenth of the items have no answer."""
+    v = verdicts(spark, d).select("item", "claim")
+    u = draw("return", F.col("item"), F.col("claim"))
+    back = v.select(F.when(u < 0.05, F.concat(F.lit("no-"), "item")).otherwise(F.col("item")).alias("item"), F.when((u >= 0.05) & (u < 0.1), F.col("claim") + 1000).otherwise(F.col("claim")).alias("claim"))
+    return score.matched_returns(back, v, v.select("item").distinct().where(draw("answer", F.col("item")) >= 0.1))
+
+
+def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """class, rejected, kept, verdict: a judge that plugs in (here one that looks for every word) asked for whole claims in answers that are truncated claims, and in answers that are the claims."""
+    t = verdicts(spark, d).select("class", F.col("text").alias("whole"), contract.truncate_claim(F.col("text")).alias("t")).where("t is not null")
+    asked = t.select("class", "whole", F.explode(F.array(F.struct(F.lit("truncated").alias("kind"), F.col("t.head").alias("answer")), F.struct(F.lit("control").alias("kind"), F.col("whole").alias("answer")))).alias("a")).select("class", "whole", "a.*")
+    return score.hard_negative_rates(asked.withColumn("judge", verdict(models.judge(models.containing_judge)(F.col("whole"), F.col("answer")))), ["class"])
+
+
 def paired_bootstrap(spark: SparkSession, d: str, replicates: int = PAIRS) -> DataFrame:
     t = written(item_coverage(spark, d).where("coverage is not null"), "items").withColumn("other", F.when(draw("pair", F.col("item")) < 0.2, 0.0).otherwise(F.col("coverage")))
     return score.paired_bootstrap(t, "coverage", "other", "class", replicates)
@@ -166,12 +182,14 @@ _MACRO = "count(*) classes, round(avg(coverage), 6) macro, round(case when sum(w
 _L = _V + f""", j as (select *, {_DRAW("'judge'", 'item', 'claim')} u, {_DRAW("'matcher'", 'item', 'claim')} mu, case when tier = 'required' then 'reviewer' else 'constructed' end kind from v where verdict is not null),
 la as (select *, (kind = 'reviewer' and verdict) label from j), lj as (select *, case when u < 0.01 then null else (u < 0.1) <> label end judge, (mu < 0.4) <> label matcher from la)"""
 _PREP = "[" + ", ".join(f"'{w}'" for w in contract.PREPOSITIONS) + "]"
+_VERBS = "[" + ", ".join(f"'{w}'" for w in contract.VERBS) + "]"
+_DANGLING = "[" + ", ".join(f"'{w}'" for w in contract.DANGLING) + "]"
 _SHARE = lambda hit, of: f"round(count(case when {of} and {hit} then 1 end) / nullif(count(case when {of} then 1 end), 0), 6)"
 
 QUERIES = {
     "item_coverage": item_coverage, "class_means": class_means, "macro_coverage": macro, "tier_means": tier_means, "bootstrap_macro": bootstrap, "bootstrap_weighted": bootstrap_weighted, "class_blocks": class_blocks,
     "benchmark_summary": benchmark_summary, "judge_validation": judge_validation, "judge_by_class": judge_by_class, "to_read": to_read, "arm_verdict": arms, "wilson_intervals": wilson, "frame_splits": splits,
-    "constructed_negatives": negatives, "frame_problems": frame_problems, "truncated_claims": truncated_claims, "paired_bootstrap": paired_bootstrap, "asked_in_turn": asked_in_turn,
+    "constructed_negatives": negatives, "frame_problems": frame_problems, "truncated_claims": truncated_claims, "matched_returns": matched_returns, "hard_negatives": hard_negatives, "paired_bootstrap": paired_bootstrap, "asked_in_turn": asked_in_turn,
 }
 SQL = {
     "item_coverage": _V + " select * from it",
@@ -204,5 +222,17 @@ SQL = {
       tu as (select item, own, (floor({_DRAW('42', "'b'", 'item')} * m)::bigint + j) % m p from (select *, unnest(range(least(3, m))) j from ow where m > 0)),
       ps as (select item, list_reduce(own, lambda g, o: case when o <= g then g + 1 else g end, p) i from tu) select item, "of", claim from ps join nu using (i)""",
     "paired_bootstrap": _V + f""", pa as (select class c, round(case when {_DRAW("'pair'", 'item')} < 0.2 then 0.0 else coverage end - coverage, 6) v from it where coverage is not null)""" + _boot("pa", PAIRS) + " " + _ENDS("select r, round(avg(m), 9) m from me group by 1", PAIRS),
+    "truncated_claims": _V + f""", t as (select item, claim, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') t from v), w as (select *, list_transform(t, lambda x: lower(regexp_extract(x, '[A-Za-z][A-Za-z0-9''-]*'))) w from t),
+      a as (select *, list_filter(range(len(t) - {contract.TAIL_TOKENS}, {contract.HEAD_TOKENS - 1}, -1), lambda i: list_contains({_PREP}, w[i + 1]) and list_has_any(w[1:i], {_VERBS}) and not list_contains({_DANGLING}, w[i])
+        and len(string_split(rtrim(regexp_replace(array_to_string(t[1:i], ' '), '[,;: ]+$', '')), ' ')) >= {contract.HEAD_TOKENS})[1] k from w)
+      select item, claim, rtrim(regexp_replace(array_to_string(t[1:k], ' '), '[,;: ]+$', '')) head, array_to_string(t[k + 1:], ' ') tail from a where k is not null""",
+    "matched_returns": _V + f""", rr as (select item, claim, {_DRAW("'return'", 'item', 'claim')} u from v), x as (select case when u < 0.05 then 'no-' || item else item end item, case when u >= 0.05 and u < 0.1 then claim + 1000 else claim end claim, u from rr),
+      i as (select distinct item, {_DRAW("'answer'", 'item')} >= 0.1 answered from v)
+      select x.item, x.claim, case when i.item is null then 'no such item' when v.item is null then 'no such claim' when not answered then 'no answer' else 'matched' end state from x left join i on i.item = x.item left join v on v.item = x.item and v.claim = x.claim""",
+    "hard_negatives": _V + f""", t as (select item, claim, class, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') t from v), w as (select *, list_transform(t, lambda x: lower(regexp_extract(x, '[A-Za-z][A-Za-z0-9''-]*'))) w from t),
+      a as (select *, list_filter(range(len(t) - {contract.TAIL_TOKENS}, {contract.HEAD_TOKENS - 1}, -1), lambda i: list_contains({_PREP}, w[i + 1]) and list_has_any(w[1:i], {_VERBS}) and not list_contains({_DANGLING}, w[i])
+        and len(string_split(rtrim(regexp_replace(array_to_string(t[1:i], ' '), '[,;: ]+$', '')), ' ')) >= {contract.HEAD_TOKENS})[1] k from w),
+      h as (select class, list_transform(t, lambda x: lower(x)) c, list_transform(string_split(rtrim(regexp_replace(array_to_string(t[1:k], ' '), '[,;: ]+$', '')), ' '), lambda x: lower(x)) head from a where k is not null),
+      rt as (select class, round(avg((not list_has_all(head, c))::int), 6) rejected, round(avg(list_has_all(c, c)::int), 6) kept from h group by 1) select *, case when rejected >= 0.8 and kept >= 0.95 then 'pass' else 'fail' end verdict from rt""",
     "asked_in_turn": """with t as (select distinct on (anchor_id) anchor_id, class from frame_items), r as (select *, row_number() over (partition by class order by anchor_id) turn from t), k as (select * from r order by turn, class, anchor_id limit 50) select class, count(*) items from k group by 1""",
 }
