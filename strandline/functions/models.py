@@ -108,6 +108,41 @@ def generator(factory: Callable[[], Callable], batch: int = 8) -> Callable[[Colu
     return model(factory, "string", batch)
 
 
+def persistent(factory: Callable[[], Callable], attempts: int = 3, budgets: tuple[int, ...] = (256, 1_024)) -> Callable[[], Callable]:
+    """The factory of a model that does not give up at once, from that of one that is called with its arguments and a budget of tokens and gives (reply, how it stopped).
+
+    A call that fails is made again, up to ``attempts`` times in all; values whose reply stopped
+    with 'length' are asked once more with the next larger budget. A reply that is still cut under
+    the largest budget stays as it is.
+    """
+
+    def load() -> Callable:
+        run = factory()
+
+        def tried(values: list[list], budget: int) -> list:
+            for left in range(attempts - 1, -1, -1):
+                try:
+                    return list(run(*values, budget))
+                except Exception:  # noqa: BLE001 - a service may recover
+                    if not left:
+                        raise
+            return []
+
+        def ask(*columns: list) -> list:
+            out: list = [None] * len(columns[0])
+            open_ = list(range(len(out)))
+            for budget in budgets:
+                got = tried([[c[i] for i in open_] for c in columns], budget) if open_ else []
+                for i, (reply, _) in zip(open_, got):
+                    out[i] = reply
+                open_ = [i for i, (_, stop) in zip(open_, got) if stop == "length"]
+            return out
+
+        return ask
+
+    return load
+
+
 @lru_cache(maxsize=100_000)
 def _digest(word: str) -> int:
     return int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
@@ -150,6 +185,32 @@ def containing_judge() -> Callable:
     return run
 
 
+def wordy_judge() -> Callable:
+    """A stand-in judge that thinks aloud: it repeats the claim before its verdict, is cut off where that exceeds the budget (in words), and fails on its first call."""
+    state = {"calls": 0}
+
+    def run(claims: list[str], answers: list[str], budget: int) -> list[tuple[str, str]]:
+        state["calls"] += 1
+        if state["calls"] == 1:
+            raise ConnectionError("not ready")
+        out = []
+        for c, a in zip(claims, answers):
+            words = ["<think>", *(c or "").lower().split(), "</think>", "YES" if set((c or "").lower().split()) <= set((a or "").lower().split()) else "NO"]
+            out.append((" ".join(words[:budget]), "length" if len(words) > budget else "stop"))
+        return out
+
+    return run
+
+
+def quoting_generator() -> Callable:
+    """A stand-in generator: thoughts, and the first passage of the context."""
+
+    def run(questions: list[str], contexts: list[str]) -> list[str]:
+        return [f"<think>{q}</think> {(c or '').split(chr(10) + '---' + chr(10))[0]}" for q, c in zip(questions, contexts)]
+
+    return run
+
+
 def max_sim(query: Column, page: Column) -> Column:
     """Late interaction: for each vector of the query the largest dot product with a vector of the page, summed. Null or empty sides give null."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -159,8 +159,9 @@ def orphan_references(refs: DataFrame, parents: DataFrame, rows_per_range: int =
     if widest == 1:
         salted = routed.withColumn("__s", F.lit(0))
     else:
-        split = F.element_at(F.create_map(*[F.lit(x) for r, k in parts.items() if k > 1 for x in (r, k)]), F.col("__r"))
-        salted = routed.withColumn("__s", F.pmod(F.monotonically_increasing_id(), F.coalesce(split, F.lit(1))).cast("int"))
+        hot = spark.createDataFrame([(r, k) for r, k in parts.items() if k > 1], "__r int, __k int")
+        # positions in a written table are the same whenever a task is run again
+        salted = routed.withColumn("__at", F.monotonically_increasing_id()).join(hot, "__r", "left").withColumn("__s", F.pmod(F.col("__at"), F.coalesce("__k", F.lit(1))).cast("int")).drop("__at", "__k")
 
     out = T.StructType([*keep, T.StructField("kind", T.StringType())])
     names = [f.name for f in out.fields]

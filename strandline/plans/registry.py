@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandline.plans import checks, graph, measure, orphans, parse, score, search
+from strandline.plans import checks, graph, measure, orphans, parse, records, score, search
 
-MODULES = [orphans, parse, search, measure, score, graph, checks]
+MODULES = [orphans, parse, search, measure, score, graph, checks, records]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
