@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.parse import anchor_parts, collapsed, populated
 from strandline.functions.text import trimmed
-from strandline.runtime import salted_join
+from strandline.runtime import salted_join, written
 
 # Upper ends of the bands (a boundary belongs to the tighter band), the cheap ones, sections from which a label is sticky.
 BANDS = (("specific", 0.05), ("loose", 0.20), ("degenerate", 0.50), ("free", None))
@@ -147,8 +147,8 @@ def frame_refs(frame: DataFrame) -> DataFrame:
     return ev.unionByName(sp)
 
 
-#: Whole pieces inside a span by which its candidates are looked up: as many as fit, of these.
-GRAMS = (6, 3, 1)
+#: Pieces in a row by which spans and chunks meet: as many as fit, of these. Spans without a whole piece inside meet by their ends.
+GRAMS = (6, 3, 2, 1)
 
 
 def resolve(refs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -157,28 +157,37 @@ def resolve(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     Texts are compared with white space collapsed and letter case ignored. Instead of testing
     every span on every chunk of its document, spans and chunks meet on the document and a run of
     whole pieces inside the span (its first and last piece may be cut in the middle of a word):
-    six, else three, else the longest one. Only those that meet are compared in full. Spans of
-    one or two pieces meet the chunks of their document. Equal spans of a document are looked up
-    once. An empty span resolves to nothing. ``chunks`` has id, doc, clause, text, one row an id.
+    six, else three, two or one. Only those that meet are compared in full. A span of two pieces
+    meets two pieces in a row of which the first ends with its first; only one of a single piece,
+    which may lie inside a word, meets every chunk of its document. Equal spans of a document are
+    looked up once. An empty span resolves to nothing. ``chunks`` has id, doc, clause, text, one
+    row an id.
     """
     r = refs.withColumn("span_norm", collapsed(F.col("span")))
     asked = r.where("span_norm <> ''").select("doc", "span_norm").distinct().withColumn("pieces", F.split("span_norm", " "))
     inner = F.slice("pieces", 2, F.greatest(F.size("pieces") - 2, F.lit(0)))
-    asked = asked.select("doc", "span_norm", inner.alias("inner"))
-    n = F.size("inner")
-    longest = F.array_max(F.transform("inner", lambda x: F.struct(F.length(x), x.alias("x"))))["x"]
-    run = F.when(n >= GRAMS[0], F.slice("inner", 1, GRAMS[0])).when(n >= GRAMS[1], F.slice("inner", 1, GRAMS[1])).when(n >= 1, F.array(longest))
-    asked = asked.withColumn("gram", F.when(run.isNotNull(), F.xxhash64(run))).drop("inner")
+    asked = asked.select("doc", "span_norm", inner.alias("inner"), F.size("pieces").alias("n"), F.element_at("pieces", 1).alias("first"), F.element_at("pieces", -1).alias("last"))
+    n, run = F.size("inner"), F.lit(None).cast("array<string>")
+    for g in reversed(GRAMS):
+        run = F.when(n >= g, F.slice("inner", 1, g)).otherwise(run)
+    # two pieces: the last letter of the first piece and the first of the second stand on both sides of a blank
+    seam = lambda a, b: F.concat(F.right(a, F.lit(1)), F.lit(" "), F.left(b, F.lit(1)))
+    gram = F.when(run.isNotNull(), F.xxhash64(run)).when(F.col("n") == 2, F.xxhash64(F.lit("seam"), seam(F.col("first"), F.col("last"))))
+    asked = asked.select("doc", "span_norm", gram.alias("gram"))
     body = chunks.select("id", "doc", F.col("clause").alias("label"), collapsed(F.col("text")).alias("body")).where("doc <> ''")
+    # only documents that are asked for are looked into
+    body = body.join(asked.select("doc").distinct(), "doc", "left_semi")
     # a column of its own: inside a lambda an expression would be computed for every position
     split = body.select("id", "doc", F.split("body", " ").alias("w"))
-    runs = lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - g + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, g)))
+    at = lambda g: F.sequence(F.lit(1), F.greatest(F.size("w") - g + 1, F.lit(1)))
+    runs_of = lambda g: F.transform(at(g), lambda i: F.xxhash64(F.slice("w", i, g)))
+    seams = F.transform(at(2), lambda i: F.xxhash64(F.lit("seam"), seam(F.get("w", i - 1), F.coalesce(F.get("w", i), F.lit("")))))
     # only digests travel until a chunk is known to share one with a span of its document
-    index = split.select("id", "doc", F.explode(F.array_distinct(F.concat(*[runs(g) for g in GRAMS]))).alias("gram"))
     wanted = asked.where("gram is not null")
-    near = index.join(wanted.select("doc", "gram").distinct(), ["doc", "gram"], "left_semi")
-    met = salted_join(near, wanted, ["doc", "gram"]).drop("gram")
-    by_run = met.join(body.drop("doc"), "id").where("contains(body, span_norm)")
+    index = split.select("id", "doc", F.explode(F.array_distinct(F.concat(*map(runs_of, GRAMS), seams))).alias("gram"))
+    near = written(index.join(wanted.select("doc", "gram").distinct(), ["doc", "gram"], "left_semi"), "near")
+    met = salted_join(near, wanted, ["doc", "gram"]).select("id", "span_norm").distinct()
+    by_run = met.join(body, "id").where("contains(body, span_norm)")
     short = asked.where("gram is null").select("doc", "span_norm")
     by_doc = salted_join(body, short, ["doc"]).where("contains(body, span_norm)")
     hits = by_run.select("doc", "span_norm", "label").unionByName(by_doc.select("doc", "span_norm", "label"))
