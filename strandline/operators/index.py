@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,6 +98,57 @@ def search_vectors(posts: DataFrame, table: DataFrame) -> DataFrame:
     return _unit(_raised(posts, table))
 
 
+def term_vectors(rows: DataFrame, key: str, text: str, profile: CorpusProfile = DEFAULT) -> DataFrame:
+    """key, terms, tf: the distinct terms of every text with their counts, one row each, without a shuffle; a text without terms gives no row."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column(1).flatten().dictionary_encode()
+            sizes = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            v = max(1, len(words.dictionary))
+            pair, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * v + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            ends = np.searchsorted(pair // v, np.arange(len(sizes) + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (words.dictionary.take(pa.array(pair % v)), pa.array(n, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["key", "terms", "tf"])
+
+    each = rows.select(F.col(key).alias("key"), terms(F.col(text), profile).alias("t")).where(F.size("t") > 0)
+    return each.mapInArrow(count, f"key {dict(each.dtypes)['key']}, terms array<string>, tf array<long>")
+
+
+def idf_of_vectors(vectors: DataFrame) -> DataFrame:
+    """``idf`` from term vectors: only terms are shuffled, merged before."""
+    n = vectors.agg(F.count(F.lit(1)).alias("n"))
+    return vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log1p(n.scalar() / F.col("df")))
+
+
+#: Terms whose idf is sent to the tasks at most (about 100 bytes each); more are joined.
+VOCABULARY = 1_000_000
+
+
+def unit_vectors(vectors: DataFrame, table: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
+    """key, terms, tf, w: term vectors with TF-IDF weights of unit length. A vocabulary that is small is sent to the vectors, a larger one meets them by a join."""
+    spark = vectors.sparkSession
+    if table.limit(vocabulary + 1).count() > vocabulary:
+        posts = vectors.select("key", F.explode(F.arrays_zip("terms", "tf")).alias("p")).select("key", F.col("p.terms").alias("term"), "p.tf")
+        return search_vectors(posts, table)
+    known = table.select("term", "idf").toArrow().combine_chunks()
+    sent = spark.sparkContext.broadcast((pa.array(known.column(0).to_pylist(), pa.string()), known.column(1).to_numpy()))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, idf = sent.value
+        for b in batches:
+            sizes = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+            at = pc.index_in(b.column(1).flatten(), value_set=words).to_numpy(zero_copy_only=False).astype(np.int64)
+            w = b.column(2).flatten().to_numpy() * idf[at]
+            norm = np.sqrt(np.add.reduceat(w * w, ends[:-1])) if len(sizes) else np.zeros(0)
+            unit = pa.ListArray.from_arrays(pa.array(ends), pa.array(w / np.repeat(norm, sizes)))
+            yield pa.RecordBatch.from_arrays([*b.columns, unit], ["key", "terms", "tf", "w"])
+
+    kinds = dict(vectors.dtypes)
+    return vectors.select("key", "terms", "tf").mapInArrow(weigh, f"key {kinds['key']}, terms array<string>, tf array<long>, w array<double>")
+
+
 # --- incremental loads -------------------------------------------------------------------------
 
 

@@ -51,9 +51,9 @@ class SearchIndex:
 
 def chunk_index(spark: SparkSession, d: str) -> SearchIndex:
     """The search index of all chunks, made once."""
-    posts = lambda: stored(spark, "postings", d, INDEXED, lambda: index.postings(pp.chunks(spark, d), "id", "body"))
-    idf = stored(spark, "idf", d, INDEXED, lambda: index.idf(posts()))
-    return SearchIndex(idf, stored(spark, "vectors", d, INDEXED, lambda: index.search_vectors(posts(), idf)))
+    vectors = stored(spark, "terms", d, INDEXED, lambda: index.term_vectors(pp.chunks(spark, d), "id", "body"))
+    idf = stored(spark, "idf", d, INDEXED, lambda: index.idf_of_vectors(vectors))
+    return SearchIndex(idf, stored(spark, "vectors", d, INDEXED, lambda: index.unit_vectors(vectors, idf)))
 
 
 def _asked(ix: SearchIndex, texts: DataFrame) -> DataFrame:

@@ -52,6 +52,11 @@ def test_sparse_and_idf_equal_brute_force(spark):
     for per_pass in (1, 1000):
         got = search.sparse_lists(q.withColumnRenamed("key", "qid"), vectors.repartition(3), 5, {"a": ("tf", "tf"), "b": ("tf", "tf")}, per_pass).collect()
         assert {(r["qid"], r["key"], r["score"], r["rank"]) for r in got if r["list"] == "a"} == want and len(got) == 2 * len(want)
+    own = index.term_vectors(spark.createDataFrame([*docs.items(), ("none", None)], "id string, t string").repartition(3), "id", "t")
+    table = index.idf_of_vectors(own)
+    flat = lambda t: {(r["key"], r["terms"], r["tf"], round(r["w"], 9)) for r in t.select("key", F.explode(F.arrays_zip("terms", "tf", "w")).alias("p")).select("key", "p.*").collect()}
+    assert flat(index.unit_vectors(own, table)) == flat(index.unit_vectors(own, table, 1)) == flat(vectors)
+    assert index.unit_vectors(own.limit(0), table).count() == 0
     assert search.sparse_lists(q.limit(0).withColumnRenamed("key", "qid"), vectors, 5, {"a": ("tf", "tf")}).count() == 0
     pairs = search.sparse_scores(q.withColumnRenamed("key", "qid"), posts).collect()
     assert {(k, i, v) for k, i, v, _ in want} <= {tuple(r) for r in pairs}
