@@ -251,7 +251,7 @@ _KINDS = rf"""
 with a as (select distinct caption_id, lower(caption) t from captions where caption is not null),
 c as (select *, {_trim(r"regexp_replace(t, '^[\s\p{Z}]*(\[[0-9]+\]|(figure|fig[.]?|page|pg[.]?|p[.]) *[0-9]+)[\s\p{Z}]*[:|.–—-]?', '')")} core from a),
 m as (select *, case
-  when not regexp_matches(core, '^(x+[^\pL]*){{3,}}$') and (regexp_matches(t, '\{{\{{[^{{}}]*\}}\}}|[$#]\{{|<%|@@[a-z_]+@@|__[a-z_]+__|\[\[|<<|%\(|\{{[0-9]\}}|\{{[a-z]{{4,}}\}}|<(insert|your|enter|add|type)\b')
+  when not regexp_matches(core, '^(x+[^\pL]*){{3,}}$') and (regexp_matches(t, '\{{\{{[^{{}}]*\}}\}}|[$#]\{{|<%|@@[a-z_.]+@@|__[a-z_.]+__|\[\[|<<|%\(|\{{[0-9]\}}|\{{[a-z]{{4,}}\}}|<(insert|your|enter|add|type)\b')
     or regexp_matches(t, '\[[^\]]*(to be added|to be completed|tbd|describe the|insert |placeholder|einfügen|compléter|insertar|completar)[^\]]*\]') or regexp_matches(t, '(^|[^a-z])x{{3,}}([^a-z]|$)')) then 'placeholder'
   when regexp_matches(core, '^(sample description|dummy figure|text text|bla bla|this is a placeholder|type a description|asdf|caption text goes|blindtext|lorem ipsum|(x+[^\pL]*){{3,}}$)')
     or regexp_matches(core, '^((dol|cum|qua|mer|sun|nir|eba|pra|lon|tis|fel|ost|ari|vet)+[^\pL]*){{5,}}$') then 'filler'

@@ -97,8 +97,8 @@ LATIN = (
 ).split()
 #: Filler: at least so many words; at most this share of different words, or of different pieces of three letters.
 LEAST_WORDS, DIFFERENT_WORDS, DIFFERENT_PIECES, LATIN_SHARE = 5, 0.4, 0.8, 0.6
-#: Words of filler that other texts may have, too.
-KNOWN_SHARE = 0.2
+#: Words of filler that other texts may have, too, at most; and of filler of a few syllables.
+KNOWN_SHARE, SCRAMBLED_SHARE = 0.2, 0.6
 #: A placeholder counts as explained, not left over, in a text with two tutorial words and fewer than one placeholder in so many characters.
 DENSITY = 200
 
@@ -115,6 +115,8 @@ class Residue:
     #: The words of the text, and whether some of them is one that sentences cannot do without.
     words: Column
     sentence: Column
+    #: Whether few syllables make up the words; with unknown words it tells filler.
+    scrambled: Column
 
     @property
     def reason(self) -> Column:
@@ -138,14 +140,14 @@ def residue(text: Column) -> Residue:
     one_letter = F.forall(tokens, lambda w: F.size(F.array_distinct(F.split(w, ""))) <= 2) & (n >= LEAST_WORDS - 1)
     # a text of nothing but such words is filler as a whole
     placeholder = (marks > 0) & ~explained & ~one_letter
-    # no function word at all, and a few syllables that come back again and again
+    # a few syllables that come back again and again
     sentence = F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in sorted(set(FUNCTION_WORDS))]))
-    scrambled = ~sentence & (F.size(F.array_distinct(pieces)) / F.greatest(F.size(pieces), F.lit(1)) <= DIFFERENT_PIECES)
-    filler = core.rlike("|".join(f"({p})" for p in FILLER)) | ((n >= LEAST_WORDS) & (repeated | scrambled | (latin / some >= LATIN_SHARE))) | ((n > 0) & one_letter)
+    scrambled = (F.size(F.array_distinct(pieces)) / F.greatest(F.size(pieces), F.lit(1)) <= DIFFERENT_PIECES)
+    filler = core.rlike("|".join(f"({p})" for p in FILLER)) | ((n >= LEAST_WORDS) & (repeated | (latin / some >= LATIN_SHARE))) | ((n > 0) & one_letter)
     describes = core.rlike(DESCRIPTION)
     message = core.rlike("|".join(f"({p})" for p in MESSAGES)) & ~describes
     notice = core.rlike("|".join(f"({p})" for p in NOTICES)) & ~describes
-    return Residue(placeholder, filler, message, notice, tokens, sentence)
+    return Residue(placeholder, filler, message, notice, tokens, sentence, scrambled)
 
 
 def reasons(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -153,15 +155,16 @@ def reasons(rows: DataFrame, key: str, text: str) -> DataFrame:
 
     Besides what ``residue`` says of a text alone, one is filler if it has five words or more,
     none of which a sentence needs, and at most ``KNOWN_SHARE`` of its words stand in any text
-    that is a sentence and no residue. The vocabulary is that of all texts. Null and blank texts
-    give no row.
+    that is a sentence and no residue (``SCRAMBLED_SHARE`` where few syllables make up its words).
+    The vocabulary is that of all texts; where none is a sentence no word is known. Null and blank
+    texts give no row.
     """
     r = residue(F.col(f"`{text}`"))
-    judged = rows.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), r.reason.alias("reason"), r.words.alias("words"), r.sentence.alias("sentence"))
+    judged = rows.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), r.reason.alias("reason"), r.words.alias("words"), r.sentence.alias("sentence"), r.scrambled.alias("scrambled"))
     judged = written(judged.distinct(), "judged")
-    odd = judged.where(F.col("reason").isNull() & ~F.col("sentence") & (F.size("words") >= LEAST_WORDS)).select("key", F.monotonically_increasing_id().alias("n"), F.col("words"))
-    each = odd.select("key", "n", F.explode("words").alias("word"))
+    odd = judged.where(F.col("reason").isNull() & ~F.col("sentence") & (F.size("words") >= LEAST_WORDS)).select("key", F.monotonically_increasing_id().alias("n"), "words", "scrambled")
+    each = odd.select("key", "n", "scrambled", F.explode("words").alias("word"))
     known = judged.where(F.col("reason").isNull() & F.col("sentence")).select(F.explode(F.array_distinct("words")).alias("word")).distinct().withColumn("known", F.lit(True))
-    share = each.join(known, "word", "left").groupBy("key", "n").agg(F.avg(F.coalesce("known", F.lit(False)).cast("double")).alias("share"))
-    strange = share.where(F.col("share") <= KNOWN_SHARE).select("key", F.lit("filler").alias("reason"))
+    share = each.join(known, "word", "left").groupBy("key", "n", "scrambled").agg(F.avg(F.coalesce("known", F.lit(False)).cast("double")).alias("share"))
+    strange = share.where(F.col("share") <= F.when(F.col("scrambled"), SCRAMBLED_SHARE).otherwise(KNOWN_SHARE)).select("key", F.lit("filler").alias("reason"))
     return judged.where("reason is not null").select("key", "reason").unionByName(strange).distinct()
