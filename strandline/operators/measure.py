@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.parse import anchor_parts, collapsed, populated
 from strandline.functions.text import trimmed
-from strandline.runtime import salted_join, written
+from strandline.runtime import hot_keys, written
 
 # Upper ends of the bands (a boundary belongs to the tighter band), the cheap ones, sections from which a label is sticky.
 BANDS = (("specific", 0.05), ("loose", 0.20), ("degenerate", 0.50), ("free", None))
@@ -147,55 +152,138 @@ def frame_refs(frame: DataFrame) -> DataFrame:
     return ev.unionByName(sp)
 
 
-#: Pieces in a row by which spans and chunks meet: as many as fit, of these. Spans without a whole piece inside meet by their ends.
+#: Pieces in a row by which spans and chunks meet: as many as fit, of these. Spans without a whole piece inside are tested on every chunk of their document.
 GRAMS = (6, 3, 2, 1)
+#: Documents that are broadcast at most, to leave out chunks nobody asks for; groups of documents a shuffle partition; letters of chunks that a search takes at once.
+ASKED_DOCS, GROUPS, LETTERS = 100_000, 4, 8_000_000
 
 
 def resolve(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     """The references with labels (distinct clauses of the chunks of their document whose text contains the span) and n_chunks.
 
-    Texts are compared with white space collapsed and letter case ignored. Instead of testing
-    every span on every chunk of its document, spans and chunks meet on the document and a run of
-    whole pieces inside the span (its first and last piece may be cut in the middle of a word):
-    six, else three, two or one. Only those that meet are compared in full. A span of two pieces
-    meets two pieces in a row of which the first ends with its first; only one of a single piece,
-    which may lie inside a word, meets every chunk of its document. Equal spans of a document are
-    looked up once. An empty span resolves to nothing. ``chunks`` has id, doc, clause, text, one
-    row an id.
+    Texts are compared with white space collapsed and letter case ignored. Chunks and the distinct
+    spans of a document are brought together once (those of a hot document in several parts, to
+    each of which its spans are copied) and only labels and counts come out. Instead of testing
+    every span on every chunk, they meet on a run of whole pieces inside the span (its first and
+    last piece may be cut in the middle of a word): six, else three, two or one; what meets is
+    compared in full. A span of one or two pieces meets every chunk of its document. An empty span
+    resolves to nothing. ``chunks`` has id, doc, clause, text, one row an id.
     """
+    spark = refs.sparkSession
     r = refs.withColumn("span_norm", collapsed(F.col("span")))
-    asked = r.where("span_norm <> ''").select("doc", "span_norm").distinct().withColumn("pieces", F.split("span_norm", " "))
-    inner = F.slice("pieces", 2, F.greatest(F.size("pieces") - 2, F.lit(0)))
-    asked = asked.select("doc", "span_norm", inner.alias("inner"), F.size("pieces").alias("n"), F.element_at("pieces", 1).alias("first"), F.element_at("pieces", -1).alias("last"))
-    n, run = F.size("inner"), F.lit(None).cast("array<string>")
-    for g in reversed(GRAMS):
-        run = F.when(n >= g, F.slice("inner", 1, g)).otherwise(run)
-    # two pieces: the last letter of the first piece and the first of the second stand on both sides of a blank
-    seam = lambda a, b: F.concat(F.right(a, F.lit(1)), F.lit(" "), F.left(b, F.lit(1)))
-    gram = F.when(run.isNotNull(), F.xxhash64(run)).when(F.col("n") == 2, F.xxhash64(F.lit("seam"), seam(F.col("first"), F.col("last"))))
-    asked = asked.select("doc", "span_norm", gram.alias("gram"))
-    body = chunks.select("id", "doc", F.col("clause").alias("label"), collapsed(F.col("text")).alias("body")).where("doc <> ''")
-    # only documents that are asked for are looked into
-    body = body.join(asked.select("doc").distinct(), "doc", "left_semi")
-    # a column of its own: inside a lambda an expression would be computed for every position
-    split = body.select("id", "doc", F.split("body", " ").alias("w"))
-    at = lambda g: F.sequence(F.lit(1), F.greatest(F.size("w") - g + 1, F.lit(1)))
-    runs_of = lambda g: F.transform(at(g), lambda i: F.xxhash64(F.slice("w", i, g)))
-    seams = F.transform(at(2), lambda i: F.xxhash64(F.lit("seam"), seam(F.get("w", i - 1), F.coalesce(F.get("w", i), F.lit("")))))
-    # only digests travel until a chunk is known to share one with a span of its document
-    wanted = asked.where("gram is not null")
-    index = split.select("id", "doc", F.explode(F.array_distinct(F.concat(*map(runs_of, GRAMS), seams))).alias("gram"))
-    near = written(index.join(wanted.select("doc", "gram").distinct(), ["doc", "gram"], "left_semi"), "near")
-    met = salted_join(near, wanted, ["doc", "gram"]).select("id", "span_norm").distinct()
-    by_run = met.join(body, "id").where("contains(body, span_norm)")
-    short = asked.where("gram is null").select("doc", "span_norm")
-    by_doc = salted_join(body, short, ["doc"]).where("contains(body, span_norm)")
-    hits = by_run.select("doc", "span_norm", "label").unionByName(by_doc.select("doc", "span_norm", "label"))
-    found = hits.groupBy("doc", "span_norm").agg(F.array_sort(F.collect_set("label")).alias("labels"), F.count(F.lit(1)).alias("n_chunks"))
+    asked = written(r.where("span_norm <> '' and doc <> ''").select("doc", "span_norm").distinct(), "asked")
+    body = chunks.where("doc <> ''")
+    docs = asked.select("doc").distinct()
+    if docs.count() <= ASKED_DOCS:
+        body = body.join(F.broadcast(docs), "doc", "left_semi")
+    # at most HOT_KEYS rows
+    hot = F.broadcast(written(hot_keys(body, ["doc"]), "hot"))
+    groups = GROUPS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = lambda t: t.withColumn("__key", F.xxhash64("doc")).join(hot, "__key", "left").withColumn("part", F.when(F.col("__salts").isNull(), F.pmod("__key", F.lit(groups))).otherwise(F.col("__key")))
+    texts = placed(body).select("part", F.pmod(F.xxhash64("id"), F.coalesce("__salts", F.lit(1))).cast("int").alias("salt"), "doc", F.col("clause").alias("label"), collapsed(F.col("text")).alias("body"))
+    spans = placed(asked).select("part", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)).alias("salt"), "doc", "span_norm")
+    hits = texts.groupBy("part", "salt").cogroup(spans.groupBy("part", "salt")).applyInArrow(_hits, "doc string, span_norm string, labels array<string>, n long")
+    found = hits.groupBy("doc", "span_norm").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"), F.sum("n").alias("n_chunks"))
     out = r.join(found, ["doc", "span_norm"], "left").drop("span_norm")
     return out.withColumn("labels", F.coalesce("labels", F.array().cast("array<string>"))).withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
 
 
+def _hits(texts: pa.Table, spans: pa.Table) -> pa.Table:
+    """doc, span_norm, labels, n: the spans that stand in texts of their document (doc, label, body), the labels of these, and how many they are."""
+    found: dict[int, tuple[set, int]] = {}
+    if texts.num_rows and spans.num_rows:
+        search = _Spans(spans["doc"].to_pylist(), spans["span_norm"].to_pylist())
+        ends = np.cumsum(pc.binary_length(texts["body"]).to_numpy())
+        start = 0
+        while start < len(ends):
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + LETTERS, "right")))
+            part = texts.slice(start, stop - start)
+            labels = part["label"].to_pylist()
+            for span, row in search.found(part["doc"], part["body"]):
+                have, n = found.get(span, (set(), 0))
+                have.add(labels[row])
+                found[span] = have, n + 1
+            start = stop
+    at = pa.array(list(found), pa.int64())
+    kinds = {"doc": pa.string(), "span_norm": pa.string(), "labels": pa.list_(pa.string()), "n": pa.int64()}
+    columns = [spans["doc"].take(at).cast(pa.string()), spans["span_norm"].take(at).cast(pa.string()), pa.array([sorted(x) for x, _ in found.values()], kinds["labels"]), pa.array([n for _, n in found.values()], pa.int64())]
+    return pa.table(columns, schema=pa.schema(kinds))
+
+
+class _Spans:
+    """Spans of documents, found in texts by the digests of their runs of pieces; a digest only proposes, the text decides."""
+
+    def __init__(self, docs: list[str], spans: list[str]) -> None:
+        self.spans, self.docs = spans, {d: i for i, d in enumerate(dict.fromkeys(docs))}
+        self.short: dict[int, list[int]] = {}
+        runs: dict[int, list[tuple[int, int, list[str]]]] = {}
+        for i, (d, s) in enumerate(zip(docs, spans)):
+            inner = s.split(" ")[1:-1]
+            g = next((g for g in GRAMS if g <= len(inner)), 0)
+            if g:
+                runs.setdefault(g, []).append((i, self.docs[d], inner[:g]))
+            else:
+                self.short.setdefault(self.docs[d], []).append(i)
+        self.words = {w: i for i, w in enumerate(dict.fromkeys(w for r in runs.values() for *_, run in r for w in run))}
+        self.runs = {}
+        for g, rows in sorted(runs.items()):
+            words = np.array([[self.words[w] for w in run] for *_, run in rows], np.uint64)
+            digest = self.digest(np.array([d for _, d, _ in rows], np.uint64), words.T)
+            order = np.argsort(digest, kind="stable")
+            self.runs[g] = digest[order], np.array([i for i, *_ in rows])[order], self.map_of(digest)
+
+    @staticmethod
+    def digest(doc: np.ndarray, words: Iterable[np.ndarray]) -> np.ndarray:
+        h = doc + np.uint64(1)
+        for w in words:
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + w
+        return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+    @staticmethod
+    def map_of(digest: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+        """A map of the leading bits of digests, by which most others are passed over, and by how much to shift."""
+        bits = max(10, int(len(digest)).bit_length() + 4)
+        shift = np.uint64(64 - bits)
+        held = np.zeros(1 << bits, bool)
+        held[digest >> shift] = True
+        return held, shift
+
+    def found(self, docs: pa.ChunkedArray, bodies: pa.ChunkedArray) -> Iterator[tuple[int, int]]:
+        """(number of the span, number of the text) for each span that stands in a text of its document, once."""
+        doc = pc.index_in(docs, pa.array(list(self.docs), docs.type)).combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
+        read = bodies.combine_chunks()
+        for d, spans in self.short.items():
+            for row in np.flatnonzero(doc == d).tolist():
+                text = read[row].as_py()
+                yield from ((i, row) for i in spans if self.spans[i] in text)
+        if not self.runs:
+            return
+        split = pc.split_pattern(read, " ")
+        sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        word = pc.index_in(split.flatten(), pa.array(list(self.words), docs.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        # a text of a document without spans has no known words
+        word = np.where(doc[row] < 0, -1, word)
+        unknown = np.concatenate([[0], np.cumsum(word < 0)])
+        last = np.repeat(np.cumsum(sizes), sizes)
+        at, word = np.flatnonzero(word >= 0), word.astype(np.uint64)
+        for g, (digests, owners, (held, shift)) in self.runs.items():
+            at = at[at + g <= last[at]]
+            at = at[unknown[at + g] == unknown[at]]
+            h = self.digest(doc[row[at]].astype(np.uint64), (word[at + i] for i in range(g)))
+            near = held[h >> shift]
+            h, where = h[near], row[at[near]]
+            first, behind = np.searchsorted(digests, h, "left"), np.searchsorted(digests, h, "right")
+            met = behind > first
+            pairs = np.unique(np.stack([where[met], first[met], behind[met]], 1), axis=0)
+            known, text = -1, ""
+            for r, a, b in pairs.tolist():
+                if r != known:
+                    known, text = r, read[r].as_py()
+                yield from ((i, r) for i in owners[a:b].tolist() if self.spans[i] in text)
+
+
 def decide(refs: DataFrame, chunks: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """The references with renamed_from, state and new clause: UNRESOLVED, AMBIGUOUS, unchanged or RELABELLED.
 

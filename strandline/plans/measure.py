@@ -13,6 +13,8 @@ from strandline.runtime import stored, table, written
 # The configurations of the sweep (what is asked, and how many passages), the baseline, and the passages of a context.
 CONFIGS = {"A": ("prompt", 50), "B": ("prompt", 200), "C": ("text", 50), "D": ("text", 200)}
 BASELINE, CONTEXT = "A", 10
+#: Ids that stand in several rows of an index and are broadcast, at most.
+REPEATED_IDS = 300_000
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +91,15 @@ def rank_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _searchable(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunk_index").dropDuplicates(["id"]).select("id", F.coalesce("doc_code", F.lit("")).alias("doc"), F.coalesce("clause", F.lit("")).alias("clause"), "text")
+    """id, doc, clause, text, one row an id. Only ids are shuffled, and the rows of those that repeat; where too many do to be broadcast, all rows."""
+    t = table(spark, d, "chunk_index").select("id", F.coalesce("doc_code", F.lit("")).alias("doc"), F.coalesce("clause", F.lit("")).alias("clause"), "text")
+    twice = written(t.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "repeated")
+    if twice.count() > REPEATED_IDS:
+        return t.dropDuplicates(["id"])
+    again = F.broadcast(twice.withColumn("again", F.lit(True)))
+    # null ids are one id
+    t = t.join(again, t["id"].eqNullSafe(again["id"]), "left").drop(again["id"])
+    return t.where("again is null").drop("again").unionByName(t.where("again").drop("again").dropDuplicates(["id"]))
 
 
 def anchor_decisions(spark: SparkSession, d: str) -> DataFrame:

@@ -1,10 +1,12 @@
 import hashlib
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from strandline import runtime
 from strandline.operators import contract, graph, measure, score
 from strandline.plans import registry
 from strandline.plans import score as plans
@@ -88,6 +90,58 @@ def test_resolution_equals_brute_force(spark):
     assert {r["anchor_id"]: list(r["labels"]) for r in got.collect()} == want
 
 
+def test_resolution_of_a_hot_document_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "ROWS_PER_TASK", 10)
+    monkeypatch.setattr(measure, "LETTERS", 500)
+    rng = random.Random(4)
+    words = ["pump", "valve", "the", "of", "Mast", "Über", "a-b"]
+    chunks = [(str(i), rng.choice(["A"] * 9 + ["B"]), rng.choice("123"), " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 30])))) for i in range(200)]
+    texts = [" ".join(c[3].lower().split()) for c in chunks]
+    spans = [t[a : a + rng.choice([1, 4, 9, 14, 20, 40])].strip() for t in texts if t for a in [rng.randrange(len(t))]]
+    refs = [(str(i), rng.choice("AABC"), s) for i, s in enumerate([*spans, "pump pump pump of the nowhere"])]
+    got = measure.resolve(spark.createDataFrame(refs, "ref string, doc string, span string"), spark.createDataFrame(chunks, "id string, doc string, clause string, text string"))
+    want = {}
+    for ref, doc, span in refs:
+        hit = [c[2] for c, t in zip(chunks, texts) if span and c[1] == doc and span in t]
+        want[ref] = sorted(set(hit)), len(hit)
+    assert {r["ref"]: (list(r["labels"]), r["n_chunks"]) for r in got.collect()} == want
+
+
+def _shuffled(spark, run):
+    """Bytes that ``run`` shuffles where nothing is broadcast by size."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def now():
+        sc.listenerBus().waitUntilEmpty()
+        time.sleep(0.3)
+        spark.range(1).collect()
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = now()
+        run()
+        return now() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def _wordy(n, docs):
+    """Chunks of random words and their letters."""
+    rng = random.Random(2)
+    rows = [(f"id{i}", f"AXSS-E-HB-{i % docs}", str(i % 5), " ".join(f"{rng.randrange(10**6):x}" for _ in range(300)), f"f{i % docs}") for i in range(n)]
+    return rows, sum(len(r[3]) for r in rows)
+
+
+def test_resolution_shuffles_texts_once_and_no_digests(spark):
+    rows, letters = _wordy(400, 7)
+    chunks = spark.createDataFrame([r[:4] for r in rows], "id string, doc string, clause string, text string")
+    refs = spark.createDataFrame([(r[1], r[3][20:90]) for r in rows], "doc string, span string")
+    assert 0 < _shuffled(spark, lambda: measure.resolve(refs, chunks).write.format("noop").mode("overwrite").save()) < 1.5 * letters
+
+
 V = "item string, class string, tier string, verdict boolean"
 
 
