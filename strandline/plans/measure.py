@@ -135,7 +135,8 @@ def specificity_top(spark: SparkSession, d: str) -> DataFrame:
 def migrated_frame(spark: SparkSession, d: str) -> DataFrame:
     """anchor_id, anchors, labels: the frame after migration, its evidence anchors and span labels."""
     frame = table(spark, d, "frame_items").dropDuplicates(["anchor_id"])
-    moved = measure.migrate(frame, written(measure.decide(measure.frame_refs(frame), _searchable(spark, d)), "decisions"))
+    decisions = measure.decide(measure.frame_refs(frame), _searchable(spark, d)).where("state = 'RELABELLED'")
+    moved = measure.migrate(frame, written(decisions.select("anchor_id", "field", "claim", "ref", "doc", "state", "new"), "decisions"))
     anchors = F.flatten(F.transform("claims", lambda c: F.transform(c["evidence"], lambda e: F.coalesce(e["anchor"], F.lit("")))))
     labels = F.transform("_anchor.spans", lambda s: F.concat_ws(" ", F.coalesce(s["doc_code"], F.lit("")), F.coalesce(s["clause"], F.lit(""))))
     return moved.select("anchor_id", F.array_join(anchors, "|").alias("anchors"), F.array_join(labels, "|").alias("labels"))

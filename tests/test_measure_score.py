@@ -142,6 +142,12 @@ def test_resolution_shuffles_texts_once_and_no_digests(spark):
     assert 0 < _shuffled(spark, lambda: measure.resolve(refs, chunks).write.format("noop").mode("overwrite").save()) < 1.5 * letters
 
 
+def test_decisions_of_a_migration_are_kept_without_spans_and_labels(spark, sf):
+    registry.QUERIES["migrated_frame"](spark, sf).collect()
+    kept = spark.read.parquet(next(p for p in reversed(runtime._written) if "/decisions-" in p))
+    assert not {"span", "labels"} & set(kept.columns) and [r[0] for r in kept.select("state").distinct().collect()] == ["RELABELLED"]
+
+
 V = "item string, class string, tier string, verdict boolean"
 
 
