@@ -148,6 +148,17 @@ def test_decisions_of_a_migration_are_kept_without_spans_and_labels(spark, sf):
     assert not {"span", "labels"} & set(kept.columns) and [r[0] for r in kept.select("state").distinct().collect()] == ["RELABELLED"]
 
 
+def test_alias_decisions_shuffle_texts_once(spark, tmp_path):
+    rows, letters = _wordy(400, 7)
+    # repeated rows count once, so a span still has one label
+    spark.createDataFrame(rows + rows[:9], "id string, doc_code string, clause string, text string, source_file string").write.parquet(str(tmp_path / "chunk_index.parquet"))
+    frame = [(r[0], [], {"spans": [{"doc_code": r[1], "clause": r[2], "text": r[3][20:90], "point_id": "p", "role": "primary"}]}) for r in rows]
+    spark.createDataFrame(frame, FRAME).write.parquet(str(tmp_path / "frame_items.parquet"))
+    got = []
+    sent = _shuffled(spark, lambda: got.extend(registry.QUERIES["alias_decisions"](spark, str(tmp_path)).collect()))
+    assert len(got) == 400 and {r["state"] for r in got} == {"RELABELLED"} and sent < 1.5 * letters
+
+
 V = "item string, class string, tier string, verdict boolean"
 
 
