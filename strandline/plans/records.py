@@ -11,7 +11,7 @@ from strandline.operators import index, validate
 from strandline.plans import parse as pp
 from strandline.plans import score as pc
 from strandline.plans import search as ps
-from strandline.runtime import shared_path, table
+from strandline.runtime import file_system, shared_path, table
 from strandline.sources import files, sinks
 
 SPLIT = "2024-01-01"
@@ -53,9 +53,15 @@ def manifest_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_files(spark: SparkSession, d: str) -> DataFrame:
-    """filename, digits: the tables of the folder as files, with digests of their whole content."""
-    t = files.digests(files.discover(spark, [d], (".parquet",)))
-    return t.select(F.substring_index("path", "/", -1).alias("filename"), F.length("sha256").alias("digits"))
+    """filename, digits: the tables of the folder, with digests of their whole content; that of a table which is a folder is made of the names and digests of its files."""
+    fs, at = file_system(spark, d)
+    inside = F.substr("path", F.lit(len(fs.makeQualified(at).toString()) + 2))
+    t = files.digests(files.discover(spark, [d], (".parquet",))).select(inside.alias("inside"), "sha256")
+    parts = F.array_sort(F.collect_list(F.struct("inside", "sha256")))
+    t = t.groupBy(F.substring_index("inside", "/", 1).alias("filename")).agg(parts.alias("parts"))
+    whole = F.sha2(F.array_join(F.transform("parts", lambda p: F.concat_ws(" ", p["inside"], p["sha256"])), "\n"), 256)
+    sha256 = F.when(F.get("parts.inside", F.lit(0)) == F.col("filename"), F.get("parts.sha256", F.lit(0))).otherwise(whole)
+    return t.select("filename", F.length(sha256).alias("digits"))
 
 
 def metrics_appended(spark: SparkSession, d: str) -> DataFrame:

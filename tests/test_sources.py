@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators.chunking import chunk_items
+from strandline.plans import records
 from strandline.runtime import salted_join, written
 from strandline.sources import files, sinks
 from strandline.streaming import tables
@@ -22,6 +23,12 @@ def test_discovery_and_manifest(spark, tmp_path):
     assert {r["filename"]: r["state"] for r in t.collect()} == {"a.md": "ok", "b.HTML": "changed", "gone.md": "missing", "c.log": "extra"}
 
 
+def test_a_table_that_is_a_folder_is_one_source(spark, tmp_path):
+    spark.range(9).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    (tmp_path / "one.parquet").write_bytes(next((tmp_path / "many.parquet").glob("*.parquet")).read_bytes())
+    assert sorted(map(tuple, records.source_files(spark, f"{tmp_path}/").collect())) == [("many.parquet", 64), ("one.parquet", 64)]
+
+
 def test_jsonl(spark, tmp_path):
     p = tmp_path / "f.jsonl"
     p.write_text('{"a": 1}\n\n{"a": 2, "b": "x"}\n')
