@@ -154,7 +154,7 @@ def frame_refs(frame: DataFrame) -> DataFrame:
 
 #: Pieces in a row by which spans and chunks meet: as many as fit, of these. Spans without a whole piece inside are tested on every chunk of their document.
 GRAMS = (6, 3, 2, 1)
-#: Documents that are broadcast at most, to leave out chunks nobody asks for; groups of documents a shuffle partition; letters of chunks that a search takes at once.
+#: Documents that are broadcast at most, to leave out chunks nobody asks for and to rename; groups of documents a shuffle partition; letters of chunks that a search takes at once.
 ASKED_DOCS, GROUPS, LETTERS = 100_000, 4, 8_000_000
 
 
@@ -170,10 +170,9 @@ def resolve(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     resolves to nothing. ``chunks`` has id, doc, clause, text, one row an id.
     """
     spark = refs.sparkSession
-    r = refs.withColumn("span_norm", collapsed(F.col("span")))
-    asked = written(r.where("span_norm <> '' and doc <> ''").select("doc", "span_norm").distinct(), "asked")
+    asked = refs.select("doc", collapsed(F.col("span")).alias("span_norm")).where("span_norm <> '' and doc <> ''")
     body = chunks.where("doc <> ''")
-    docs = asked.select("doc").distinct()
+    docs = written(asked.select("doc").distinct(), "docs")
     if docs.count() <= ASKED_DOCS:
         body = body.join(F.broadcast(docs), "doc", "left_semi")
     # at most HOT_KEYS rows
@@ -181,10 +180,12 @@ def resolve(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     groups = GROUPS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = lambda t: t.withColumn("__key", F.xxhash64("doc")).join(hot, "__key", "left").withColumn("part", F.when(F.col("__salts").isNull(), F.pmod("__key", F.lit(groups))).otherwise(F.col("__key")))
     texts = placed(body).select("part", F.pmod(F.xxhash64("id"), F.coalesce("__salts", F.lit(1))).cast("int").alias("salt"), "doc", F.col("clause").alias("label"), collapsed(F.col("text")).alias("body"))
-    spans = placed(asked).select("part", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)).alias("salt"), "doc", "span_norm")
+    spans = placed(asked.distinct()).select("part", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)).alias("salt"), "doc", "span_norm")
     hits = texts.groupBy("part", "salt").cogroup(spans.groupBy("part", "salt")).applyInArrow(_hits, "doc string, span_norm string, labels array<string>, n long")
-    found = hits.groupBy("doc", "span_norm").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"), F.sum("n").alias("n_chunks"))
-    out = r.join(found, ["doc", "span_norm"], "left").drop("span_norm")
+    # from here 128 bits stand for the document and the span
+    key = lambda span: F.substring(F.unhex(F.sha2(F.concat(F.sha2("doc", 256), span), 256)), 1, 16).alias("__key")
+    found = hits.select(key(F.col("span_norm")), "labels", "n").groupBy("__key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"), F.sum("n").alias("n_chunks"))
+    out = refs.select("*", key(collapsed(F.col("span")))).join(found, "__key", "left").drop("__key")
     return out.withColumn("labels", F.coalesce("labels", F.array().cast("array<string>"))).withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
 
 
@@ -292,6 +293,9 @@ def decide(refs: DataFrame, chunks: DataFrame, aliases: DataFrame | None = None)
     """
     r = refs
     if aliases is not None:
+        aliases = written(aliases, "aliases")
+        if aliases.count() <= ASKED_DOCS:
+            aliases = F.broadcast(aliases)
         r = r.join(aliases, F.col("doc") == F.col("old_doc"), "left").withColumn("renamed_from", F.col("old_doc")).withColumn("doc", F.coalesce("new_doc", "doc")).drop("old_doc", "new_doc")
     else:
         r = r.withColumn("renamed_from", F.lit(None).cast("string"))

@@ -90,22 +90,32 @@ def rank_metrics(spark: SparkSession, d: str) -> DataFrame:
     return measure.rank_metrics(ranked, need, 10)
 
 
+def _repeats(t: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key stands once, and those whose key may repeat. Only digests of keys are shuffled (null is a key); where too many repeat to be broadcast, all rows are the latter."""
+    t = t.withColumn("__key", F.xxhash64(key))
+    twice = written(t.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key"), "repeated")
+    if twice.count() > REPEATED_IDS:
+        return t.where("false").drop("__key"), t.drop("__key")
+    t = t.join(F.broadcast(twice.withColumn("__again", F.lit(True))), "__key", "left").drop("__key")
+    return t.where("__again is null").drop("__again"), t.where("__again").drop("__again")
+
+
 def _searchable(spark: SparkSession, d: str) -> DataFrame:
-    """id, doc, clause, text, one row an id. Only ids are shuffled, and the rows of those that repeat; where too many do to be broadcast, all rows."""
+    """id, doc, clause, text, one row an id; of texts only those of repeated ids are shuffled."""
     t = table(spark, d, "chunk_index").select("id", F.coalesce("doc_code", F.lit("")).alias("doc"), F.coalesce("clause", F.lit("")).alias("clause"), "text")
-    twice = written(t.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "repeated")
-    if twice.count() > REPEATED_IDS:
-        return t.dropDuplicates(["id"])
-    again = F.broadcast(twice.withColumn("again", F.lit(True)))
-    # null ids are one id
-    t = t.join(again, t["id"].eqNullSafe(again["id"]), "left").drop(again["id"])
-    return t.where("again is null").drop("again").unionByName(t.where("again").drop("again").dropDuplicates(["id"]))
+    once, again = _repeats(t, "id")
+    return once.unionByName(again.dropDuplicates(["id"]))
+
+
+def _refs(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct references of the frame; those of an item that stands once are so by their places and are not shuffled."""
+    once, again = _repeats(table(spark, d, "frame_items").select("anchor_id", "claims", "_anchor"), "anchor_id")
+    return measure.frame_refs(once).unionByName(measure.frame_refs(again).distinct())
 
 
 def anchor_decisions(spark: SparkSession, d: str) -> DataFrame:
     """anchor_id, field, claim, ref, state, new, n_chunks for every reference of the frame."""
-    refs = measure.frame_refs(table(spark, d, "frame_items")).distinct()
-    t = measure.decide(refs, _searchable(spark, d))
+    t = measure.decide(_refs(spark, d), _searchable(spark, d))
     return t.select("anchor_id", "field", "claim", "ref", "state", "new", "n_chunks")
 
 
@@ -118,7 +128,7 @@ def alias_decisions(spark: SparkSession, d: str) -> DataFrame:
     new = _searchable(spark, d).withColumn("doc", _renamed("doc"))
     files = table(spark, d, "chunk_index").groupBy("source_file").agg(F.min(F.coalesce("doc_code", F.lit(""))).alias("doc_code"))
     aliases = measure.doc_aliases(files, files.withColumn("doc_code", _renamed("doc_code")))
-    t = measure.decide(measure.frame_refs(table(spark, d, "frame_items")).distinct(), new, aliases)
+    t = measure.decide(_refs(spark, d), new, aliases)
     return t.select("anchor_id", "field", "claim", "ref", "renamed_from", "state", "new")
 
 

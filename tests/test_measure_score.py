@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandline import runtime
 from strandline.operators import contract, graph, measure, score
+from strandline.plans import measure as measure_plans
 from strandline.plans import registry
 from strandline.plans import score as plans
 
@@ -159,6 +160,21 @@ def test_alias_decisions_shuffle_texts_once(spark, tmp_path):
     assert len(got) == 400 and {r["state"] for r in got} == {"RELABELLED"} and sent < 1.5 * letters
 
 
+def test_alias_decisions_shuffle_spans_to_their_texts_only(spark, tmp_path, monkeypatch):
+    rows, letters = _wordy(400, 7)
+    spark.createDataFrame([*rows, (None, None, None, None, None)], "id string, doc_code string, clause string, text string, source_file string").write.parquet(str(tmp_path / "chunk_index.parquet"))
+    frame = [(r[0], [], {"spans": [{"doc_code": r[1], "clause": r[2], "text": r[3][20:-20], "point_id": "p", "role": "primary"}]}) for r in rows]
+    # items that repeat count once, one without an id too
+    frame += [*frame[:9], (None, *frame[0][1:]), (None, *frame[0][1:])]
+    spark.createDataFrame(frame, FRAME).write.parquet(str(tmp_path / "frame_items.parquet"))
+    ask = lambda: registry.QUERIES["alias_decisions"](spark, str(tmp_path)).collect()
+    got = []
+    sent = _shuffled(spark, lambda: got.extend(ask()))
+    assert len(got) == 401 and {r["state"] for r in got} == {"RELABELLED"} and sent < 4 * letters
+    monkeypatch.setattr(measure_plans, "REPEATED_IDS", 0)
+    assert sorted(map(repr, ask())) == sorted(map(repr, got))
+
+
 V = "item string, class string, tier string, verdict boolean"
 
 
